@@ -36,8 +36,10 @@ INDEX_HEADER_BYTES = 34
 INDEX_TYPE_CODES = [1, 2, 3, 4, 5, 6, 7, 8]
 TOKEN_BYTES = 4
 
-# Whitespace as Python's str.split() sees it, written for both Java and RE2.
-WORD = (
-    r"[^\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+# Words are what lies between whitespace, in the sense of Python's str.split(). The pattern
+# covers ASCII; the other whitespace characters are mapped to spaces first.
+WORD = r"[^\t-\r\x1c-\x20]+"
+WIDE_SPACES = (
+    "\x85\xa0        "
+    "        　"
 )

@@ -1,20 +1,29 @@
-"""Token costs of rows and headers, in the order of `FORMATS`."""
+"""Token costs of rows and headers, as arrays in the order of `FORMATS`."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablemill.constants import FORMATS
 from tablemill.functions.tokens import Tokenizer
 from tablemill.operators.render import header_texts, row_texts
 
 
-def row_costs(cells: Column, columns: Column, kv_floats: Column, tokenizer: Tokenizer) -> Column:
-    """A row's own tokens; a JSON row counts at least 1 and excludes its brackets."""
-    texts = row_texts(cells, columns, kv_floats)
-    counts = {fmt: tokenizer(texts[fmt]) for fmt in FORMATS}
-    counts["json"] = F.greatest(F.lit(1), counts["json"] - tokenizer(F.lit("[]")))
-    return F.array(*[counts[fmt].cast("int") for fmt in FORMATS])
+def with_row_costs(df: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """Add `costs`; a JSON row counts at least 1 and excludes its brackets."""
+    texts = row_texts(F.col("cells"), F.col("columns"), F.col("kv_floats"))
+    brackets = tokenizer(F.lit("[]"))
+    # A row is the same line in CSV and below an SQL schema.
+    counted = df.withColumns(
+        {
+            "__csv": tokenizer(texts["csv"]).cast("int"),
+            "__json": F.greatest(F.lit(1), tokenizer(texts["json"]) - brackets).cast("int"),
+            "__keyvalue": tokenizer(texts["keyvalue"]).cast("int"),
+            "__markdown": tokenizer(texts["markdown"]).cast("int"),
+        }
+    )
+    parts = ["__csv", "__json", "__keyvalue", "__markdown"]
+    return counted.withColumn("costs", F.array(*parts, "__csv")).drop(*parts)
 
 
 def header_costs(first_row: Column, columns: Column, tokenizer: Tokenizer) -> Column:

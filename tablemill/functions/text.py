@@ -56,10 +56,15 @@ def float_text(value: Column, single: bool = False) -> Column:
     the digits Java gives them.
     """
     number = value.cast("float" if single else "double")
-    java = number.cast("string")
+    return let(number, lambda n: let(n.cast("string"), lambda java: _float_text(n, java, single)))
+
+
+def _float_text(number: Column, java: Column, single: bool) -> Column:
     size = F.abs(number)
     fixed = _strip_zeros(java.cast("decimal(38,21)").cast("string"))
-    fixed = F.when(fixed.endswith("."), F.concat(fixed, F.lit("0"))).otherwise(fixed)
+    fixed = let(
+        fixed, lambda t: F.when(t.endswith("."), F.concat(t, F.lit("0"))).otherwise(t)
+    )
     digits = java
     if not single:
         # Java 17 may print a digit too many for very large or small numbers.
@@ -70,16 +75,19 @@ def float_text(value: Column, single: bool = False) -> Column:
         ).otherwise(java)
     return (
         F.when(F.isnan(number) | number.isNull(), F.lit(None).cast("string"))
-        .when(size == float("inf"), F.when(number > 0, "inf").otherwise("-inf"))
         .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), java)
+        .when(size == float("inf"), F.when(number > 0, "inf").otherwise("-inf"))
         .when((size >= 1e-4) & (size < (2.0**24 if single else 1e16)), fixed)
-        .otherwise(_exponent_text(digits))
+        .otherwise(let(digits, _exponent_text))
     )
 
 
 def three_digits(value: Column) -> Column:
     """A number at three significant digits: `12.3`, `12`, `1.23e+04`, `0.0012`."""
-    number = value.cast("double")
+    return let(value.cast("double"), _three_digits)
+
+
+def _three_digits(number: Column) -> Column:
     four = _pattern(number, "0.000E0")
     exact_tie = (
         four.rlike(r"^-?\d\.\d[02468]5E")
@@ -126,8 +134,9 @@ def cell_text(value: Column, kind: T.DataType) -> Column:
 
 def csv_quote(text: Column) -> Column:
     """Quote a field only if it holds a comma, a quote or a line break."""
+    special = text.contains(",") | text.contains('"') | text.contains("\n") | text.contains("\r")
     return F.when(
-        text.rlike('[,"\r\n]'),
+        special,
         F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"')),
     ).otherwise(text)
 
@@ -144,9 +153,13 @@ def json_escape(text: Column) -> Column:
         ).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
 
     units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
-    return F.when(
-        text.rlike(r"[^ !#-\[\]-~]"), F.array_join(F.transform(units, unit), "")
-    ).otherwise(text)
+    special = (
+        (F.length(text) != F.octet_length(text))
+        | text.contains('"')
+        | text.contains("\\")
+        | text.rlike(r"\p{Cntrl}")
+    )
+    return F.when(special, F.array_join(F.transform(units, unit), "")).otherwise(text)
 
 
 def json_string(text: Column) -> Column:

@@ -6,18 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from tablemill.constants import WORD
+from tablemill.constants import WIDE_SPACES, WORD
 
 Tokenizer = Callable[[Column], Column]
 
 
+def plain_spaces(text: Column) -> Column:
+    """Turn whitespace outside ASCII into spaces; ASCII text passes untouched."""
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(
+        F.translate(text, WIDE_SPACES, " " * len(WIDE_SPACES))
+    )
+
+
 def count_words(text: Column) -> Column:
     """Default tokenizer: pieces between whitespace."""
-    return F.regexp_count(text, F.lit(WORD)).cast("int")
+    return F.regexp_count(plain_spaces(text), F.lit(WORD)).cast("int")
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    return F.regexp_extract_all(plain_spaces(text), F.lit(f"({WORD})"), F.lit(1))
+
+
+def is_blank(text: Column) -> Column:
+    return F.when(F.substring(text, 1, 1).between("!", "~"), False).otherwise(
+        ~plain_spaces(text).rlike(WORD)
+    )
 
 
 def file_tokenizer(path: str) -> Tokenizer:

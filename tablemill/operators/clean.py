@@ -31,88 +31,92 @@ def value_kind(arrow_type: Column, has_null: Column) -> Column:
     )
 
 
-def column_stats(rows: DataFrame) -> DataFrame:
-    """Per table and column: rows, present values, longest text.
+# Tables up to this many columns are profiled without exploding their cells.
+NARROW = 64
 
-    Partial aggregation reduces a table to one row per column before the
-    shuffle, so a table of any size costs the reducers the same.
+
+def column_stats(corpus: Corpus) -> DataFrame:
+    """`(table_id, n_rows, stats)`: per column the present values and the longest text.
+
+    Partial aggregation reduces a table to a few rows before the shuffle, so a
+    table of any size costs the reducers the same.
     """
+    rows = corpus.rows if corpus.plain is None else corpus.plain
+    if corpus.width is not None and corpus.width <= NARROW:
+        cells = [F.get("cells", F.lit(i)) for i in range(corpus.width)]
+        counted = rows.groupBy("table_id").agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            *[F.count(c).alias(f"valid_{i}") for i, c in enumerate(cells)],
+            *[F.max(F.length(c)).alias(f"longest_{i}") for i, c in enumerate(cells)],
+        )
+        stats = F.array(
+            *[
+                F.struct(F.col(f"valid_{i}").alias("n_valid"), F.col(f"longest_{i}").alias("longest"))
+                for i in range(corpus.width)
+            ]
+        )
+        return counted.select("table_id", "n_rows", stats.alias("stats"))
     return (
-        rows.select("table_id", "n_copies", F.posexplode("cells").alias("pos", "cell"))
+        rows.select("table_id", F.posexplode("cells").alias("pos", "cell"))
         .groupBy("table_id", "pos")
         .agg(
-            F.sum("n_copies").alias("n_rows"),
-            F.sum(F.when(F.col("cell").isNotNull(), F.col("n_copies")).otherwise(0)).alias("n_valid"),
+            F.count(F.lit(1)).alias("n"),
+            F.count("cell").alias("n_valid"),
             F.max(F.length("cell")).alias("longest"),
         )
-    )
-
-
-def column_report(corpus: Corpus) -> DataFrame:
-    """Every column of every table with its kind and the reason it goes, if it does."""
-    columns = corpus.tables.select("chunk", "table_id", "member", F.inline("columns"))
-    kind = value_kind(F.col("arrow_type"), F.col("n_valid") < F.col("n_rows"))
-    reason = (
-        F.when(is_artifact(F.col("name")), "artifact")
-        .when(F.col("n_valid") == 0, "all_null")
-        .when(
-            F.col("kind").isin("object", "bool_object") & (F.col("longest") > MAX_CELL_CHARS),
-            "long_text",
-        )
-    )
-    return (
-        columns.join(column_stats(corpus.rows), ["table_id", "pos"])
-        .withColumn("kind", kind)
-        .withColumn("dropped", reason)
-    )
-
-
-def clean_tables(corpus: Corpus) -> DataFrame:
-    """Tables with the columns they keep; tables without rows or columns drop out."""
-    stats = (
-        column_stats(corpus.rows)
         .groupBy("table_id")
         .agg(
-            F.max("n_rows").alias("n_rows"),
-            F.map_from_entries(
-                F.collect_list(F.struct("pos", F.struct("n_rows", "n_valid", "longest")))
+            F.max("n").alias("n_rows"),
+            F.transform(
+                F.sort_array(F.collect_list(F.struct("pos", "n_valid", "longest"))),
+                lambda s: F.struct(s["n_valid"].alias("n_valid"), s["longest"].alias("longest")),
             ).alias("stats"),
         )
     )
 
+
+def _described(corpus: Corpus) -> DataFrame:
+    """Tables with every column's kind, counts and the reason it goes, if it does."""
+
     def described(c: Column) -> Column:
-        s = F.col("stats")[c["pos"]]
+        s = F.get("stats", c["pos"])
         return F.struct(
             c["pos"].alias("pos"),
             c["name"].alias("name"),
             c["arrow_type"].alias("arrow_type"),
-            value_kind(c["arrow_type"], s["n_valid"] < s["n_rows"]).alias("kind"),
+            value_kind(c["arrow_type"], s["n_valid"] < F.col("n_rows")).alias("kind"),
             s["n_valid"].alias("n_valid"),
             s["longest"].alias("longest"),
         )
 
-    def kept(c: Column) -> Column:
-        long_text = c["kind"].isin("object", "bool_object") & (c["longest"] > MAX_CELL_CHARS)
-        return (c["n_valid"] > 0) & ~long_text & ~is_artifact(c["name"])
-
-    def short(c: Column) -> Column:
-        return F.struct(
-            c["pos"].alias("pos"),
-            c["name"].alias("name"),
-            c["arrow_type"].alias("arrow_type"),
-            c["kind"].alias("kind"),
+    def judged(c: Column) -> Column:
+        reason = (
+            F.when(is_artifact(c["name"]), "artifact")
+            .when(c["n_valid"] == 0, "all_null")
+            .when(
+                c["kind"].isin("object", "bool_object") & (c["longest"] > MAX_CELL_CHARS),
+                "long_text",
+            )
         )
+        return c.withField("dropped", reason)
+
+    return corpus.tables.join(column_stats(corpus), "table_id").withColumn(
+        "columns", F.transform(F.transform("columns", described), judged)
+    )
+
+
+def column_report(corpus: Corpus) -> DataFrame:
+    """One row per column of every table."""
+    return _described(corpus).select("table_id", "n_rows", F.inline("columns"))
 
+
+def clean_tables(corpus: Corpus) -> DataFrame:
+    """Tables with the columns they keep; tables without rows or columns drop out."""
+    kept = F.filter("columns", lambda c: c["dropped"].isNull())
+    short = F.transform(kept, lambda c: c.dropFields("n_valid", "longest", "dropped"))
     return (
-        corpus.tables.join(stats, "table_id")
-        .withColumn("described", F.transform("columns", described))
-        .select(
-            "chunk",
-            "table_id",
-            "member",
-            "n_rows",
-            F.transform(F.filter("described", kept), short).alias("columns"),
-        )
+        _described(corpus)
+        .select("chunk", "table_id", "member", "n_rows", short.alias("columns"))
         .filter((F.col("n_rows") > 0) & (F.size("columns") > 0))
     )
 

@@ -37,6 +37,11 @@ def large_tables(tables: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame |
     )
 
 
+def split_keys(large: DataFrame | None) -> list[str]:
+    """What rows are partitioned by: a constant split would only hide that tables are whole."""
+    return ["table_id"] if large is None else ["table_id", "split"]
+
+
 def place_rows(rows: DataFrame, large: DataFrame | None) -> DataFrame:
     """Give every row its ordering hash and the split it belongs to.
 
@@ -72,13 +77,14 @@ def order_rows(rows: DataFrame, large: DataFrame | None, unique: bool) -> DataFr
     scan follows.
     """
     placed = place_rows(rows, large)
+    keys = split_keys(large)
     copy = F.lit(0)
     if not unique:
-        placed = placed.repartition("table_id", "split").withColumn(
+        placed = placed.repartition(*keys).withColumn(
             "copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))
         )
         copy = F.col("copy")
-    by_key = Window.partitionBy("table_id", "split").orderBy("order_key", copy)
+    by_key = Window.partitionBy(*keys).orderBy("order_key", copy)
     return placed.select(
         "table_id",
         "split",

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablemill.constants import FORMATS, WORD
+from tablemill.constants import FORMATS
 from tablemill.functions.text import csv_quote, float_text, json_string, let, three_digits
+from tablemill.functions.tokens import is_blank
 
 NUMERIC = ["int", "int_nullable", "float", "single"]
 FLOATING = ["int_nullable", "float", "single"]
@@ -70,11 +71,12 @@ def display_cells(cells: Column, columns: Column) -> Column:
 def time_mode(times: Column) -> Column:
     """The common precision of the present timestamps of one column."""
     present = F.filter(times, lambda t: t.isNotNull())
-    return (
-        F.when(F.forall(present, lambda t: t.endswith(" 00:00:00")), DATE)
-        .when(F.exists(present, lambda t: t.contains(".") & ~t.endswith("000")), MICRO)
-        .when(F.exists(present, lambda t: t.contains(".")), MILLI)
-        .otherwise(PLAIN)
+    return let(
+        present,
+        lambda some: F.when(F.forall(some, lambda t: t.endswith(" 00:00:00")), DATE)
+        .when(F.exists(some, lambda t: t.contains(".") & ~t.endswith("000")), MICRO)
+        .when(F.exists(some, lambda t: t.contains(".")), MILLI)
+        .otherwise(PLAIN),
     )
 
 
@@ -92,11 +94,17 @@ def csv_line(cells: Column, modes: Column) -> Column:
     """Comma-joined cells; a lone empty field prints as a pair of quotes."""
 
     def field(cell: Column, i: Column) -> Column:
-        mode = F.get(modes, i)
-        return F.when(mode.isNull(), csv_quote(cell)).otherwise(time_in_mode(cell, mode))
+        return let(
+            F.get(modes, i),
+            lambda mode: F.when(mode.isNull(), csv_quote(cell)).otherwise(
+                time_in_mode(cell, mode)
+            ),
+        )
 
     line = F.array_join(F.transform(cells, field), ",", "")
-    return F.when((F.size(cells) == 1) & (line == ""), '""').otherwise(line)
+    return F.when(
+        F.size(cells) == 1, let(line, lambda t: F.when(t == "", '""').otherwise(t))
+    ).otherwise(line)
 
 
 def csv_row(cells: Column, columns: Column) -> Column:
@@ -105,7 +113,7 @@ def csv_row(cells: Column, columns: Column) -> Column:
     def mode(c: Column, i: Column) -> Column:
         return F.when(c["kind"] == "time", time_mode(F.array(F.get(cells, i))))
 
-    return csv_line(cells, F.transform(columns, mode))
+    return let(F.transform(columns, mode), lambda modes: csv_line(cells, modes))
 
 
 def csv_lines(rows: Column, columns: Column) -> Column:
@@ -144,10 +152,13 @@ def keyvalue_row(cells: Column, columns: Column, kv_floats: Column) -> Column:
             )
             .otherwise(cell)
         )
-        return F.when(cell.rlike(WORD), F.concat(c["phrase"], text))
+        return F.when(~is_blank(cell), F.concat(c["phrase"], text))
 
     phrases = F.array_compact(F.transform(columns, phrase))
-    return F.when(F.size(phrases) > 0, F.concat(F.array_join(phrases, ". "), F.lit(".")))
+    return let(
+        phrases,
+        lambda p: F.when(F.size(p) > 0, F.concat(F.array_join(p, ". "), F.lit("."))),
+    )
 
 
 def keyvalue_table(rows: Column, columns: Column, kv_floats: Column) -> Column:
@@ -158,16 +169,18 @@ def keyvalue_table(rows: Column, columns: Column, kv_floats: Column) -> Column:
 
 
 def json_value(cell: Column, kind: Column, null_literal: str = "NaN") -> Column:
+    missing = (
+        F.when(kind.isin(NUMERIC), null_literal).when(kind == "time", '"NaT"').otherwise("null")
+    )
+    number = F.when(cell.endswith("inf"), F.replace(cell, F.lit("inf"), F.lit("Infinity")))
     return (
-        F.when(cell.isNull() & kind.isin(NUMERIC), null_literal)
-        .when(cell.isNull() & (kind == "time"), '"NaT"')
-        .when(cell.isNull(), "null")
-        .when(kind.isin("int", "int_nullable"), cell)
-        .when(cell.isin("inf", "-inf") & kind.isin(FLOATING), F.replace(cell, F.lit("inf"), F.lit("Infinity")))
-        .when(kind == "float", cell)
-        .when(kind == "single", float_text(cell.cast("float").cast("double")))
-        .when(kind.isin("bool", "bool_object"), F.lower(cell))
-        .otherwise(json_string(cell))
+        F.when(cell.isNull(), missing)
+        .when(kind == "object", json_string(cell))
+        .when(kind == "int", cell)
+        .when(kind.isin("float", "int_nullable"), F.coalesce(number, cell))
+        .when(kind == "time", F.concat(F.lit('"'), cell, F.lit('"')))
+        .when(kind == "single", F.coalesce(number, float_text(cell.cast("float").cast("double"))))
+        .otherwise(F.lower(cell))
     )
 
 

@@ -24,11 +24,19 @@ class Corpus(NamedTuple):
     tables: DataFrame
     rows: DataFrame
     # True if no row stands for more than one copy.
-    unique: bool
+    unique: bool = True
+    # The same rows before copies are counted, and their width if all tables share one;
+    # profiling reads these and so needs no shuffle of row content.
+    plain: DataFrame | None = None
+    width: int | None = None
 
 
 def table_id(chunk: Column, member: Column) -> Column:
-    return F.format_string("chunk%04d__%s", chunk, F.replace(member, F.lit("/"), F.lit("__")))
+    number = chunk.cast("string")
+    padded = F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)
+    return F.concat(
+        F.lit("chunk"), padded, F.lit("__"), F.replace(member, F.lit("/"), F.lit("__"))
+    )
 
 
 def table_seed(member: Column) -> Column:
@@ -43,6 +51,15 @@ def content_tag(cells: Column) -> Column:
     return F.md5(F.array_join(marked, "\x1f").cast("binary"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that comes in fewer pieces than there are cores.
+
+    Large inputs have many more pieces than cores and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def select_chunks(df: DataFrame, chunks: list[int]) -> DataFrame:
     """Keep some chunks; on data stored by chunk this prunes partitions."""
     return df.filter(F.col("chunk").isin(chunks))
@@ -74,7 +91,7 @@ def corpus_from_tables(
             for i, n in enumerate(names)
         ]
     )
-    named = df.withColumns({"__member": member, "__chunk": chunk.cast("int")})
+    named = spread(df).withColumns({"__member": member, "__chunk": chunk.cast("int")})
     tables = (
         named.select(
             F.col("__chunk").alias("chunk"),
@@ -94,8 +111,9 @@ def corpus_from_tables(
         rows = named.select(
             *base, tag.alias("row_tag"), F.lit(1).alias("n_copies"), cells.alias("cells")
         )
-        return Corpus(tables, rows, True)
-    return Corpus(tables, count_copies(named.select(*base, cells.alias("cells"))), False)
+        return Corpus(tables, rows, True, rows, len(names))
+    plain = named.select(*base, cells.alias("cells"))
+    return Corpus(tables, count_copies(plain), False, plain, len(names))
 
 
 def count_copies(rows: DataFrame) -> DataFrame:
