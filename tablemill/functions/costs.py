@@ -13,17 +13,14 @@ def with_row_costs(df: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """Add `costs`; a JSON row counts at least 1 and excludes its brackets."""
     texts = row_texts(F.col("cells"), F.col("columns"), F.col("kv_floats"))
     brackets = tokenizer(F.lit("[]"))
-    # A row is the same line in CSV and below an SQL schema.
-    counted = df.withColumns(
-        {
-            "__csv": tokenizer(texts["csv"]).cast("int"),
-            "__json": F.greatest(F.lit(1), tokenizer(texts["json"]) - brackets).cast("int"),
-            "__keyvalue": tokenizer(texts["keyvalue"]).cast("int"),
-            "__markdown": tokenizer(texts["markdown"]).cast("int"),
-        }
-    )
-    parts = ["__csv", "__json", "__keyvalue", "__markdown"]
-    return counted.withColumn("costs", F.array(*parts, "__csv")).drop(*parts)
+    # A row is the same line in CSV and below an SQL schema. The texts are columns of their
+    # own first, so a tokenizer may look at its input more than once.
+    names = {fmt: f"__{fmt}" for fmt in ["csv", "json", "keyvalue", "markdown"]}
+    rendered = df.withColumns({name: texts[fmt] for fmt, name in names.items()})
+    counts = {fmt: tokenizer(F.col(name)).cast("int") for fmt, name in names.items()}
+    counts["json"] = F.greatest(F.lit(1), counts["json"] - brackets).cast("int")
+    rendered = rendered.withColumns({names[fmt]: count for fmt, count in counts.items()})
+    return rendered.withColumn("costs", F.array(*names.values(), "__csv")).drop(*names.values())
 
 
 def header_costs(first_row: Column, columns: Column, tokenizer: Tokenizer) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,8 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write a result that several later steps read, and cut its lineage there."""
+    """Write a result that several later steps read; its lineage ends there.
+
+    The table lies in the shared folder, so a lost executor costs no recomputation,
+    and its size is known to the planner. The folder is the caller's to clean.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = os.path.join(shared_folder(spark), f"stage-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
