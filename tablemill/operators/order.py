@@ -120,6 +120,12 @@ def shuffle_rows(rows: DataFrame, large: DataFrame | None, unique: bool) -> Data
     ).select("table_id", (F.col("ord") + F.coalesce("base", F.lit(0))).alias("ord"), "cells")
 
 
+def sorted_members(tables: DataFrame) -> DataFrame:
+    """Position of every member within its archive, by name."""
+    by_name = Window.partitionBy("chunk").orderBy("member")
+    return tables.select("chunk", "member", F.row_number().over(by_name).alias("n"))
+
+
 def sample_tables(tables: DataFrame, n: int, seed: int) -> DataFrame:
     """A seeded sample without replacement: a top-k by hash, never a full sort."""
     draw = F.md5(F.concat_ws("-", F.lit(seed), "table_id").cast("binary"))

@@ -245,3 +245,23 @@ def rows_kept(ranges: DataFrame) -> DataFrame:
         F.sum(F.when(~kept, n).otherwise(0)).alias("rows_dropped"),
         F.count("seg_no").alias("segments"),
     )
+
+
+def serialize_stats(tables: DataFrame, segments: DataFrame, errors: DataFrame) -> DataFrame:
+    """Tables processed, tokens written and members skipped, per format and chunk."""
+    tokens = segments.groupBy("format", "table_id").agg(F.sum("n_tokens").alias("tokens"))
+    every = tables.select("chunk", "table_id").withColumn(
+        "format", F.explode(F.array(*[F.lit(f) for f in FORMATS]))
+    )
+    skipped = errors.groupBy("chunk").agg(F.count(F.lit(1)).alias("skipped"))
+    return (
+        every.join(tokens, ["format", "table_id"], "left")
+        .groupBy("format", "chunk")
+        .agg(
+            F.count(F.lit(1)).alias("processed"),
+            F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
+        )
+        .join(skipped, "chunk", "left")
+        .withColumn("skipped", F.coalesce("skipped", F.lit(0)))
+        .select("format", "chunk", "processed", "tokens", "skipped")
+    )

@@ -293,6 +293,29 @@ def range_text(c: Column, present: Column) -> Column:
     return F.when(F.size(present) > 0, F.coalesce(text, F.lit(""))).otherwise("")
 
 
+def column_ranges(rows: DataFrame, tables: DataFrame) -> DataFrame:
+    """Ranges over whole tables, of any size: minima and maxima combine on the map side."""
+    columns = prepare_columns(tables).select("table_id", F.posexplode("columns").alias("i", "c"))
+    numeric = columns.filter("c.sql_type <> 'VARCHAR'")
+    cells = rows.select("table_id", F.posexplode("cells").alias("pos", "cell"))
+    value = F.col("cell").try_cast("double")
+    whole = F.col("cell").try_cast("decimal(38,0)")
+    found = cells.groupBy("table_id", "pos").agg(
+        F.min(value).alias("low"), F.max(value).alias("high"), F.min(whole).alias("ilow"), F.max(whole).alias("ihigh")
+    )
+    bounds = F.when(
+        F.col("c.sql_type") == "FLOAT",
+        F.concat(three_digits(F.col("low")), F.lit(" to "), three_digits(F.col("high"))),
+    ).otherwise(F.concat(F.col("ilow").cast("string"), F.lit(" to "), F.col("ihigh").cast("string")))
+    return numeric.withColumn("pos", F.col("c.pos")).join(found, ["table_id", "pos"]).select(
+        "table_id",
+        F.col("i").alias("pos"),
+        F.col("c.name").alias("name"),
+        F.col("c.sql_type").alias("sql_type"),
+        F.concat(F.lit(" -- range: "), bounds).alias("bounds"),
+    )
+
+
 def sql_header(rows: Column | None, columns: Column) -> Column:
     """`CREATE TABLE` block; without rows there are no ranges."""
 

@@ -39,23 +39,42 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     )
 
 
+# Tokens with more than one part in MAX_FREQUENT of all occurrences: at most this many exist,
+# so the list of them can be broadcast whatever the size of the corpus.
+MAX_FREQUENT = 100_000
+
+
 def tokenize_segments(segments: DataFrame, vocab: DataFrame) -> DataFrame:
     """Segments as id sequences with the shard they go to; segments are bounded by the budget.
 
-    A frequent token may be a large part of all positions, so each segment's
-    distinct words are joined, not its positions.
+    A segment's distinct words are joined, not its positions. Words that occur
+    in a large part of the segments are looked up in a broadcast list of
+    bounded size, and only the others are shuffled.
     """
+    key = ["format", "table_id", "seg_no"]
     keyed = segments.withColumn(
         "shard",
         hash_bucket(F.concat_ws("-", "table_id", F.col("seg_no").cast("string")), TOKEN_SHARDS),
     ).withColumn("words", words(F.col("text")))
+    total = vocab.agg(F.sum("n").alias("total"))
+    frequent = (
+        vocab.crossJoin(F.broadcast(total))
+        .filter(F.col("n") * MAX_FREQUENT > F.col("total"))
+        .select("token", F.col("token_id").alias("known_id"))
+    )
+    pairs = keyed.select(*key, F.explode(F.array_distinct("words")).alias("token")).join(
+        F.broadcast(frequent), "token", "left"
+    )
+    found = pairs.filter("known_id is not null").withColumnRenamed("known_id", "token_id")
+    rare = pairs.filter("known_id is null").drop("known_id").join(
+        vocab.select("token", "token_id"), "token"
+    )
     ids = (
-        keyed.select("format", "table_id", "seg_no", F.explode(F.array_distinct("words")).alias("token"))
-        .join(vocab.select("token", "token_id"), "token")
-        .groupBy("format", "table_id", "seg_no")
+        found.unionByName(rare)
+        .groupBy(*key)
         .agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("ids"))
     )
-    return keyed.join(ids, ["format", "table_id", "seg_no"]).select(
+    return keyed.join(ids, key).select(
         "format",
         "shard",
         "table_id",

@@ -69,7 +69,7 @@ def corpus_from_tables(
     df: DataFrame,
     member: Column,
     chunk: Column,
-    columns: list[str] | None = None,
+    columns: list[str] | list[tuple[str, str]] | None = None,
     row_key: list[str] | None = None,
 ) -> Corpus:
     """Read one homogeneous DataFrame as many tables, one per member name.
@@ -77,10 +77,13 @@ def corpus_from_tables(
     With `row_key`, columns that identify a row within its table, rows need no
     shuffle here. Without it the row's content is its tag and identical rows
     are counted, which costs one shuffle but combines copies on the map side.
+    `columns` may give `(name, source column)` where the names of a table would clash in `df`.
     """
-    names = columns or df.columns
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    cells = F.array(*[cell_text(F.col(n), kinds[n]) for n in names])
+    named_columns = [c if isinstance(c, tuple) else (c, c) for c in columns or df.columns]
+    names = [name for name, _ in named_columns]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    kinds = {name: types[src] for name, src in named_columns}
+    cells = F.array(*[cell_text(F.col(f"`{src}`"), kinds[name]) for name, src in named_columns])
     layout = F.array(
         *[
             F.struct(
