@@ -72,6 +72,8 @@ class _Reader(DataSourceReader):
         return out
 
     def read(self, partition):
+        if partition is None:  # no archive matches
+            return
         path, chunk, share, shares = partition.value
         try:
             archive = zipfile.ZipFile(path)
