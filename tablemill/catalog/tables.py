@@ -20,7 +20,6 @@ from tablemill.catalog.corpora import (
 from tablemill.catalog.registry import query
 from tablemill.constants import FORMATS, HELD_OUT_CHUNKS, SAMPLE_SEED, SAMPLE_TABLES
 from tablemill.functions import text as X
-from tablemill.functions.costs import header_costs
 from tablemill.functions.tokens import count_words
 from tablemill.operators import checks, clean, fit, order, pack, render, shards
 from tablemill.plans.serialize import serialize

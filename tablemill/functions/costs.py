@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablemill.constants import FORMATS
+from tablemill.functions.text import built_once
 from tablemill.functions.tokens import Tokenizer
 from tablemill.operators.render import header_texts, row_texts
 
 
+@built_once
+def _row_texts() -> dict[str, Column]:
+    return row_texts(F.col("cells"), F.col("columns"), F.col("kv_floats"))
+
+
+@built_once
+def _header_texts() -> dict[str, Column]:
+    return header_texts(F.col("cells"), F.col("columns"))
+
+
 def with_row_costs(df: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """Add `costs`; a JSON row counts at least 1 and excludes its brackets."""
-    texts = row_texts(F.col("cells"), F.col("columns"), F.col("kv_floats"))
+    texts = _row_texts()
     brackets = tokenizer(F.lit("[]"))
     # A row is the same line in CSV and below an SQL schema. The texts are columns of their
     # own first, so a tokenizer may look at its input more than once.
@@ -23,6 +34,7 @@ def with_row_costs(df: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return rendered.withColumn("costs", F.array(*names.values(), "__csv")).drop(*names.values())
 
 
-def header_costs(first_row: Column, columns: Column, tokenizer: Tokenizer) -> Column:
-    texts = header_texts(first_row, columns)
+def header_costs(tokenizer: Tokenizer) -> Column:
+    """Costs of the headers of a table whose first row is in `cells`."""
+    texts = _header_texts()
     return F.array(*[tokenizer(texts[fmt]).cast("int") for fmt in FORMATS])

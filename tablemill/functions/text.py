@@ -6,8 +6,12 @@ Every function maps Columns to a Column, so the work stays inside the JVM.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TypeVar
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark import SparkContext
+from pyspark.sql import Column, functions as F, types
+
+T = TypeVar("T")
 
 # Short JSON escapes by UTF-16 unit.
 JSON_ESCAPES = [
@@ -21,9 +25,26 @@ JSON_ESCAPES = [
 ]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and use it many times, also inside a lambda."""
-    return F.transform(F.array(value), body)[0]
+def let(value: Column, body: Callable[[Column], Column], kind: str = "string") -> Column:
+    """Evaluate `value` once and use it many times, also inside a lambda.
+
+    `kind` is the type of the result. A fold over one element is cheaper than
+    taking element 0 of a transformed array, which derives its type anew for every row.
+    """
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, v: body(v))
+
+
+def built_once(build: Callable[[], T]) -> Callable[[], T]:
+    """Keep large expressions over fixed column names; building one takes thousands of JVM calls."""
+    kept: dict = {}
+
+    def get() -> T:
+        gateway = id(SparkContext._gateway)
+        if gateway not in kept:
+            kept[gateway] = build()
+        return kept[gateway]
+
+    return get
 
 
 def _strip_zeros(text: Column) -> Column:
@@ -117,17 +138,17 @@ def time_text(value: Column) -> Column:
     ).otherwise(F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-def cell_text(value: Column, kind: T.DataType) -> Column:
+def cell_text(value: Column, kind: types.DataType) -> Column:
     """The canonical text of a cell; missing values stay NULL."""
-    if isinstance(kind, T.BooleanType):
+    if isinstance(kind, types.BooleanType):
         return F.when(value, "True").when(~value, "False")
-    if isinstance(kind, T.FloatType):
+    if isinstance(kind, types.FloatType):
         return float_text(value, single=True)
-    if isinstance(kind, T.DoubleType):
+    if isinstance(kind, types.DoubleType):
         return float_text(value)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(kind, (types.TimestampType, types.TimestampNTZType)):
         return time_text(value)
-    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+    if isinstance(kind, (types.ArrayType, types.StructType, types.MapType)):
         return F.to_json(value)
     return value.cast("string")
 
@@ -166,16 +187,16 @@ def json_string(text: Column) -> Column:
     return F.concat(F.lit('"'), json_escape(text), F.lit('"'))
 
 
-def arrow_type_name(kind: T.DataType) -> str:
+def arrow_type_name(kind: types.DataType) -> str:
     """The name a columnar file gives the type; SQL types follow from it."""
-    if isinstance(kind, T.DecimalType):
+    if isinstance(kind, types.DecimalType):
         return f"decimal128({kind.precision}, {kind.scale})"
-    if isinstance(kind, T.ArrayType):
+    if isinstance(kind, types.ArrayType):
         return f"list<element: {arrow_type_name(kind.elementType)}>"
-    if isinstance(kind, T.StructType):
+    if isinstance(kind, types.StructType):
         inner = ", ".join(f"{f.name}: {arrow_type_name(f.dataType)}" for f in kind.fields)
         return f"struct<{inner}>"
-    if isinstance(kind, T.MapType):
+    if isinstance(kind, types.MapType):
         return f"map<{arrow_type_name(kind.keyType)}, {arrow_type_name(kind.valueType)}>"
     return {
         "tinyint": "int8",

@@ -69,6 +69,10 @@ def prefix_candidates(
     )
 
 
+# State of the binary search.
+SEARCH = "struct<low: int, high: int, best: int>"
+
+
 def longest_prefix(budget: int, tokenizer: Tokenizer, special_tokens: int = 0) -> Column:
     """Binary search over the gathered rows; 0 if not even the first row fits."""
 
@@ -76,7 +80,7 @@ def longest_prefix(budget: int, tokenizer: Tokenizer, special_tokens: int = 0) -
         text = render_slice(
             F.col("format"), F.slice("rows", F.lit(1), n), F.col("columns"), F.col("kv_floats")
         )
-        return let(text, lambda t: tokenizer(t) + special_tokens <= budget)
+        return let(text, lambda t: tokenizer(t) + special_tokens <= budget, "boolean")
 
     def narrow(state: Column, _: Column) -> Column:
         low, high, best = state["low"], state["high"], state["best"]
@@ -89,10 +93,11 @@ def longest_prefix(budget: int, tokenizer: Tokenizer, special_tokens: int = 0) -
                     F.when(ok, high).otherwise(middle - 1).alias("high"),
                     F.when(ok, middle).otherwise(best).alias("best"),
                 ),
+                SEARCH,
             )
 
         return F.when(low > high, state).otherwise(
-            let(F.shiftright(low + high, 1), moved)
+            let(F.shiftright(low + high, 1), moved, SEARCH)
         )
 
     size = F.size("rows")

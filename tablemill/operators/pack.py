@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablemill.constants import FORMATS, TOKEN_BUDGET
 from tablemill.functions.costs import header_costs, with_row_costs
+from tablemill.functions.text import built_once
 from tablemill.functions.tokens import Tokenizer, count_words
 from tablemill.operators.order import order_key, order_rows, split_keys
 from tablemill.operators.render import display_cells, prepare_columns, render_slice
@@ -77,7 +78,7 @@ def table_headers(
         "chunk",
         "table_id",
         "n_rows",
-        header_costs(F.col("cells"), F.col("columns"), tokenizer).alias("header_costs"),
+        header_costs(tokenizer).alias("header_costs"),
     )
 
 
@@ -87,7 +88,7 @@ def _with_state(
     """Attach to the first row of each split what the scan has to know about it."""
     closed = F.array(*[F.lit(-1)] * len(FORMATS))
     zeros = F.array(*[F.lit(0).cast("bigint")] * len(FORMATS))
-    own_header = header_costs(F.col("cells"), F.col("columns"), tokenizer)
+    own_header = header_costs(tokenizer)
     if headers is not None:
         # Only tables that are cut appear here; their later splits lack the first row.
         rows = rows.join(F.broadcast(headers), "table_id", "left")
@@ -216,11 +217,13 @@ def pack_segments(
     return whole.unionByName(merged)
 
 
+@built_once
+def _slice_text() -> Column:
+    return render_slice(F.col("format"), F.col("rows"), F.col("columns"), F.col("kv_floats"))
+
+
 def segment_text(segments: DataFrame) -> DataFrame:
     """Render packed segments; a narrow step on bounded slices."""
-    text: Column = render_slice(
-        F.col("format"), F.col("rows"), F.col("columns"), F.col("kv_floats")
-    )
     return segments.select(
         "format",
         "table_id",
@@ -228,7 +231,7 @@ def segment_text(segments: DataFrame) -> DataFrame:
         "start_ord",
         "end_ord",
         (F.col("end_ord") - F.col("start_ord")).alias("n_rows"),
-        text.alias("text"),
+        _slice_text().alias("text"),
     )
 
 

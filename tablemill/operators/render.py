@@ -123,6 +123,7 @@ def csv_lines(rows: Column, columns: Column) -> Column:
     return let(
         F.transform(columns, mode),
         lambda modes: F.transform(rows, lambda r: csv_line(r, modes)),
+        "array<string>",
     )
 
 

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types
 
-from tablemill.functions.text import arrow_type_name, cell_text
+from tablemill.functions.text import arrow_type_name, cell_text, float_text
 
 # Copies of one row travel in runs of at most this many, so a row repeated
 # across a large part of a corpus still spreads over many tasks.
@@ -57,7 +57,8 @@ def spread(df: DataFrame) -> DataFrame:
     Large inputs have many more pieces than cores and pass through unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if pieces < cores else df
 
 
 def select_chunks(df: DataFrame, chunks: list[int]) -> DataFrame:
@@ -81,9 +82,19 @@ def corpus_from_tables(
     """
     named_columns = [c if isinstance(c, tuple) else (c, c) for c in columns or df.columns]
     names = [name for name, _ in named_columns]
-    types = {f.name: f.dataType for f in df.schema.fields}
-    kinds = {name: types[src] for name, src in named_columns}
-    cells = F.array(*[cell_text(F.col(f"`{src}`"), kinds[name]) for name, src in named_columns])
+    source_types = {f.name: f.dataType for f in df.schema.fields}
+    kinds = {name: source_types[src] for name, src in named_columns}
+    doubles = [src for name, src in named_columns if isinstance(kinds[name], types.DoubleType)]
+
+    def text(name: str, src: str) -> Column:
+        if src in doubles:
+            return F.get("__floats", F.lit(doubles.index(src)))
+        return cell_text(F.col(f"`{src}`"), kinds[name])
+
+    # One expression prints all floats of a row.
+    values = F.array(*[F.col(f"`{src}`") for src in doubles])
+    floats = F.transform(values, lambda v: float_text(v)) if doubles else values
+    cells = F.array(*[text(name, src) for name, src in named_columns])
     layout = F.array(
         *[
             F.struct(
@@ -94,7 +105,9 @@ def corpus_from_tables(
             for i, n in enumerate(names)
         ]
     )
-    named = spread(df).withColumns({"__member": member, "__chunk": chunk.cast("int")})
+    named = spread(df).withColumns(
+        {"__member": member, "__chunk": chunk.cast("int"), "__floats": floats}
+    )
     tables = (
         named.select(
             F.col("__chunk").alias("chunk"),
