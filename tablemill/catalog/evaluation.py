@@ -152,7 +152,7 @@ made AS (
 
 def _templates(spark, sf, spec):
     p = prepared(spark, sf, spec)
-    return pairs.template_pairs(p.corpus, p.tables)
+    return pairs.template_pairs(*p)
 
 
 query("template_pairs", with_(template_sql(EVENT), "SELECT * FROM made"))(
@@ -334,7 +334,7 @@ def write_segments(spark, sf):
 def write_clean(spark, sf):
     path = new_folder(spark)
     p = prepared(spark, sf, NATION)
-    rows = clean.clean_cells(order.shuffle_rows(p.corpus.rows, p.large, p.corpus.unique), p.tables)
+    rows = clean.clean_cells(order.shuffle_rows(p.corpus.rows, p.large, p.corpus.unique), p.tables, p.large)
     files.write_clean_tables(rows.join(p.tables.select("table_id", "chunk"), "table_id"), path)
     return spark.read.parquet(path).select("chunk", "table_id", "ord", F.array_join("cells", "|", "?").alias("cells"))
 

@@ -101,7 +101,7 @@ query("nullable_int_kind", with_(S.cells(NATION), REPORT))(_column_report(NATION
 def cleaned(spark, sf):
     p = prepared(spark, sf, TALK)
     ordered = order.shuffle_rows(p.corpus.rows, p.large, p.corpus.unique)
-    rows = clean.clean_cells(ordered, p.tables)
+    rows = clean.clean_cells(ordered, p.tables, p.large)
     return rows.select("table_id", "ord", F.array_join("cells", "|", "?").alias("cells"))
 
 

@@ -34,7 +34,17 @@ def with_row_costs(df: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return rendered.withColumn("costs", F.array(*names.values(), "__csv")).drop(*names.values())
 
 
-def header_costs(tokenizer: Tokenizer) -> Column:
-    """Costs of the headers of a table whose first row is in `cells`."""
+def with_header_costs(
+    df: DataFrame, tokenizer: Tokenizer, name: str = "header_costs", where: Column | None = None
+) -> DataFrame:
+    """Add the header costs of a table whose first row is in `cells`.
+
+    Only rows that satisfy `where` render and count a header.
+    """
     texts = _header_texts()
-    return F.array(*[tokenizer(texts[fmt]).cast("int") for fmt in FORMATS])
+    if where is not None:
+        texts = {fmt: F.when(where, text) for fmt, text in texts.items()}
+    names = {fmt: f"__h_{fmt}" for fmt in FORMATS}
+    rendered = df.withColumns({names[fmt]: texts[fmt] for fmt in FORMATS})
+    counts = F.array(*[tokenizer(F.col(names[fmt])).cast("int") for fmt in FORMATS])
+    return rendered.withColumn(name, counts).drop(*names.values())

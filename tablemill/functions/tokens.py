@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from tablemill.constants import WIDE_SPACES, WORD
@@ -35,20 +36,19 @@ def is_blank(text: Column) -> Column:
 
 def file_tokenizer(path: str) -> Tokenizer:
     """A tokenizer file in the `tokenizers` JSON format, run over Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
         tokenizer = _load(path)
         encoded = tokenizer.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
         return pd.Series([len(e.ids) for e in encoded], dtype="int32")
 
-    return count
+    # The null check is a second use of the text, which keeps it a column of its own: rendering
+    # and Python call must not be merged into one expression.
+    return lambda text: F.when(text.isNotNull(), count(text))
 
 
 def file_encoder(path: str) -> Callable[[Column], Column]:
     """Token ids under a tokenizer file."""
-    import pandas as pd
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
@@ -56,7 +56,7 @@ def file_encoder(path: str) -> Callable[[Column], Column]:
         encoded = tokenizer.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
         return pd.Series([e.ids for e in encoded])
 
-    return encode
+    return lambda text: F.when(text.isNotNull(), encode(text))
 
 
 _LOADED: dict = {}

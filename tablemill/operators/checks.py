@@ -57,7 +57,7 @@ def table_fingerprints(rows: DataFrame) -> DataFrame:
 def holdout_leak(rows: DataFrame, held_out: list[int]) -> DataFrame:
     """Held-out tables whose content also lies in a training chunk."""
     prints = table_fingerprints(rows)
-    training = prints.filter(~F.col("chunk").isin(held_out)).select("fingerprint")
+    training = prints.filter(~F.col("chunk").isin(held_out)).select("fingerprint").distinct()
     return (
         prints.filter(F.col("chunk").isin(held_out))
         .join(training, "fingerprint", "left_semi")

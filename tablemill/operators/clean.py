@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablemill.constants import MAX_CELL_CHARS
+from tablemill.operators.order import attach
 from tablemill.sources.corpus import Corpus
 
 
@@ -121,10 +122,9 @@ def clean_tables(corpus: Corpus) -> DataFrame:
     )
 
 
-def clean_cells(rows: DataFrame, tables: DataFrame) -> DataFrame:
+def clean_cells(rows: DataFrame, tables: DataFrame, large: DataFrame | None = None) -> DataFrame:
     """Rows with only the kept cells, in column order."""
-    kept = tables.select("table_id", "columns")
-    return rows.join(kept, "table_id").select(
+    return attach(rows, tables.select("table_id", "columns"), large).select(
         *[c for c in rows.columns if c != "cells"],
         F.transform("columns", lambda c: F.get("cells", c["pos"])).alias("cells"),
     )

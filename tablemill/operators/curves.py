@@ -38,14 +38,31 @@ def last_per_step(points: DataFrame, order: str) -> DataFrame:
     return points.groupBy("run", "step").agg(F.max_by("loss", order).alias("loss"))
 
 
-def sort_curve(points: DataFrame) -> DataFrame:
-    """Number the points of each curve by step."""
-    by_step = Window.partitionBy("run").orderBy("step")
-    return points.withColumn("pos", F.row_number().over(by_step))
+# Steps per block; long curves are numbered and smoothed block by block.
+BLOCK_STEPS = 100_000
 
 
-# Points of a curve per block of the smoothing scan.
-BLOCK_STEPS = 100_000
+def _blocked(points: DataFrame, block_steps: int) -> DataFrame:
+    return points.withColumn("block", F.floor(F.col("step") / block_steps).cast("bigint"))
+
+
+def sort_curve(points: DataFrame, block_steps: int = BLOCK_STEPS) -> DataFrame:
+    """Number the points of each curve by step."""
+    blocked = _blocked(points, block_steps)
+    before = Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per block, however many points a curve has.
+    bases = (
+        blocked.groupBy("run", "block")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("run", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    )
+    within = Window.partitionBy("run", "block").orderBy("step")
+    numbered = blocked.withColumn("pos", F.row_number().over(within))
+    return (
+        numbered.join(bases, ["run", "block"])
+        .withColumn("pos", F.col("pos") + F.col("base"))
+        .drop("block", "base")
+    )
 
 
 def ema(points: DataFrame, factor: float, block_steps: int = BLOCK_STEPS) -> DataFrame:
@@ -57,9 +74,9 @@ def ema(points: DataFrame, factor: float, block_steps: int = BLOCK_STEPS) -> Dat
     """
     if factor <= 0:
         return points.withColumn("smooth", F.col("loss"))
-    blocked = points.withColumn("block", F.floor(F.col("step") / block_steps).cast("bigint"))
     scanned = (
-        blocked.repartition("run", "block")
+        _blocked(points, block_steps)
+        .repartition("run", "block")
         .sortWithinPartitions("run", "block", "step")
         .select("run", "block", "step", "loss")
         .mapInPandas(

@@ -16,21 +16,23 @@ from tablemill.sources.corpus import Corpus
 def prefix_candidates(
     corpus: Corpus, tables: DataFrame, large: DataFrame | None, budget: int, tokenizer: Tokenizer
 ) -> DataFrame:
-    """`(format, table_id, rows, columns, kv_floats, n_rows)` with the rows that could fit.
+    """`(format, table_id, rows, ords, columns, kv_floats, n_rows)` with the rows that could fit.
 
     A prefix costs at least its rows, so rows past the budget by that sum alone
-    never leave their task; what is gathered per table is bounded by the budget.
+    never leave their task. Per table come the rows up to the first one too many,
+    and of blank key-value rows, which cost and print nothing, only one at the
+    start; so what is gathered is bounded by the budget.
     """
     rows = costed_rows(corpus, tables, large, tokenizer)
     so_far = Window.partitionBy(*split_keys(large)).orderBy("ord")
-    running = [
-        F.sum(F.get("costs", F.lit(i))).over(so_far.rowsBetween(Window.unboundedPreceding, 0))
-        for i in range(len(FORMATS))
-    ]
-    rows = rows.withColumn("running", F.array(*running))
+    costs = [F.get("costs", F.lit(i)) for i in range(len(FORMATS))]
+    before_row = F.array(
+        *[F.coalesce(F.sum(c).over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in costs]
+    )
+    rows = rows.withColumn("before", before_row)
     if large is not None:
         # A few rows per large table: what the splits before this one add up to.
-        before = (
+        earlier = (
             Window.partitionBy("table_id")
             .orderBy("split")
             .rowsBetween(Window.unboundedPreceding, -1)
@@ -38,33 +40,47 @@ def prefix_candidates(
         totals = (
             rows.join(F.broadcast(large.select("table_id")), "table_id", "left_semi")
             .groupBy("table_id", "split")
-            .agg(*[F.sum(F.get("costs", F.lit(i))).alias(f"t{i}") for i in range(len(FORMATS))])
+            .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"t{i}") for i, c in enumerate(costs)])
             .select(
                 "table_id",
                 "split",
+                F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"),
                 F.array(
-                    *[F.coalesce(F.sum(f"t{i}").over(before), F.lit(0)) for i in range(len(FORMATS))]
-                ).alias("before"),
+                    *[F.coalesce(F.sum(f"t{i}").over(earlier), F.lit(0)) for i in range(len(FORMATS))]
+                ).alias("earlier"),
             )
         )
-        rows = rows.join(F.broadcast(totals), ["table_id", "split"], "left").withColumn(
-            "running",
-            F.when(F.col("before").isNull(), F.col("running")).otherwise(
-                F.zip_with("running", "before", lambda a, b: a + b)
-            ),
+        rows = (
+            rows.join(F.broadcast(totals), ["table_id", "split"], "left")
+            .withColumn("ord", F.col("ord") + F.coalesce("base", F.lit(0)))
+            .withColumn(
+                "before",
+                F.when(F.col("earlier").isNull(), F.col("before")).otherwise(
+                    F.zip_with("before", "earlier", lambda a, b: a + b)
+                ),
+            )
         )
-    formats = F.array(*[F.lit(f) for f in FORMATS])
-    fits = F.zip_with(formats, "running", lambda f, r: F.when(r <= budget, f))
+    needed = F.array(
+        *[
+            F.when(
+                (F.get("before", F.lit(i)) <= budget)
+                & ((F.lit(fmt != "keyvalue") | (costs[i] > 0)) | (F.col("ord") == 0)),
+                F.lit(fmt),
+            )
+            for i, fmt in enumerate(FORMATS)
+        ]
+    )
     return (
-        rows.withColumn("format", F.explode(F.array_compact(fits)))
+        rows.withColumn("format", F.explode(F.array_compact(needed)))
         .groupBy("table_id", "format")
         .agg(
-            F.sort_array(F.collect_list(F.struct("split", "ord", "cells"))).alias("found"),
+            F.sort_array(F.collect_list(F.struct("ord", "cells"))).alias("found"),
             F.first("columns").alias("columns"),
             F.first("kv_floats").alias("kv_floats"),
             F.first("n_rows").alias("n_rows"),
         )
         .withColumn("rows", F.transform("found", lambda r: r["cells"]))
+        .withColumn("ords", F.transform("found", lambda r: r["ord"]))
         .drop("found")
     )
 
@@ -120,12 +136,17 @@ def fit_rows(
     tokenizer built from Column expressions.
     """
     found = prefix_candidates(corpus, tables, large, budget, tokenizer)
-    fitted = found.withColumn("fit_n", longest_prefix(budget, tokenizer, special_tokens))
+    fitted = found.withColumn("best", longest_prefix(budget, tokenizer, special_tokens))
     text = render_slice(
-        F.col("format"), F.slice("rows", F.lit(1), F.col("fit_n")), F.col("columns"), F.col("kv_floats")
+        F.col("format"), F.slice("rows", F.lit(1), F.col("best")), F.col("columns"), F.col("kv_floats")
     )
+    # The prefix ends before the first row that does not fit; blank rows in between count.
+    fit_n = F.when(F.col("best") < F.size("ords"), F.get("ords", F.col("best"))).otherwise(F.col("n_rows"))
     fitted = fitted.select(
-        "table_id", "format", "fit_n", F.when(F.col("fit_n") > 0, text).alias("text")
+        "table_id",
+        "format",
+        F.when(F.col("best") == 0, 0).otherwise(fit_n).alias("fit_n"),
+        F.when(F.col("best") > 0, text).alias("text"),
     )
     # Formats of which not one row fits the budget.
     every = tables.select(

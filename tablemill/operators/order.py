@@ -93,6 +93,25 @@ def order_rows(rows: DataFrame, large: DataFrame | None, unique: bool) -> DataFr
     )
 
 
+def attach(rows: DataFrame, per_table: DataFrame, large: DataFrame | None) -> DataFrame:
+    """Join rows with one row per table; the rows of a large table spread over its splits."""
+    if large is None:
+        return rows.join(per_table, "table_id")
+    cuts = F.broadcast(large)
+    pieces = F.coalesce("n_splits", F.lit(1))
+    spread = (
+        rows.join(cuts, "table_id", "left")
+        .withColumn("__piece", F.pmod(F.hash("cells"), pieces).cast("int"))
+        .drop("n_splits")
+    )
+    copies = (
+        per_table.join(cuts, "table_id", "left")
+        .withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+        .drop("n_splits")
+    )
+    return spread.join(copies, ["table_id", "__piece"]).drop("__piece")
+
+
 def split_bases(rows: DataFrame, large: DataFrame) -> DataFrame:
     """First position of every split of the large tables; at most two rows per limit-sized piece."""
     before = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablemill.constants import FORMATS, TOKEN_BUDGET
-from tablemill.functions.costs import header_costs, with_row_costs
+from tablemill.functions.costs import with_header_costs, with_row_costs
 from tablemill.functions.text import built_once
 from tablemill.functions.tokens import Tokenizer, count_words
 from tablemill.operators.order import order_key, order_rows, split_keys
@@ -74,11 +74,8 @@ def table_headers(
     corpus: Corpus, tables: DataFrame, tokenizer: Tokenizer = count_words
 ) -> DataFrame:
     """Header cost of every table in each format."""
-    return first_rows(corpus, tables).select(
-        "chunk",
-        "table_id",
-        "n_rows",
-        header_costs(tokenizer).alias("header_costs"),
+    return with_header_costs(first_rows(corpus, tables), tokenizer).select(
+        "chunk", "table_id", "n_rows", "header_costs"
     )
 
 
@@ -88,7 +85,8 @@ def _with_state(
     """Attach to the first row of each split what the scan has to know about it."""
     closed = F.array(*[F.lit(-1)] * len(FORMATS))
     zeros = F.array(*[F.lit(0).cast("bigint")] * len(FORMATS))
-    own_header = header_costs(tokenizer)
+    rows = with_header_costs(rows, tokenizer, "own_header", F.col("ord") == 0)
+    own_header = F.col("own_header")
     if headers is not None:
         # Only tables that are cut appear here; their later splits lack the first row.
         rows = rows.join(F.broadcast(headers), "table_id", "left")

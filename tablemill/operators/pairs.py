@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablemill.constants import MAX_ATTEMPTS, PAIR_TYPES
 from tablemill.functions.tokens import Tokenizer, count_words
 from tablemill.operators import fit
+from tablemill.operators.order import attach
 from tablemill.operators.render import NUMERIC, display_cells, markdown_table, prepare_columns
 from tablemill.sources.corpus import Corpus
 
@@ -93,7 +94,9 @@ def fan_out_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def template_pairs(corpus: Corpus, tables: DataFrame) -> DataFrame:
+def template_pairs(
+    corpus: Corpus, tables: DataFrame, large: DataFrame | None = None
+) -> DataFrame:
     """One pair of each type from the table itself, without a generator.
 
     The first text column names the rows, the first two numeric columns give
@@ -119,7 +122,7 @@ def template_pairs(corpus: Corpus, tables: DataFrame) -> DataFrame:
             F.get("value_at", F.lit(1)).alias("second_at"),
         )
     )
-    shown = corpus.rows.join(meta, "table_id").withColumn(
+    shown = attach(corpus.rows, meta, large).withColumn(
         "cells", display_cells(F.col("cells"), F.col("columns"))
     )
 

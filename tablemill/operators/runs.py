@@ -6,7 +6,7 @@ Inputs are exported listings: `paths(location, path)` of checkpoint directories,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablemill.constants import (
     CHECKPOINT_DIR,
@@ -209,11 +209,19 @@ def filter_runs(
 
 
 def best_run(eligible: DataFrame) -> DataFrame:
-    """Per format and seed the run that got furthest, then the one with most checkpoints."""
-    order = Window.partitionBy("format", "seed").orderBy(
-        F.array_max("available").desc(), F.size("available").desc(), "exp"
+    """Per format and seed the run that got furthest, then the one with most checkpoints.
+
+    A minimum over ordered structs combines on the map side, unlike ranks in a window.
+    """
+    order = F.struct(
+        (-F.array_max("available")).alias("a"), (-F.size("available")).alias("b"), F.col("exp").alias("c")
+    )
+    whole = F.struct(*[F.col(c) for c in eligible.columns])
+    return (
+        eligible.groupBy("format", "seed")
+        .agg(F.min(F.struct(order.alias("o"), whole.alias("run"))).alias("first"))
+        .select("first.run.*")
     )
-    return eligible.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 
 def row_budget(best: DataFrame) -> DataFrame:

@@ -24,8 +24,8 @@ def vocabulary(texts: DataFrame) -> DataFrame:
         texts.select(F.explode(words(F.col("text"))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
-        # Rare tokens make up most of a vocabulary; a hash-free slice of the token splits them.
-        .withColumn("slice", F.substring(F.hex(F.col("token").cast("binary")), 1, 4))
+        # Rare tokens make up most of a vocabulary; their first bytes split them in order.
+        .withColumn("slice", F.substring(F.hex(F.col("token").cast("binary")), 1, 6))
     )
     group = Window.partitionBy("n", "slice").orderBy("token")
     sizes = counts.groupBy("n", "slice").agg(F.count(F.lit(1)).alias("size"))
