@@ -1,6 +1,6 @@
 """Imports every operator, so that its query is registered."""
 
-from tablemill.llm import decontaminate, quality, sharding  # noqa: F401
+from tablemill.llm import chat, decontaminate, quality, sharding, warc  # noqa: F401
 from tablemill.llm.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import functools
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tablemill.session import shared_folder
+
 #: ASCII white space; everything else belongs to words.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes handled at once by vectorised scans; a longer document is scanned alone.
@@ -126,3 +129,22 @@ def public_tokenizer(name: str) -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path(name))
+
+
+def open_store(uri: str):
+    """The Arrow file system of a shared folder or file (local, HDFS, object stores) and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh folder under the one that all executors share; the caller cleans up."""
+    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def store_file(folder: str, name: str):
+    """A new file in a shared folder, to write bytes to."""
+    store, path = open_store(folder)
+    store.create_dir(path, recursive=True)
+    return store.open_output_stream(f"{path}/{name}", compression=None)
