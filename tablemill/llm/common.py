@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,9 +75,25 @@ def word_bounds(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-@functools.lru_cache(maxsize=4)
+def process_cache(kind: str) -> dict:
+    """A dictionary that lives as long as the Python process.
+
+    Functions travel to tasks by value, so that a module's own globals would be new in each task.
+    """
+    import pyspark
+
+    return pyspark.__dict__.setdefault("_kept_by_process", {}).setdefault(kind, {})
+
+
 def _tables(seed: int) -> tuple[np.ndarray, int, int]:
     """A random value for each byte (0 for white space), an odd base and its inverse."""
+    kept = process_cache("tables")
+    if seed not in kept:
+        kept[seed] = _new_tables(seed)
+    return kept[seed]
+
+
+def _new_tables(seed: int) -> tuple[np.ndarray, int, int]:
     rng = np.random.default_rng(seed)
     values = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
     values[list(SPACES)] = 0
@@ -86,12 +101,10 @@ def _tables(seed: int) -> tuple[np.ndarray, int, int]:
     return values, base, pow(base, -1, 1 << 64)
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. n - 1 modulo 2 ** 64; tables of the usual slice are kept."""
-    known = _POWERS.get(base)
+    kept = process_cache("powers")
+    known = kept.get(base)
     if known is None or len(known) < n:
         known = np.empty(max(n, SLICE_BYTES), np.uint64)
         known[0] = 1
@@ -101,7 +114,7 @@ def powers(base: int, n: int) -> np.ndarray:
             known[have : have + step] = known[:step] * np.uint64(pow(base, have, 1 << 64))
             have += step
         if n <= SLICE_BYTES:
-            _POWERS[base] = known
+            kept[base] = known
     return known[:n]
 
 

@@ -11,7 +11,6 @@ digit becomes a space, so that offsets stay; then each run of spaces becomes one
 from __future__ import annotations
 
 import uuid
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablemill.llm.common import read
+from tablemill.llm.common import process_cache, read
 from tablemill.llm.queries import query
 from tablemill.session import stage
 
@@ -128,16 +127,16 @@ def original_ranges(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
 
 SCHEMA = "n_words long, n_hit long, items array<string>, ranges array<struct<start:long,end:long>>"
 STATE = "spans array<struct<start:long,end:long>>, items array<string>"
-#: Automata of this process by their block's name; the last AUTOMATA used are kept.
-_SCANNERS: OrderedDict[str, Scanner] = OrderedDict()
+#: Automata that a process keeps, by their block's name.
 AUTOMATA = 2
 
 
 def _scanner(name: str, block: Broadcast) -> Scanner:
-    found = _SCANNERS.pop(name, None) or Scanner(block.value)
-    _SCANNERS[name] = found
-    while len(_SCANNERS) > AUTOMATA:
-        _SCANNERS.popitem(last=False)
+    kept = process_cache("scanners")
+    found = kept.pop(name, None) or Scanner(block.value)
+    kept[name] = found
+    while len(kept) > AUTOMATA:
+        kept.pop(next(iter(kept)))
     return found
 
 
