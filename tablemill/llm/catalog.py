@@ -1,6 +1,6 @@
 """Imports every operator, so that its query is registered."""
 
-from tablemill.llm import bpe, chat, decontaminate, quality, sharding, token_store, warc  # noqa: F401
+from tablemill.llm import bpe, chat, decontaminate, quality, sharding, substring_dedup, token_store, warc  # noqa: F401
 from tablemill.llm.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
