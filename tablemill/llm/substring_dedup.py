@@ -6,8 +6,8 @@ symbol and a right one after it one name. Names are fingerprints of what they st
 same in all documents without any exchange, and equal substrings get equal symbols in their
 interior. With each symbol goes its context: the words that, wherever they stand, force this symbol.
 
-A window of WINDOW words is assigned to its anchor: the highest symbol, and of those the first, whose
-context lies inside the window. Equal windows have equal anchors at equal distances, so windows can be
+A window of WINDOW words is assigned to its anchor: of the highest symbols whose
+contexts lie inside the window, the one with the least hash, so that neighbouring windows mostly share it. Equal windows have equal anchors at equal distances, so windows can be
 compared where their anchor's name sends them; windows that share one are told apart by a
 fingerprint of their words. Batches first drop windows that they hold twice, so that a passage
 that stands in every document is sent once per batch.
@@ -26,7 +26,7 @@ from tablemill.llm.queries import query
 
 WINDOW = 20
 #: Rounds of naming; contexts of later rounds don't fit in a window.
-ROUNDS = 3
+ROUNDS = 2
 #: Buckets for each shuffle partition.
 SPREAD = 2
 NULL_KEY = -(1 << 63)
@@ -99,6 +99,22 @@ def window_prints(words: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
+def _least(value: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Index of the first least value in each range [left, right), -1 for empty ranges."""
+    best = np.where(left < right, left, -1)
+    least = value[np.minimum(left, len(value) - 1)]
+    open_ = np.flatnonzero(left + 1 < right)
+    step = 1
+    while len(open_):
+        at = left[open_] + step
+        less = value[at] < least[open_]
+        better = open_[less]
+        best[better], least[better] = at[less], value[at[less]]
+        step += 1
+        open_ = open_[left[open_] + step < right[open_]]
+    return best
+
+
 class Anchored:
     """Runs of consecutive windows that share an anchor."""
 
@@ -125,14 +141,17 @@ class Anchored:
             low, high, start, name = level.low[sure], level.high[sure], level.start[sure], level.name[sure]
             if not len(low):
                 continue
-            before = np.cumsum(np.bincount(low, minlength=n + 1))
-            # The first symbol whose context starts in the window or after its first word.
-            of = np.where(window > 0, before[window - 1], 0)
-            of_ = np.minimum(of, len(low) - 1)
-            fits = wanted & (of < len(low)) & (high[of_] <= window + width)
-            symbol[fits] = of_[fits] * 8 + number
-            key[fits] = name[of_[fits]] + np.uint64(number)
-            shift[fits] = start[of_[fits]] - window[fits]
+            # The symbols whose contexts lie in a window stand together: from `left`, before `right`.
+            asked = window[wanted]
+            left = np.concatenate(([0], np.cumsum(np.bincount(low, minlength=n + 1))))[asked]
+            right = np.cumsum(np.bincount(high, minlength=n + 1))[asked + width]
+            chosen = _least(mix(name), left, right)
+            fits = np.zeros(len(window), bool)
+            fits[np.flatnonzero(wanted)[chosen >= 0]] = True
+            chosen = chosen[chosen >= 0]
+            symbol[fits] = chosen * 8 + number
+            key[fits] = name[chosen] + np.uint64(number)
+            shift[fits] = start[chosen] - window[fits]
             wanted &= ~fits
             if not wanted.any():
                 break
