@@ -28,8 +28,8 @@ MEAN = 1024
 BATCH_BYTES = 16 << 20
 
 
-def cut_points(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bounds of the chunks: every document's bounds and the cuts inside, at starts of characters."""
+def cut_points(body: np.ndarray, offsets: np.ndarray, mean: int = MEAN) -> np.ndarray:
+    """Bounds of the chunks: every document's bounds and the cuts inside, at starts of characters; `mean` is a power of two."""
     n = len(body)
     bounds = np.unique(offsets)
     if n <= ROLL:
@@ -38,7 +38,7 @@ def cut_points(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     while width < ROLL:
         rolled = rolled[:-width] * np.uint64(weight) + rolled[width:]
         width, weight = 2 * width, weight * weight % (1 << 64)
-    shift = np.uint64(64 - (MEAN.bit_length() - 1))
+    shift = np.uint64(64 - (mean.bit_length() - 1))
     cuts = np.flatnonzero((rolled * np.uint64(0xD6E8FEB86659FD93)) >> shift == 0) + ROLL
     cuts = cuts[cuts < n]
     cuts = cuts[(body[cuts] & 0xC0) != 0x80]

@@ -1,6 +1,8 @@
 """Imports every operator, so that its query is registered."""
 
-from tablemill.llm import bpe, chat, decontaminate, jaccard_join, quality, sharding, substring_dedup, token_store, warc  # noqa: F401
+from tablemill.llm import (  # noqa: F401
+    bpe, chat, decontaminate, jaccard_join, quality, sharding, substring_dedup, suffix_dedup, token_store, warc,
+)  # noqa: F401
 from tablemill.llm.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablemill.session import shared_folder
+from tablemill.session import shared_folder, stage
 
 #: ASCII white space; everything else belongs to words.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -144,6 +144,17 @@ def public_tokenizer(name: str) -> str:
     return os.fspath(public_tokenizers.path(name))
 
 
+def stage_and_free(df: DataFrame) -> DataFrame:
+    """`stage`, after which the shuffle files that made the table are deleted at once."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return stage(df)
+    finally:
+        conf.set(name, before)
+
+
 def open_store(uri: str):
     """The Arrow file system of a shared folder or file (local, HDFS, object stores) and the path in it."""
     from pyarrow import fs
