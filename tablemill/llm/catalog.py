@@ -1,8 +1,10 @@
-"""Imports every operator, so that its query is registered."""
+"""Imports every operator and the pipeline, so that their queries are registered."""
 
-from tablemill.llm import (  # noqa: F401
-    bpe, chat, decontaminate, jaccard_join, quality, sharding, substring_dedup, suffix_dedup, token_store, warc,
-)  # noqa: F401
-from tablemill.llm.queries import QUERIES, SQL
+import corpus_pipeline
+from tablemill.llm import bpe, chat, decontaminate, jaccard_join, quality  # noqa: F401
+from tablemill.llm import sharding, substring_dedup, suffix_dedup, token_store, warc  # noqa: F401
+from tablemill.llm.queries import QUERIES, SQL, query
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 __all__ = ["QUERIES", "SQL"]
