@@ -20,6 +20,7 @@ class Spec(NamedTuple):
     chunk: str
     columns: list[tuple[str, str, str]]  # name, expression, type
     row_key: list[str] | None = None
+    by_position: bool = False  # whether the SQL numbers rows by their key or by the seeded hash
 
 
 LINE = Spec(

@@ -37,7 +37,9 @@ def response(variant: str) -> str:
         f"WHEN 1 THEN concat('```json ', {ALL_PAIRS}, ' ```') "
         f"WHEN 2 THEN concat('Here are the pairs: ', {ALL_PAIRS}) "
         f"WHEN 3 THEN {SOME_PAIRS} "
-        f"WHEN 4 THEN left({ALL_PAIRS}, 50) ELSE '{{\"pairs\": []}}' END"
+        f"WHEN 4 THEN left({ALL_PAIRS}, 50) WHEN 5 THEN '{{\"pairs\": []}}' "
+        f"WHEN 6 THEN concat({ALL_PAIRS}, ' I hope this helps.') WHEN 7 THEN concat({ALL_PAIRS}, {ALL_PAIRS}) "
+        f"WHEN 8 THEN replace({ALL_PAIRS}, '\"', chr(39)) ELSE concat({ALL_PAIRS}, ', ', {ALL_PAIRS}) END"
     )
 
 
@@ -75,7 +77,7 @@ DERIVED: dict[str, tuple[str, list[tuple[str, str]]]] = {
         [
             ("table_id", f"concat('t', {text('c_custkey')})"),
             ("attempt", "1"),
-            ("response", response("c_custkey % 6")),
+            ("response", response("c_custkey % 10")),
         ],
     ),
     "second_responses": (
@@ -83,7 +85,7 @@ DERIVED: dict[str, tuple[str, list[tuple[str, str]]]] = {
         [
             ("table_id", f"concat('t', {text('c_custkey')})"),
             ("attempt", "2"),
-            ("response", response("(c_custkey + c_nationkey) % 6")),
+            ("response", response("(c_custkey + c_nationkey) % 10")),
         ],
     ),
     "logprobs": (
@@ -126,7 +128,7 @@ DERIVED: dict[str, tuple[str, list[tuple[str, str]]]] = {
             ("location", "CASE WHEN o_orderkey % 3 = 0 THEN 'store' ELSE 'scratch' END"),
             (
                 "path",
-                "CASE WHEN o_orderkey % 17 = 0 THEN concat(exp, '/logs/out') ELSE concat(dir, '/iter_', "
+                "CASE WHEN o_orderkey % 17 = 0 OR o_custkey % 13 = 5 THEN concat(exp, '/logs/out') ELSE concat(dir, '/iter_', "
                 f"lpad({text('(o_orderkey % 30) * 1000')}, 7, '0')) END",
             ),
         ],

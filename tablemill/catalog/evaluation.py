@@ -92,11 +92,18 @@ def _responses(spark, sf) -> DataFrame:
     return derived(spark, sf, "responses").unionByName(derived(spark, sf, "second_responses"))
 
 
-@query("parse_responses", f"{RESPONSES} SELECT table_id, attempt, n AS n_pairs FROM typed")
+@query(
+    "parse_responses",
+    f"{RESPONSES} SELECT table_id, attempt, n AS n_pairs, array_to_string(json_extract_string(pairs, '$[*].statement'), '|') AS statements, "
+    "array_to_string(json_extract_string(pairs, '$[*].distractor'), '|') AS distractors, "
+    "array_to_string(json_extract_string(pairs, '$[*].type'), '|') AS types FROM typed",
+)
 def parsed(spark, sf):
-    return pairs.parse_responses(_responses(spark, sf)).select(
-        "table_id", "attempt", F.size("pairs").alias("n_pairs")
-    ).withColumn("n_pairs", F.when(F.col("n_pairs") >= 0, F.col("n_pairs")))
+    read = pairs.parse_responses(_responses(spark, sf))
+    parts = {f"{name}s": F.array_join(F.col(f"pairs.{name}"), "|") for name in ("statement", "distractor", "type")}
+    return read.select(
+        "table_id", "attempt", F.when(F.col("pairs").isNotNull(), F.size("pairs")).alias("n_pairs"), *[c.alias(k) for k, c in parts.items()]
+    )
 
 
 @query(
@@ -131,23 +138,31 @@ def template_sql(spec) -> str:
 lab AS (SELECT table_id, min(i) AS i FROM kept WHERE kind = 'object' GROUP BY table_id),
 num AS (SELECT table_id, i, name, row_number() OVER (PARTITION BY table_id ORDER BY i) AS k
         FROM kept WHERE kind IN {S.NUMERIC}),
-vals AS (SELECT l.table_id, l.ord, l.cell AS label, a.cell AS a_text, a.cell::DOUBLE AS av, b.cell::DOUBLE AS bv, na.name AS a, nb.name AS b
+vals AS (SELECT l.table_id, l.ord, l.cell AS label, a.cell AS a_text, try_cast(a.cell AS DOUBLE) AS av, try_cast(b.cell AS DOUBLE) AS bv, na.name AS a, nb.name AS b
   FROM lab JOIN cell l USING (table_id, i)
   JOIN num na ON na.table_id = l.table_id AND na.k = 1 JOIN num nb ON nb.table_id = l.table_id AND nb.k = 2
   JOIN cell a ON a.table_id = l.table_id AND a.ord = l.ord AND a.i = na.i
   JOIN cell b ON b.table_id = l.table_id AND b.ord = l.ord AND b.i = nb.i
-  WHERE l.n_rows >= 2 AND l.cell IS NOT NULL AND a.cell IS NOT NULL AND b.cell IS NOT NULL),
-facts AS (SELECT table_id, a, b, max((av, label, a_text)) AS hi, min((av, label, a_text)) AS lo,
-   max((bv, label)) AS bhi, min((bv, label)) AS blo, sum(av::DECIMAL(20,2)) AS total FROM vals GROUP BY table_id, a, b),
-named AS (SELECT table_id, a, b, hi[2] AS h, hi[3] AS ht, lo[2] AS l, lo[3] AS lt, bhi[2] AS bh, blo[2] AS bl, total FROM facts
-   WHERE hi[2] <> lo[2] AND bhi[2] <> blo[2]),
+  WHERE l.n_rows >= 2),
+whole AS (SELECT table_id, sum(try_cast(a_text AS DECIMAL(28,10))) AS total,
+   count(*) FILTER (a_text IS NOT NULL AND NOT coalesce(try_cast(a_text AS DECIMAL(28,10))::DOUBLE = av, false)) AS inexact FROM vals GROUP BY table_id),
+facts AS (SELECT table_id, any_value(a) AS a, any_value(b) AS b, max((av, label, a_text)) AS hi, min((av, label, a_text)) AS lo,
+   max((bv, label, av, a_text)) AS bhi, min((bv, label, av, a_text)) AS blo FROM vals
+   WHERE label IS NOT NULL AND av IS NOT NULL AND bv IS NOT NULL GROUP BY table_id),
+uses AS (SELECT table_id, count(*) FILTER (label = hi[2]) AS n_hi, count(*) FILTER (label = lo[2]) AS n_lo, count(*) FILTER (label = bhi[2]) AS n_bhi,
+   count(*) FILTER (label = blo[2]) AS n_blo, count(*) FILTER (bv >= bhi[1]) AS n_most FROM vals JOIN facts USING (table_id) GROUP BY table_id),
+named AS (SELECT facts.table_id, facts.a, facts.b, hi[2] AS h, hi[3] AS ht, lo[2] AS l, lo[3] AS lt, bhi[2] AS bh, blo[2] AS bl, bhi[4] AS bt, total, inexact,
+   hi[1] > lo[1] AS differ, blo[1] < bhi[1] AS spread, CASE WHEN bhi[3] < hi[1] THEN hi[3] ELSE lo[3] END AS ot,
+   n_hi, n_lo, n_bhi, n_blo, n_most FROM facts JOIN whole USING (table_id) JOIN uses USING (table_id)),
 made AS (
-  SELECT table_id, 'lookup' AS type, 'The ' || a || ' of ' || h || ' is ' || ht || '.' AS statement, 'The ' || a || ' of ' || h || ' is ' || lt || '.' AS distractor FROM named
-  UNION ALL SELECT table_id, 'aggregation', 'The total ' || a || ' is ' || total::VARCHAR || '.', 'The total ' || a || ' is ' || (total + 1)::VARCHAR || '.' FROM named
-  UNION ALL SELECT table_id, 'comparison', h || ' has a higher ' || a || ' than ' || l || '.', l || ' has a higher ' || a || ' than ' || h || '.' FROM named
+  SELECT table_id, 'lookup' AS type, 'The ' || a || ' of ' || h || ' is ' || ht || '.' AS statement, 'The ' || a || ' of ' || h || ' is ' || lt || '.' AS distractor FROM named WHERE n_hi = 1 AND differ
+  UNION ALL SELECT table_id, 'aggregation', 'The total ' || a || ' is ' || regexp_replace(total::VARCHAR, '\\.?0+$', '') || '.',
+            'The total ' || a || ' is ' || regexp_replace((total + 1)::VARCHAR, '\\.?0+$', '') || '.' FROM named WHERE inexact = 0 AND total IS NOT NULL
+  UNION ALL SELECT table_id, 'comparison', h || ' has a higher ' || a || ' than ' || l || '.', l || ' has a higher ' || a || ' than ' || h || '.' FROM named WHERE n_hi = 1 AND n_lo = 1 AND differ
   UNION ALL SELECT table_id, 'inference', 'The highest ' || b || ' belongs to ' || bh || '.', 'The highest ' || b || ' belongs to ' || bl || '.' FROM named
-  UNION ALL SELECT table_id, 'multihop', 'The row with the lowest ' || b || ', ' || bl || ', is below the total ' || a || '.',
-            'The row with the lowest ' || b || ', ' || bh || ', is below the total ' || a || '.' FROM named)"""
+            WHERE n_bhi = 1 AND n_most = 1 AND n_blo = 1 AND spread
+  UNION ALL SELECT table_id, 'multihop', 'The ' || a || ' in the row with the highest ' || b || ' is ' || bt || '.',
+            'The ' || a || ' in the row with the highest ' || b || ' is ' || ot || '.' FROM named WHERE n_bhi = 1 AND n_most = 1 AND differ)"""
 
 
 def _templates(spark, sf, spec):
@@ -164,9 +179,9 @@ query("template_pairs_gaps", with_(template_sql(NATION), "SELECT * FROM made"))(
 
 # Pairs beside the table texts they are about.
 FANNED = (
-    f"{fit_sql(NATION, BUDGET)}, chosen AS (SELECT c.table_id, c.format, c.ord, 0 AS seg FROM costs c "
+    f"{fit_sql(S.positioned(NATION), BUDGET)}, chosen AS (SELECT c.table_id, c.format, c.ord, 0 AS seg FROM costs c "
     f"JOIN fits f USING (table_id, format) WHERE c.ord < f.fit_n), {S.slices('chosen')}, "
-    f"{template_sql(NATION)[len(S.cells(NATION)) + 2:]}, "
+    f"{template_sql(S.positioned(NATION))[len(S.cells(S.positioned(NATION))) + 2:]}, "
     "fanned AS (SELECT s.format, m.table_id, statement, distractor, type, text AS table_serialized FROM made m JOIN slice_text s USING (table_id))"
 )
 
@@ -214,14 +229,15 @@ def check(spark, sf):
 @query(
     "generation_prompts",
     with_(
-        f"{fit_sql(NATION, BUDGET)}, chosen AS (SELECT c.table_id, c.format, c.ord, 0 AS seg FROM costs c JOIN fits f "
+        f"{fit_sql(S.positioned(NATION), BUDGET)}, chosen AS (SELECT c.table_id, c.format, c.ord, 0 AS seg FROM costs c JOIN fits f "
         f"USING (table_id, format) WHERE c.format = 'markdown' AND c.ord < greatest(1, f.fit_n)), {S.slices('chosen')}",
-        "SELECT table_id, 'Table (id=' || table_id || '):' || chr(10) || text || chr(10) || chr(10) || "
+        "SELECT table_id, '" + pairs.PROMPT.replace("'", "''") + "' AS system, "
+        "'Table (id=' || table_id || '):' || chr(10) || text || chr(10) || chr(10) || "
         "'Generate 5 statement-distractor pairs.' AS \"user\" FROM slice_text",
     ),
 )
 def prompts(spark, sf):
-    return pairs.generation_prompts(*prepared(spark, sf, NATION), BUDGET).select("table_id", "user")
+    return pairs.generation_prompts(*prepared(spark, sf, NATION), BUDGET).select("table_id", "system", "user")
 
 
 # --- scores ---------------------------------------------------------------------
@@ -329,12 +345,13 @@ def write_segments(spark, sf):
 
 @query(
     "write_clean_tables",
-    with_(S.cells(NATION), "SELECT t.chunk, table_id, ord, string_agg(coalesce(cell, '?'), '|' ORDER BY i) AS cells FROM cell JOIN tabs t USING (table_id) GROUP BY ALL").replace("coalesce(cell, '?')", "coalesce(CASE WHEN kind = 'int_nullable' THEN cell::DOUBLE::BIGINT::VARCHAR ELSE cell END, '?')"),
+    with_(S.cells(S.positioned(NATION)), "SELECT t.chunk, table_id, ord, string_agg(coalesce(cell, '?'), '|' ORDER BY i) AS cells FROM cell JOIN tabs t USING (table_id) GROUP BY ALL").replace("coalesce(cell, '?')", "coalesce(CASE WHEN kind = 'int_nullable' THEN cell::DOUBLE::BIGINT::VARCHAR ELSE cell END, '?')"),
 )
 def write_clean(spark, sf):
     path = new_folder(spark)
     p = prepared(spark, sf, NATION)
-    rows = clean.clean_cells(order.shuffle_rows(p.corpus.rows, p.large, p.corpus.unique), p.tables, p.large)
+    own = order.by_position(p.corpus, p.large)
+    rows = clean.clean_cells(order.shuffle_rows(own.rows, p.large, own.unique), p.tables, p.large)
     files.write_clean_tables(rows.join(p.tables.select("table_id", "chunk"), "table_id"), path)
     return spark.read.parquet(path).select("chunk", "table_id", "ord", F.array_join("cells", "|", "?").alias("cells"))
 
@@ -342,7 +359,7 @@ def write_clean(spark, sf):
 @query(
     "candidate_cache",
     with_(
-        S.costs(NUMBERS),
+        S.costs(S.positioned(NUMBERS)),
         "SELECT table_id, any_value(n_rows) AS n_rows FROM headers JOIN tabs USING (table_id) GROUP BY table_id "
         f"HAVING max(header) < {SMALL} AND any_value(n_rows) >= 2",
     ),
@@ -350,6 +367,6 @@ def write_clean(spark, sf):
 def cache(spark, sf):
     p = prepared(spark, sf, NUMBERS)
     path = new_folder(spark)
-    candidates = clean.valid_tables(pack.table_headers(p.corpus, p.tables), SMALL)
+    candidates = clean.valid_tables(pack.table_headers(order.by_position(p.corpus), p.tables), SMALL)
     files.candidate_cache(candidates, path)
     return files.candidate_cache(candidates, path).select("table_id", "n_rows")

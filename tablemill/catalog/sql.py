@@ -75,6 +75,11 @@ def quote(text: str) -> str:
     )
 
 
+def positioned(spec: Spec) -> Spec:
+    """The corpus with its rows in their own order."""
+    return spec._replace(by_position=True)
+
+
 def base(spec: Spec) -> str:
     cells = ", ".join(cell(e, t) for _, e, t in spec.columns)
     keys = "".join(f", {k}" for k in spec.row_key or [])
@@ -89,13 +94,14 @@ def base(spec: Spec) -> str:
             f"SELECT *, {digest} || '-' || ((copy - 1) // 10000)::VARCHAR AS tag FROM "
             "(SELECT *, row_number() OVER (PARTITION BY table_id, cells) AS copy FROM base)"
         )
+    order = spec.row_key[0] if spec.by_position else "md5(seed::VARCHAR || '-' || tag)"
     return f"""base AS (
   SELECT ({spec.chunk})::INTEGER AS chunk, {spec.member} AS member, {table_id(spec)} AS table_id,
          {seed('(' + spec.member + ')')} AS seed, [{cells}] AS cells{keys} FROM {spec.source}),
 tagged AS ({tagged}),
 ordered AS (
   SELECT *, row_number() OVER (PARTITION BY table_id
-                               ORDER BY md5(seed::VARCHAR || '-' || tag), copy) - 1 AS ord FROM tagged)"""
+                               ORDER BY {order}, copy) - 1 AS ord FROM tagged)"""
 
 
 def cells(spec: Spec) -> str:

@@ -115,14 +115,14 @@ def nonempty(spark, sf):
 @query(
     "is_valid_table",
     with_(
-        S.costs(NUMBERS),
+        S.costs(S.positioned(NUMBERS)),
         "SELECT table_id, any_value(n_rows) AS n_rows FROM headers JOIN tabs USING (table_id) "
         "GROUP BY table_id HAVING max(header) < 20 AND any_value(n_rows) >= 2",
     ),
 )
 def valid(spark, sf):
     p = prepared(spark, sf, NUMBERS)
-    return clean.valid_tables(pack.table_headers(p.corpus, p.tables), 20).select("table_id", "n_rows")
+    return clean.valid_tables(pack.table_headers(order.by_position(p.corpus), p.tables), 20).select("table_id", "n_rows")
 
 
 # --- order --------------------------------------------------------------------
@@ -143,6 +143,29 @@ def shuffled(spark, sf):
     return rows.select("table_id", "ord", F.array_join("cells", "|").alias("cells"))
 
 
+@query(
+    "shuffle_rows_texts",
+    with_(S.base(DOCUMENT), "SELECT table_id, ord, sum(coalesce(length(c), 0))::BIGINT AS chars, max(length(c))::BIGINT AS longest "
+          "FROM (SELECT table_id, ord, unnest(cells) AS c FROM ordered) GROUP BY table_id, ord"),
+)
+def shuffled_texts(spark, sf):
+    p = prepared(spark, sf, DOCUMENT)
+    rows = order.shuffle_rows(p.corpus.rows, p.large, p.corpus.unique)
+    lengths = F.transform("cells", lambda c: F.coalesce(F.length(c), F.lit(0)).cast("bigint"))
+    total = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return rows.select("table_id", "ord", total.alias("chars"), F.array_max(lengths).alias("longest"))
+
+
+@query(
+    "rows_by_position",
+    with_(S.base(S.positioned(EVENT)), "SELECT table_id, ord, array_to_string(cells, '|') AS cells FROM ordered"),
+)
+def placed(spark, sf):
+    own = order.by_position(prepared(spark, sf, EVENT).corpus)
+    rows = order.shuffle_rows(own.rows, None, own.unique)
+    return rows.select("table_id", "ord", F.array_join("cells", "|").alias("cells"))
+
+
 @query("sorted_members", with_(S.base(NATION), "SELECT chunk, member, row_number() OVER (PARTITION BY chunk ORDER BY member) AS n FROM (SELECT DISTINCT chunk, member FROM base)"))
 def members(spark, sf):
     return order.sorted_members(corpus(spark, sf, NATION).tables)
@@ -429,14 +452,14 @@ def _fit(spark, sf, spec, budget):
 
 @query(
     "fit_rows",
-    with_(fit_sql(NUMBERS, SMALL), "SELECT table_id, format, fit_n FROM fits"),
+    with_(fit_sql(S.positioned(NUMBERS), SMALL), "SELECT table_id, format, fit_n FROM fits"),
 )
 def fitted(spark, sf):
     return _fit(spark, sf, NUMBERS, SMALL).select("table_id", "format", "fit_n")
 
 
 FIT_TEXT = with_(
-    f"{fit_sql(EVENT, BUDGET)}, chosen AS (SELECT c.table_id, c.format, c.ord, 0 AS seg FROM costs c JOIN fits f "
+    f"{fit_sql(S.positioned(EVENT), BUDGET)}, chosen AS (SELECT c.table_id, c.format, c.ord, 0 AS seg FROM costs c JOIN fits f "
     f"USING (table_id, format) WHERE c.ord < f.fit_n), {S.slices('chosen')}",
     "SELECT f.table_id, f.format, f.fit_n, s.text FROM fits f LEFT JOIN slice_text s USING (table_id, format)",
 )
@@ -450,7 +473,7 @@ def all_formats(spark, sf):
 @query(
     "truncate_to_budget",
     with_(
-        fit_sql(NUMBERS, SMALL),
+        fit_sql(S.positioned(NUMBERS), SMALL),
         "SELECT table_id, format, CASE WHEN format = 'sql_schema' THEN n_rows ELSE greatest(1, fit_n) END AS n_kept "
         "FROM fits JOIN tabs USING (table_id)",
     ),
@@ -462,7 +485,7 @@ def truncated(spark, sf):
 @query(
     "missing_formats",
     with_(
-        fit_sql(NUMBERS, 18),
+        fit_sql(S.positioned(NUMBERS), 18),
         "SELECT table_id, string_agg(format, ',' ORDER BY format) AS missing FROM fits WHERE fit_n = 0 GROUP BY table_id",
     ),
 )

@@ -11,15 +11,18 @@ from tablemill.operators import curves, runs
 
 FORMAT_ROWS = ", ".join(f"({i}, '{f}')" for i, f in enumerate(FORMATS))
 
-DIRS = rf"""dirs AS (SELECT location, path[:length(path) - strpos(reverse(path), '/')] AS ckpt_dir, split_part(path, '/', 1) AS exp,
+DIRS = rf"""stepped AS (SELECT location, path[:length(path) - strpos(reverse(path), '/')] AS ckpt_dir, split_part(path, '/', 1) AS exp,
     regexp_extract(path, '/iter_([0-9]+)$', 1)::BIGINT AS iter FROM paths WHERE regexp_matches(path, '/iter_[0-9]+$')),
+dirs AS (SELECT location, exp, ckpt_dir, iter FROM stepped UNION ALL
+  SELECT location, exp, exp || '/checkpoints', NULL FROM (SELECT DISTINCT location, split_part(path, '/', 1) AS exp FROM paths) p
+  WHERE NOT EXISTS (SELECT 1 FROM stepped s WHERE s.location = p.location AND s.exp = p.exp)),
 chosen AS (SELECT location, exp, min((CASE WHEN ckpt_dir = exp || '/checkpoints' THEN 0 WHEN ckpt_dir = exp THEN 1 ELSE 2 END, ckpt_dir))[2] AS ckpt_dir
            FROM dirs GROUP BY location, exp),
-iters AS (SELECT location, exp, ckpt_dir, list_sort(list(DISTINCT iter)) AS iters, max(iter) AS latest_iter, count(DISTINCT iter) AS n_iters
+iters AS (SELECT location, exp, ckpt_dir, coalesce(list_sort(list(DISTINCT iter) FILTER (iter IS NOT NULL)), []) AS iters, max(iter) AS latest_iter, count(DISTINCT iter) AS n_iters
           FROM dirs JOIN chosen USING (location, exp, ckpt_dir) GROUP BY ALL)"""
 RUNS = rf"""{DIRS},
 merged AS (SELECT exp, coalesce(a.ckpt_dir, b.ckpt_dir) AS ckpt_dir, coalesce(a.iters, b.iters) AS iters,
-    coalesce(a.latest_iter, b.latest_iter) AS latest_iter,
+    CASE WHEN a.exp IS NOT NULL THEN a.latest_iter ELSE b.latest_iter END AS latest_iter,
     CASE WHEN a.exp IS NOT NULL AND b.exp IS NOT NULL THEN b.ckpt_dir END AS store_ckpt_dir,
     CASE WHEN a.exp IS NOT NULL AND b.exp IS NOT NULL THEN b.iters END AS store_iters,
     CASE WHEN a.exp IS NOT NULL AND b.exp IS NOT NULL THEN 'scratch+store' WHEN a.exp IS NOT NULL THEN 'scratch' ELSE 'store' END AS location
@@ -103,10 +106,10 @@ def reached(spark, sf):
     "format_completeness",
     f"{PATHS}, {RUNS} SELECT f.format, count(r.exp) AS n_runs, count(*) FILTER (reached = 'YES') AS n_done, "
     "coalesce(array_to_string(list_sort(list(DISTINCT seed) FILTER (seed IS NOT NULL)), ','), '') AS seeds "
-    f"FROM (VALUES {FORMAT_ROWS}) f(pos, format) LEFT JOIN (SELECT * FROM reached WHERE format <> 'markdown') r USING (format) GROUP BY f.format",
+    f"FROM (VALUES {FORMAT_ROWS}) f(pos, format) LEFT JOIN reached r USING (format) GROUP BY f.format",
 )
 def completeness(spark, sf):
-    return runs.format_completeness(_runs(spark, sf).filter("format <> 'markdown'"))
+    return runs.format_completeness(_runs(spark, sf))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablemill.constants import FORMATS, TOKEN_BUDGET
 from tablemill.functions.text import let
 from tablemill.functions.tokens import Tokenizer, count_words
-from tablemill.operators.order import split_keys
+from tablemill.operators.order import by_position, split_keys
 from tablemill.operators.pack import costed_rows
 from tablemill.operators.render import csv_header, csv_row, render_slice
 from tablemill.sources.corpus import Corpus
@@ -16,14 +16,16 @@ from tablemill.sources.corpus import Corpus
 def prefix_candidates(
     corpus: Corpus, tables: DataFrame, large: DataFrame | None, budget: int, tokenizer: Tokenizer
 ) -> DataFrame:
-    """`(format, table_id, rows, ords, columns, kv_floats, n_rows)` with the rows that could fit.
+    """`(format, table_id, rows, ords, columns, kv_floats, n_rows)` with the first rows, which could fit.
+
+    Rows come in the tables' own order.
 
     A prefix costs at least its rows, so rows past the budget by that sum alone
     never leave their task. Per table come the rows up to the first one too many,
     and of blank key-value rows, which cost and print nothing, only one at the
     start; so what is gathered is bounded by the budget.
     """
-    rows = costed_rows(corpus, tables, large, tokenizer)
+    rows = costed_rows(by_position(corpus, large), tables, large, tokenizer)
     so_far = Window.partitionBy(*split_keys(large)).orderBy("ord")
     costs = [F.get("costs", F.lit(i)) for i in range(len(FORMATS))]
     before_row = F.array(

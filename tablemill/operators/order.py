@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablemill.constants import MAX_CELL_CHARS
+from tablemill.sources.corpus import Corpus
 
 # A table is cut when it holds more rows than SPLIT_ROWS and more than one
 # part in MAX_LARGE of the corpus. So at most MAX_LARGE tables are ever cut, and the list
@@ -42,23 +43,57 @@ def split_keys(large: DataFrame | None) -> list[str]:
     return ["table_id"] if large is None else ["table_id", "split"]
 
 
-def place_rows(rows: DataFrame, large: DataFrame | None) -> DataFrame:
-    """Give every row its ordering hash and the split it belongs to.
+def by_position(corpus: Corpus, large: DataFrame | None = None) -> Corpus:
+    """The corpus in the tables' own order instead of the shuffled one.
 
-    A text above the length limit makes its column drop out of the table, so the
-    text itself is not carried through the shuffle.
+    Large tables are cut by even ranges of position. Rows without a position raise an error
+    when they are read.
     """
+    missing = F.raise_error(F.lit("a row has no position: give the corpus an order column"))
+    position = F.when(F.col("row_pos").isNull(), missing.cast("bigint")).otherwise(F.col("row_pos"))
+    # Hexadecimal digits sort as numbers once negative ones are moved below the others.
+    digits = F.lpad(F.hex(position.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    rows = corpus.rows.withColumns({"order_key": digits, "order_share": F.lit(0).cast("bigint")})
+    if large is not None:
+        ends = (
+            corpus.rows.join(F.broadcast(large.select("table_id")), "table_id", "left_semi")
+            .groupBy("table_id")
+            .agg(F.min("row_pos").alias("__low"), F.max("row_pos").alias("__high"))
+        )
+        place = (F.col("row_pos") - F.col("__low")) / (F.col("__high") - F.col("__low") + 1)
+        rows = rows.join(F.broadcast(ends), "table_id", "left").withColumn(
+            "order_share", F.coalesce(F.floor(place * (1 << 32)).cast("bigint"), F.lit(0))
+        )
+        rows = rows.drop("__low", "__high")
+    return corpus._replace(rows=rows)
+
+
+def row_order(rows: DataFrame) -> Column:
+    """What rows are ordered by: the key that `by_position` gave them, or the seeded hash."""
+    return F.col("order_key") if "order_key" in rows.columns else order_key(F.col("seed"), F.col("row_tag"))
+
+
+def place_rows(rows: DataFrame, large: DataFrame | None, shorten: bool = False) -> DataFrame:
+    """Give every row its ordering key and the split it belongs to.
+
+    With `shorten`, for callers that drop columns with texts above the length limit, such a
+    text is not carried through the shuffle.
+    """
+    cells = F.col("cells")
+    if shorten:
+        cells = F.transform(cells, lambda c: F.when(F.length(c) > MAX_CELL_CHARS, F.lit("")).otherwise(c))
+    share = F.conv(F.substring("order_key", 1, 8), 16, 10).cast("bigint")
+    if "order_share" in rows.columns:
+        share = F.col("order_share")
     placed = rows.select(
         "table_id",
-        order_key(F.col("seed"), F.col("row_tag")).alias("order_key"),
+        row_order(rows).alias("order_key"),
+        *[c for c in rows.columns if c == "order_share"],
         "n_copies",
-        F.transform(
-            "cells", lambda c: F.when(F.length(c) > MAX_CELL_CHARS, F.lit("")).otherwise(c)
-        ).alias("cells"),
+        cells.alias("cells"),
     )
     if large is None:
         return placed.withColumn("split", F.lit(0))
-    share = F.conv(F.substring("order_key", 1, 8), 16, 10).cast("bigint")
     split = F.when(
         F.col("n_splits").isNotNull(),
         F.shiftright(share * F.col("n_splits"), 32).cast("int"),
@@ -70,13 +105,13 @@ def place_rows(rows: DataFrame, large: DataFrame | None) -> DataFrame:
     )
 
 
-def order_rows(rows: DataFrame, large: DataFrame | None, unique: bool) -> DataFrame:
+def order_rows(rows: DataFrame, large: DataFrame | None, unique: bool, shorten: bool = False) -> DataFrame:
     """Rows of each split in order; `ord` counts from 0 within the split.
 
     One shuffle by (table, split) serves the sort, the numbering and whatever
     scan follows.
     """
-    placed = place_rows(rows, large)
+    placed = place_rows(rows, large, shorten)
     keys = split_keys(large)
     copy = F.lit(0)
     if not unique:

@@ -8,7 +8,7 @@ from tablemill.constants import FORMATS, TOKEN_BUDGET
 from tablemill.functions.costs import with_header_costs, with_row_costs
 from tablemill.functions.text import built_once
 from tablemill.functions.tokens import Tokenizer, count_words
-from tablemill.operators.order import order_key, order_rows, split_keys
+from tablemill.operators.order import order_rows, row_order, split_keys
 from tablemill.operators.render import display_cells, prepare_columns, render_slice
 from tablemill.operators.scan import (
     ENTRY_SCHEMA,
@@ -48,7 +48,8 @@ def costed_rows(
             .withColumn("split", F.explode(F.sequence(F.lit(0), last)))
             .drop("n_splits")
         )
-    rows = order_rows(corpus.rows, large, corpus.unique)
+    # Columns with long texts are among those that display drops.
+    rows = order_rows(corpus.rows, large, corpus.unique, shorten=True)
     # A merge join keeps the rows where they are and never broadcasts them.
     shown = rows.join(meta.hint("merge"), split_keys(large)).withColumn(
         "cells", display_cells(F.col("cells"), F.col("columns"))
@@ -57,9 +58,9 @@ def costed_rows(
 
 
 def first_rows(corpus: Corpus, tables: DataFrame) -> DataFrame:
-    """The first row of each table in shuffled order, as display cells."""
+    """The first row of each table in the corpus's order, as display cells."""
     first = (
-        corpus.rows.withColumn("order_key", order_key(F.col("seed"), F.col("row_tag")))
+        corpus.rows.withColumn("order_key", row_order(corpus.rows))
         .groupBy("table_id")
         .agg(F.min_by("cells", "order_key").alias("cells"))
     )

@@ -47,13 +47,18 @@ def generation_prompts(
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """`(table_id, attempt, pairs)`; `pairs` is NULL where a response cannot be read."""
+    """`(table_id, attempt, pairs)`; `pairs` is NULL where a response cannot be read.
+
+    A response is one JSON object, perhaps fenced or after an introduction. Text after it, a
+    second object and single quotes make it unreadable.
+    """
     bare = F.trim(F.regexp_replace(F.trim("response"), "```json|```", ""))
     start = F.instr(bare, "{")
     body = F.when(start > 1, F.substr(bare, start)).otherwise(bare)
-    return responses.select(
-        "table_id", "attempt", F.from_json(body, PAIR_SCHEMA)["pairs"].alias("pairs")
-    )
+    # As the only element of an array: what follows the object is then an error or a second element.
+    read = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<{PAIR_SCHEMA}>", {"allowSingleQuotes": "false"})
+    alone = F.when((F.size(read) == 1) & body.startswith("{"), F.get(read, F.lit(0))["pairs"])
+    return responses.select("table_id", "attempt", alone.alias("pairs"))
 
 
 def missing_types(pairs: Column) -> Column:
@@ -97,10 +102,13 @@ def fan_out_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def template_pairs(
     corpus: Corpus, tables: DataFrame, large: DataFrame | None = None
 ) -> DataFrame:
-    """One pair of each type from the table itself, without a generator.
+    """Pairs from the table itself, without a generator: true statements, false distractors.
 
-    The first text column names the rows, the first two numeric columns give
-    values. Everything is a map-side combinable aggregate of one pass.
+    The first text column names the rows, the first two numeric columns a and b give
+    values. A pair is made only where it is sure: the rows it speaks of are named by labels that no
+    other row has, the values compared differ, a largest value belongs to one row, and a total is
+    exact in 28 digits before and 10 after the point. So a table gets up to one pair of each type.
+    Two passes with map-side combinable aggregates: the extremes, then how often they occur.
     """
     meta = (
         prepare_columns(tables)
@@ -137,54 +145,80 @@ def template_pairs(
         F.get("columns", F.col("second_at") - 1)["name"].alias("b"),
         cell("label_at").alias("label"),
         cell("first_at").alias("a_text"),
-        cell("first_at").cast("double").alias("a_value"),
-        cell("second_at").cast("double").alias("b_value"),
-    ).filter("label is not null and a_value is not null and b_value is not null")
+        cell("first_at").try_cast("double").alias("a_value"),
+        cell("second_at").try_cast("double").alias("b_value"),
+    )
+    exact = F.col("a_text").try_cast(EXACT)
+    whole = values.groupBy("table_id").agg(
+        F.try_sum((exact * F.col("n_copies")).cast(EXACT)).alias("total"),
+        # Values that the decimal type doesn't hold exactly.
+        F.count_if(F.col("a_text").isNotNull() & ~F.coalesce(exact.cast("double") == F.col("a_value"), F.lit(False))).alias("inexact"),
+    )
+    named = values.filter("label is not null and a_value is not null and b_value is not null and not isnan(a_value) and not isnan(b_value)")
     top = F.struct("a_value", "label", "a_text")
-    facts = values.groupBy("table_id", "a", "b").agg(
-        F.max(top).alias("high"),
-        F.min(top).alias("low"),
-        F.max(F.struct("b_value", "label")).alias("b_high"),
-        F.min(F.struct("b_value", "label")).alias("b_low"),
-        F.sum(F.col("a_value").cast("decimal(20,2)") * F.col("n_copies")).cast("decimal(38,2)").alias("total"),
-    ).filter("high.label <> low.label and b_high.label <> b_low.label")
+    second = F.struct("b_value", "label", "a_value", "a_text")
+    facts = (
+        named.groupBy("table_id", "a", "b")
+        .agg(F.max(top).alias("high"), F.min(top).alias("low"), F.max(second).alias("b_high"), F.min(second).alias("b_low"))
+        .join(whole, "table_id")
+    )
+    ends = ("high", "low", "b_high", "b_low")
+    narrow = values.select("table_id", "n_copies", "label", "b_value", F.array("label", "a_text").alias("cells"))
+    met = attach(narrow, facts.select("table_id", *ends), large)
+    uses = met.groupBy("table_id").agg(
+        *[F.sum(F.when(F.col("label") == F.col(e)["label"], F.col("n_copies"))).alias(f"n_{e}") for e in ends],
+        F.sum(F.when(F.col("b_value") >= F.col("b_high")["b_value"], F.col("n_copies"))).alias("n_most"),
+    )
+    facts = facts.join(uses, "table_id")
 
     def sentence(*parts) -> Column:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
+    def plain(number: Column) -> Column:
+        return F.regexp_replace(number.cast("string"), r"\.?0+$", "")
+
     a, b = F.col("a"), F.col("b")
-    high, low, b_high, b_low = (F.col(c) for c in ["high", "low", "b_high", "b_low"])
+    high, low, b_high, b_low = (F.col(c) for c in ends)
+    one = {e: F.col(f"n_{e}") == 1 for e in ends}
+    differ = high["a_value"] > low["a_value"]
+    summed = (F.col("inexact") == 0) & F.col("total").isNotNull()
+    # The row of the one largest b against another value of a.
+    largest = one["b_high"] & (F.col("n_most") == 1)
+    other = F.when(b_high["a_value"] < high["a_value"], high["a_text"]).otherwise(low["a_text"])
     made = [
         (
-            "lookup",
+            "lookup", one["high"] & differ,
             sentence("The ", a, " of ", high["label"], " is ", high["a_text"], "."),
             sentence("The ", a, " of ", high["label"], " is ", low["a_text"], "."),
         ),
         (
-            "aggregation",
-            sentence("The total ", a, " is ", F.col("total").cast("string"), "."),
-            sentence("The total ", a, " is ", (F.col("total") + 1).cast("decimal(38,2)").cast("string"), "."),
+            "aggregation", summed,
+            sentence("The total ", a, " is ", plain(F.col("total")), "."),
+            sentence("The total ", a, " is ", plain(F.try_add("total", F.lit(1).cast(EXACT))), "."),
         ),
         (
-            "comparison",
+            "comparison", one["high"] & one["low"] & differ,
             sentence(high["label"], " has a higher ", a, " than ", low["label"], "."),
             sentence(low["label"], " has a higher ", a, " than ", high["label"], "."),
         ),
         (
-            "inference",
+            "inference", largest & one["b_low"] & (b_low["b_value"] < b_high["b_value"]),
             sentence("The highest ", b, " belongs to ", b_high["label"], "."),
             sentence("The highest ", b, " belongs to ", b_low["label"], "."),
         ),
         (
-            "multihop",
-            sentence("The row with the lowest ", b, ", ", b_low["label"], ", is below the total ", a, "."),
-            sentence("The row with the lowest ", b, ", ", b_high["label"], ", is below the total ", a, "."),
+            "multihop", largest & differ,
+            sentence("The ", a, " in the row with the highest ", b, " is ", b_high["a_text"], "."),
+            sentence("The ", a, " in the row with the highest ", b, " is ", other, "."),
         ),
     ]
-    pairs = F.array(
-        *[
-            F.struct(s.alias("statement"), d.alias("distractor"), F.lit(t).alias("type"))
-            for t, s, d in made
-        ]
+    pairs = F.array_compact(
+        F.array(
+            *[F.when(sure, F.struct(s.alias("statement"), d.alias("distractor"), F.lit(t).alias("type"))) for t, sure, s, d in made]
+        )
     )
-    return facts.select("table_id", F.inline(pairs))
+    return facts.select("table_id", F.inline(pairs)).filter("statement is not null and distractor is not null")
+
+
+#: What totals are added in.
+EXACT = "decimal(38,10)"

@@ -39,18 +39,25 @@ def parse_experiments(names: DataFrame) -> DataFrame:
 
 
 def checkpoint_dirs(paths: DataFrame) -> DataFrame:
-    """`exp/.../iter_<n>` paths into experiment, containing directory and step."""
+    """`exp/.../iter_<n>` paths into experiment, containing directory and step.
+
+    An experiment without any checkpoint stays, with the usual directory and no step.
+    """
     parts = F.split("path", "/")
     last = F.element_at(parts, -1)
-    return (
-        paths.withColumn("exp", F.get(parts, F.lit(0)))
-        .withColumn("step", F.regexp_extract(last, CHECKPOINT_DIR, 1))
-        .filter("step <> ''")
-        .select(
-            "location",
-            "exp",
-            F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("ckpt_dir"),
-            F.col("step").cast("bigint").alias("iter"),
+    named = paths.withColumn("exp", F.get(parts, F.lit(0))).withColumn(
+        "step", F.regexp_extract(last, CHECKPOINT_DIR, 1)
+    )
+    found = named.filter("step <> ''").select(
+        "location",
+        "exp",
+        F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("ckpt_dir"),
+        F.col("step").cast("bigint").alias("iter"),
+    )
+    bare = named.groupBy("location", "exp").agg(F.max("step").alias("step")).filter("step = ''")
+    return found.unionByName(
+        bare.select(
+            "location", "exp", F.concat("exp", F.lit("/checkpoints")).alias("ckpt_dir"), F.lit(None).cast("bigint").alias("iter")
         )
     )
 
@@ -103,7 +110,7 @@ def merge_locations(runs: DataFrame) -> DataFrame:
         "exp",
         F.coalesce("ckpt_dir", "s_dir").alias("ckpt_dir"),
         F.coalesce("iters", "s_iters").alias("iters"),
-        F.coalesce("latest_iter", "s_latest").alias("latest_iter"),
+        F.when(F.col("ckpt_dir").isNotNull(), F.col("latest_iter")).otherwise(F.col("s_latest")).alias("latest_iter"),
         F.when(both, F.col("s_dir")).alias("store_ckpt_dir"),
         F.when(both, F.col("s_iters")).alias("store_iters"),
         F.when(both, "scratch+store").when(F.col("ckpt_dir").isNotNull(), "scratch").otherwise("store").alias("location"),

@@ -18,6 +18,7 @@ import zipfile
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
@@ -94,11 +95,18 @@ class _Reader(DataSourceReader):
     def _member(self, chunk, member, file):
         if self.view == "tables":
             columns = [(i, f.name, str(f.type)) for i, f in enumerate(file.schema_arrow)]
+            for _ in file.iter_batches(BATCH_ROWS):
+                pass
             yield (chunk, member, columns)
             return
-        start = 0
-        for batch in file.iter_batches(BATCH_ROWS):
-            if self.view == "rows" and batch.num_rows:
+        if self.view != "rows":
+            for _ in file.iter_batches(BATCH_ROWS):
+                pass
+            return
+        # The whole member before its first row: one that breaks off later is no table.
+        start, batches = 0, list(file.iter_batches(BATCH_ROWS))
+        for batch in batches:
+            if batch.num_rows:
                 yield _row_batch(chunk, member, start, batch)
             start += batch.num_rows
 
@@ -108,8 +116,8 @@ def _row_batch(chunk, member, start, batch) -> pa.RecordBatch:
     texts = [arrow_text(c) for c in batch.columns]
     # Interleave the columns into one list per row.
     flat = pa.concat_arrays(texts) if width else pa.array([], pa.string())
-    order = pa.array([c * n + r for r in range(n) for c in range(width)], pa.int64())
-    offsets = pa.array(range(0, n * width + 1, width) if width else [0] * (n + 1), pa.int32())
+    order = pa.array(np.arange(n * width).reshape(width, n).T.ravel())
+    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * width)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([chunk] * n, pa.int32()),
@@ -131,8 +139,6 @@ def arrow_text(values: pa.Array) -> pa.Array:
     if pa.types.is_boolean(kind):
         return pc.if_else(values, "True", "False")
     if pa.types.is_float32(kind) or pa.types.is_float16(kind):
-        import numpy as np
-
         single = np.float32 if pa.types.is_float32(kind) else np.float16
         return _each(values, lambda v: None if v != v else str(single(v)))
     if pa.types.is_float64(kind):
@@ -172,6 +178,7 @@ def read_table_archives(
         "table_id",
         table_seed(F.col("member")).alias("seed"),
         F.lpad(F.col("row_no").cast("string"), 15, "0").alias("row_tag"),
+        F.col("row_no").alias("row_pos"),
         F.lit(1).alias("n_copies"),
         "cells",
     )

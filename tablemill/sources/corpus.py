@@ -1,10 +1,11 @@
 """The corpus: many small tables held in two DataFrames.
 
 `tables(chunk, table_id, member, columns)` has one row per table;
-`rows(chunk, table_id, seed, row_tag, n_copies, cells)` has one row per table
+`rows(chunk, table_id, seed, row_tag, row_pos, n_copies, cells)` has one row per table
 row, or per run of identical rows. `cells[pos]` is canonical text, NULL where
 the value is missing. `row_tag` is unique within a table and fixes the shuffled
-order, so nothing depends on file order or partitioning.
+order, so nothing depends on file order or partitioning. `row_pos` ascends in the table's own
+order; it is NULL where the source has no such order.
 """
 
 from __future__ import annotations
@@ -72,12 +73,15 @@ def corpus_from_tables(
     chunk: Column,
     columns: list[str] | list[tuple[str, str]] | None = None,
     row_key: list[str] | None = None,
+    position: Column | None = None,
 ) -> Corpus:
     """Read one homogeneous DataFrame as many tables, one per member name.
 
     With `row_key`, columns that identify a row within its table, rows need no
     shuffle here. Without it the row's content is its tag and identical rows
     are counted, which costs one shuffle but combines copies on the map side.
+    `position` is a number that ascends in the table's own order and is unique in it; rows with
+    positions need a `row_key`. A single numeric key is a position if none is given.
     `columns` may give `(name, source column)` where the names of a table would clash in `df`.
     """
     named_columns = [c if isinstance(c, tuple) else (c, c) for c in columns or df.columns]
@@ -124,8 +128,11 @@ def corpus_from_tables(
     ]
     if row_key is not None:
         tag = F.concat_ws("-", *[F.col(k).cast("string") for k in row_key])
+        if position is None and len(row_key) == 1 and isinstance(source_types[row_key[0]], types.IntegralType):
+            position = F.col(f"`{row_key[0]}`")
+        placed = F.lit(None) if position is None else position
         rows = named.select(
-            *base, tag.alias("row_tag"), F.lit(1).alias("n_copies"), cells.alias("cells")
+            *base, tag.alias("row_tag"), placed.cast("bigint").alias("row_pos"), F.lit(1).alias("n_copies"), cells.alias("cells")
         )
         return Corpus(tables, rows, True, rows, len(names))
     plain = named.select(*base, cells.alias("cells"))
@@ -145,6 +152,7 @@ def count_copies(rows: DataFrame) -> DataFrame:
         "table_id",
         "seed",
         F.concat_ws("-", "row_tag", "run").alias("row_tag"),
+        F.lit(None).cast("bigint").alias("row_pos"),
         F.least(F.lit(COPIES_PER_RUN), F.col("copies") - F.col("run") * COPIES_PER_RUN)
         .cast("int")
         .alias("n_copies"),

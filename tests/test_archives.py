@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tablemill.operators import pack
+from tablemill.operators.order import by_position, shuffle_rows
 from tablemill.plans.serialize import prepare, serialize
 from tablemill.sources.archives import read_table_archives
 
@@ -89,3 +90,30 @@ def test_split_tables_pack_the_same(spark, tmp_path):
         for p in (whole, cut)
     ]
     assert texts[0] == texts[1]
+
+
+def test_member_that_breaks_off_is_no_table(spark, tmp_path):
+    n = 60_000
+    sink = io.BytesIO()
+    with pq.ParquetWriter(sink, pa.schema([("n", pa.int64()), ("t", pa.string())]), compression="none") as w:
+        for _ in range(2):
+            w.write_table(pa.table({"n": pa.array(range(n // 2)), "t": pa.array(["x" * 9] * (n // 2))}), row_group_size=n // 2)
+    raw = bytearray(sink.getvalue())
+    at = pq.ParquetFile(io.BytesIO(bytes(raw))).metadata.row_group(1).column(0).data_page_offset
+    raw[at : at + 2_000] = b"\xff" * 2_000
+    with zipfile.ZipFile(tmp_path / "chunk-0001.zip", "w") as z:
+        z.writestr("broken.parquet", bytes(raw))
+        z.writestr("whole.parquet", parquet(pa.table({"n": pa.array([1, 2])})))
+    found = read_table_archives(spark, str(tmp_path))
+    assert {r.table_id for r in found.corpus.rows.collect()} == {"chunk0001__whole.parquet"}
+    assert [r.member for r in found.corpus.tables.collect()] == ["whole.parquet"]
+    assert [r.member for r in found.errors.collect()] == ["broken.parquet"]
+
+
+def test_rows_keep_their_place(spark, tmp_path):
+    values = list(range(40, 0, -1))
+    with zipfile.ZipFile(tmp_path / "chunk-0001.zip", "w") as z:
+        z.writestr("t.parquet", parquet(pa.table({"n": pa.array(values)})))
+    own = by_position(read_table_archives(spark, str(tmp_path)).corpus)
+    rows = shuffle_rows(own.rows, None, True).orderBy("ord").collect()
+    assert [r.cells for r in rows] == [[str(v)] for v in values]
