@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from tablemill.catalog import sql as S
@@ -15,14 +12,10 @@ from tablemill.catalog.tables import BUDGET, SMALL, fit_sql, with_
 from tablemill.constants import PAIR_TYPES
 from tablemill.operators import checks, clean, fit, order, pack, pairs, score
 from tablemill.plans.serialize import serialize
-from tablemill.session import shared_folder
+from tablemill.session import new_folder
 from tablemill.sources import files
 
 
-def new_folder(spark) -> str:
-    return os.path.join(shared_folder(spark), f"out-{uuid.uuid4().hex}")
-
-
 # --- resume -------------------------------------------------------------------
 
 IDS = "ids AS (SELECT DISTINCT trim(value) AS table_id FROM id_lines WHERE trim(value) <> '')"
@@ -214,16 +207,20 @@ def ground_truth(spark, sf):
     "check_outputs",
     with_(
         FANNED,
-        "SELECT f.format, coalesce(n, 0) AS n_lines, e.expected_lines, CASE WHEN coalesce(n, 0) = 0 THEN 'missing or empty' "
+        "SELECT f.format AS artefact, coalesce(n, 0) AS n_lines, e.expected_lines, CASE WHEN coalesce(n, 0) = 0 THEN 'missing or empty' "
         "WHEN n <> e.expected_lines THEN 'wrong number of lines' END AS failure "
-        "FROM (SELECT DISTINCT format FROM headers) f LEFT JOIN (SELECT format, count(*) AS n FROM fanned "
-        "WHERE format <> 'json' AND (format <> 'csv' OR type <> 'lookup') GROUP BY format) USING (format), "
-        "(SELECT count(DISTINCT table_id) * 5 AS expected_lines FROM made) e",
+        "FROM (SELECT DISTINCT format FROM headers) f LEFT JOIN (SELECT format, count(*) AS n FROM fanned GROUP BY format) USING (format), "
+        "(SELECT count(DISTINCT table_id) * 5 AS expected_lines FROM made) e "
+        "UNION ALL SELECT 'ground_truth', count(*), NULL, NULL FROM made "
+        "UNION ALL SELECT 'clean_tables', count(*), NULL, NULL FROM tabs "
+        "UNION ALL SELECT 'completed_ids', count(*), NULL, 'missing or empty' FROM tabs WHERE n_rows < 0",
     ),
 )
 def check(spark, sf):
-    found = _fanned(spark, sf).filter("format <> 'json' and (format <> 'csv' or type <> 'lookup')")
-    return checks.check_outputs(found, _templates(spark, sf, NATION).select("table_id").distinct())
+    made = _templates(spark, sf, NATION)
+    tables = prepared(spark, sf, NATION).tables
+    others = {"ground_truth": made, "clean_tables": tables, "completed_ids": tables.filter("n_rows < 0")}
+    return checks.check_outputs(_fanned(spark, sf), made.select("table_id").distinct(), others)
 
 
 @query(
@@ -292,14 +289,22 @@ RUN_SUMMARY = (
     "SELECT run_id, format, n_pairs, coalesce(n, 0) AS n_processed, n_pairs - coalesce(n, 0) AS n_skipped, "
     "coalesce(round_even(c / n, 4), 0)::DOUBLE AS overall_accuracy FROM asked LEFT JOIN done USING (run_id, format)"
 )
+BY_TYPE = (
+    RUN_SUMMARY.replace(" FROM asked LEFT JOIN", ", by_type FROM asked LEFT JOIN")
+    + " LEFT JOIN (SELECT run_id, format, string_agg(t || ' ' || c || ' ' || n || ' ' || round_even(c / n, 4)::DOUBLE, ',' ORDER BY t) AS by_type FROM "
+    "(SELECT run_id, format, coalesce(type, 'unknown') AS t, count(*) AS n, count(*) FILTER (correct) AS c FROM results GROUP BY ALL) GROUP BY ALL) USING (run_id, format)"
+)
 
 
-@query("write_summary", RUN_SUMMARY)
+@query("write_summary", BY_TYPE)
 def summary(spark, sf):
     path = new_folder(spark)
     scores = derived(spark, sf, "scores")
     files.write_summary(score.run_summary(scores, score.pair_correct(scores)), path)
-    return spark.read.json(path).drop("by_type")
+    each = F.transform(
+        F.array_sort(F.map_entries("by_type")), lambda e: F.concat_ws(" ", e["key"], e["value"]["correct"], e["value"]["total"], e["value"]["accuracy"])
+    )
+    return spark.read.schema(files.SUMMARY).json(path).withColumn("by_type", F.array_join(each, ","))
 
 
 @query("write_results", f"{RESULTS} SELECT run_id, format, type, correct FROM results")
@@ -309,13 +314,6 @@ def results(spark, sf):
     return files.read_results(spark, path).select("run_id", "format", "type", "correct")
 
 
-@query("smoke_scores")
-def smoke(spark, sf):
-    return score.smoke_scores(derived(spark, sf, "pair_lines")).select(
-        "table_id", "statement", "nll_statement", "nll_distractor"
-    )
-
-
 @query(
     "accuracy_across_seeds",
     f"{cte('accuracies')} SELECT format, mode, count(*) AS n_seeds, round(avg(accuracy), 6) AS mean_accuracy, "

@@ -361,14 +361,16 @@ def seg_tokens(spark, sf):
     "serialize_stats",
     with_(
         f"{S.packed(NUMBERS, SMALL)}, {S.slices('packed')}, tok AS (SELECT table_id, format, {S.tokens('text')} AS n FROM slice_text)",
-        "SELECT format, chunk, count(DISTINCT table_id) AS processed, coalesce(sum(n), 0) AS tokens, 0 AS skipped "
-        "FROM (SELECT table_id, chunk, f.format FROM tabs, (SELECT DISTINCT format FROM headers) f) LEFT JOIN tok USING (table_id, format) GROUP BY format, chunk",
+        "SELECT format, chunk, count(DISTINCT table_id) AS processed, coalesce(sum(n), 0) AS tokens, coalesce(any_value(bad), 0) AS skipped "
+        "FROM (SELECT table_id, chunk, f.format FROM tabs, (SELECT DISTINCT format FROM headers) f) LEFT JOIN tok USING (table_id, format) "
+        "LEFT JOIN (SELECT chunk, count(*) AS bad FROM tabs WHERE n_rows < 8 GROUP BY chunk) USING (chunk) GROUP BY format, chunk",
         True,
     ),
 )
 def stats(spark, sf):
     p = prepared(spark, sf, NUMBERS)
-    errors = p.tables.limit(0).select("chunk", "table_id")
+    # Short tables stand for members that could not be read besides those that were.
+    errors = p.tables.filter("n_rows < 8").select("chunk", "table_id")
     return pack.serialize_stats(p.tables, serialize(p, SMALL), errors)
 
 
@@ -407,26 +409,30 @@ def split_packing(spark, sf):
     return pack.pack_ranges(p.corpus, p.tables, cut, SMALL).filter("seg_no is not null")
 
 
+# Rows of conversations above it stand first, in the middle, last and in sequence.
+TIGHT = 45
+
+
 @query(
     "oversize_rows",
-    with_(S.costs(TALK), f"SELECT table_id, format, ord FROM costs WHERE cost > {BUDGET} - header"),
+    with_(S.costs(TALK), f"SELECT table_id, format, ord FROM costs WHERE cost > {TIGHT} - header"),
 )
 def oversize(spark, sf):
-    found = pack.pack_ranges(*prepared(spark, sf, TALK), BUDGET).filter("seg_no is null")
+    found = pack.pack_ranges(*prepared(spark, sf, TALK), TIGHT).filter("seg_no is null")
     return found.select("table_id", "format", F.col("start_ord").alias("ord"))
 
 
 @query(
     "rows_kept",
     with_(
-        S.packed(TALK, BUDGET),
+        S.packed(TALK, TIGHT),
         "SELECT format, count(seg) AS rows_written, count(*) - count(seg) AS rows_dropped, "
         "count(DISTINCT (table_id, seg)) FILTER (seg IS NOT NULL) AS segments FROM packed GROUP BY format",
         True,
     ),
 )
 def kept(spark, sf):
-    return pack.rows_kept(pack.pack_ranges(*prepared(spark, sf, TALK), BUDGET))
+    return pack.rows_kept(pack.pack_ranges(*prepared(spark, sf, TALK), TIGHT))
 
 
 # --- fitting ------------------------------------------------------------------

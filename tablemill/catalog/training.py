@@ -8,6 +8,8 @@ from tablemill.catalog.derived import cte, derived
 from tablemill.catalog.registry import query
 from tablemill.constants import EXPERIMENT, EXPERIMENT_IN_PATH, FORMATS, TARGET_STEP, TOKENS_PER_STEP
 from tablemill.operators import curves, runs
+from tablemill.session import new_folder as out_folder
+from tablemill.sources import files
 
 FORMAT_ROWS = ", ".join(f"({i}, '{f}')" for i, f in enumerate(FORMATS))
 
@@ -188,6 +190,29 @@ def fraction(spark, sf):
     return runs.matched_fraction(_stats(spark, sf))
 
 
+@query(
+    "write_token_stats",
+    f"{DOCS}, {SHARDS} SELECT format, n_shards, total_segments, total_tokens, shards FROM stats JOIN "
+    "(SELECT format, string_agg(shard || ':' || segments || ':' || tokens, ',' ORDER BY shard) AS shards FROM shard GROUP BY format) USING (format)",
+)
+def stats_file(spark, sf):
+    path = out_folder(spark)
+    files.write_token_stats(runs.token_stats_report(_shards(spark, sf)), path)
+    each = F.transform("shards", lambda s: F.concat_ws(":", s["shard"], s["segments"], s["tokens"]))
+    return files.read_token_stats(spark, path).withColumn("shards", F.array_join(each, ","))
+
+
+@query(
+    "write_assessment",
+    f"{PATHS}, {RUNS} SELECT exp, format, seed, jobid, ckpt_dir, array_to_string(iters, ',') AS iters, latest_iter, location FROM runs",
+)
+def assessment_file(spark, sf):
+    path = out_folder(spark)
+    files.write_assessment(_runs(spark, sf).drop("reached"), path)
+    found = files.read_assessment(spark, path)
+    return found.select("exp", "format", "seed", "jobid", "ckpt_dir", joined("iters"), "latest_iter", "location")
+
+
 # --- matched checkpoints ----------------------------------------------------------
 
 PLAN = f"""{cte('paths', 'doc_shards')}, {RUNS}, {SHARDS},
@@ -249,6 +274,13 @@ def plan(spark, sf):
     return _plan(spark, sf)
 
 
+@query("write_plan", f"{PLAN} SELECT * FROM plan")
+def plan_file(spark, sf):
+    path = out_folder(spark)
+    files.write_plan(_plan(spark, sf), path)
+    return files.read_plan(spark, path)
+
+
 @query("dropped_runs", f"{PLAN} SELECT exp FROM eligible WHERE exp NOT IN (SELECT exp FROM best)")
 def dropped(spark, sf):
     found = _eligible(spark, sf)
@@ -269,37 +301,32 @@ query("eval_jobs_final", f"{PLAN} {JOBS.format(mode='final', ckpt='real_ckpt_dir
 # --- curves -------------------------------------------------------------------------
 
 FACTOR = 0.9
-CURVE = f"""points AS (SELECT run, any_value(format) AS format, step, arg_max(loss, seq) AS loss FROM event_points GROUP BY run, step),
-sorted AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS pos FROM points)"""
+CURVE = """sorted AS (SELECT format, step, loss, row_number() OVER (PARTITION BY format ORDER BY step, loss) AS pos FROM event_points)"""
 SMOOTH = f"""{CURVE},
-smooth AS (SELECT run, format, step, pos, loss, loss AS s FROM sorted WHERE pos = 1
-  UNION ALL SELECT n.run, n.format, n.step, n.pos, n.loss, {FACTOR}::DOUBLE * w.s + (1 - {FACTOR}::DOUBLE) * n.loss
-  FROM smooth w JOIN sorted n ON n.run = w.run AND n.pos = w.pos + 1)"""
+smooth AS (SELECT format, step, pos, loss, loss AS s FROM sorted WHERE pos = 1
+  UNION ALL SELECT n.format, n.step, n.pos, n.loss, {FACTOR}::DOUBLE * w.s + (1 - {FACTOR}::DOUBLE) * n.loss
+  FROM smooth w JOIN sorted n ON n.format = w.format AND n.pos = w.pos + 1)"""
 AXIS = f"""{SMOOTH}, {SHARDS},
-axis AS (SELECT run, smooth.format, step, s, step * {TOKENS_PER_STEP} * ((SELECT max(total_tokens) FROM stats) / total_tokens) / 1e9 AS x
+axis AS (SELECT smooth.format, step, s, step * {TOKENS_PER_STEP} * ((SELECT max(total_tokens) FROM stats) / total_tokens) / 1e9 AS x
          FROM smooth JOIN stats USING (format) WHERE total_tokens > 0)"""
-AT = f"""{AXIS}, ends AS (SELECT run, format, max((x, s)) FILTER (x <= {curves.BUDGET_X}) AS l, min((x, s)) FILTER (x >= {curves.BUDGET_X}) AS r FROM axis GROUP BY run, format),
-at_budget AS (SELECT run, format, CASE WHEN l IS NULL OR l[1] = r[1] THEN r[2]
+AT = f"""{AXIS}, ends AS (SELECT format, max((x, s)) FILTER (x <= {curves.BUDGET_X}) AS l, min((x, s)) FILTER (x >= {curves.BUDGET_X}) AS r FROM axis GROUP BY format),
+at_budget AS (SELECT format, CASE WHEN l IS NULL OR l[1] = r[1] THEN r[2]
    ELSE l[2] + (r[2] - l[2]) * ({curves.BUDGET_X} - l[1]) / (r[1] - l[1]) END AS loss FROM ends WHERE r IS NOT NULL)"""
 POINTS = cte("event_points", "doc_shards").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def _curve(spark, sf) -> DataFrame:
-    points = derived(spark, sf, "event_points")
-    formats = points.select("run", "format").distinct()
-    return curves.last_per_step(points, "seq").join(formats, "run")
+    return derived(spark, sf, "event_points").select("format", "step", "loss")
 
 
 def _axis(spark, sf) -> DataFrame:
-    curve = _curve(spark, sf)
-    smooth = curves.ema(curve, FACTOR).withColumnRenamed("smooth", "y")
-    smooth = smooth.join(curve.select("run", "format").distinct(), "run")
+    smooth = curves.ema(_curve(spark, sf), FACTOR).withColumnRenamed("smooth", "y")
     return curves.rows_seen_axis(smooth, _stats(spark, sf))
 
 
-@query("sort_curve", f"{POINTS}, {CURVE} SELECT run, step, loss, pos FROM sorted")
+@query("sort_curve", f"{POINTS}, {CURVE} SELECT format, step, loss, pos FROM sorted")
 def curve(spark, sf):
-    return curves.sort_curve(_curve(spark, sf)).select("run", "step", "loss", "pos")
+    return curves.sort_curve(_curve(spark, sf)).select("format", "step", "loss", "pos")
 
 
 @query(
@@ -313,17 +340,17 @@ def tags(spark, sf):
     return curves.select_loss_tag(derived(spark, sf, "scalars"))
 
 
-@query("ema", f"{POINTS}, {SMOOTH} SELECT run, step, round(s, 6) AS smooth FROM smooth")
+@query("ema", f"{POINTS}, {SMOOTH} SELECT format, step, round(s, 6) AS smooth FROM smooth")
 def ema(spark, sf):
-    return curves.ema(_curve(spark, sf), FACTOR).select("run", "step", F.round("smooth", 6).alias("smooth"))
+    return curves.ema(_curve(spark, sf), FACTOR).select("format", "step", F.round("smooth", 6).alias("smooth"))
 
 
-@query("rows_seen_axis", f"{POINTS}, {AXIS} SELECT run, format, step, round(x, 6) AS x FROM axis")
+@query("rows_seen_axis", f"{POINTS}, {AXIS} SELECT format, step, round(x, 6) AS x FROM axis")
 def axis(spark, sf):
-    return _axis(spark, sf).select("run", "format", "step", F.round("x", 6).alias("x"))
+    return _axis(spark, sf).select("format", "step", F.round("x", 6).alias("x"))
 
 
-@query("loss_at_budget", f"{POINTS}, {AT} SELECT run, format, round(loss, 6) AS loss FROM at_budget")
+@query("loss_at_budget", f"{POINTS}, {AT} SELECT format, round(loss, 6) AS loss FROM at_budget")
 def at_budget(spark, sf):
     return curves.loss_at_budget(_axis(spark, sf)).withColumn("loss", F.round("loss", 6))
 

@@ -8,8 +8,29 @@ from tablemill.constants import FORMATS, PAIR_TYPES
 from tablemill.operators.runs import formats_dim
 
 
-def check_outputs(pairs: DataFrame, expected_tables: DataFrame) -> DataFrame:
-    """Per format the lines found and expected, and what is wrong (NULL if nothing is)."""
+def check_outputs(
+    pairs: DataFrame, expected_tables: DataFrame, others: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """Per artefact the lines found and expected, and what is wrong (NULL if nothing is).
+
+    Artefacts are the pairs of each format, of which the number is known, and `others` (ground truth,
+    completed ids, clean tables), which have to be there.
+    """
+    per_format = _check_pairs(pairs, expected_tables)
+    for name, rows in (others or {}).items():
+        n = rows.agg(F.count(F.lit(1)).alias("n_lines"))
+        per_format = per_format.unionByName(
+            n.select(
+                F.lit(name).alias("artefact"),
+                "n_lines",
+                F.lit(None).cast("bigint").alias("expected_lines"),
+                F.when(F.col("n_lines") == 0, "missing or empty").alias("failure"),
+            )
+        )
+    return per_format
+
+
+def _check_pairs(pairs: DataFrame, expected_tables: DataFrame) -> DataFrame:
     expected = expected_tables.agg((F.count(F.lit(1)) * len(PAIR_TYPES)).alias("expected_lines"))
     found = pairs.groupBy("format").agg(F.count(F.lit(1)).alias("n_lines"))
     n, e = F.coalesce("n_lines", F.lit(0)), F.col("expected_lines")
@@ -19,7 +40,7 @@ def check_outputs(pairs: DataFrame, expected_tables: DataFrame) -> DataFrame:
         .join(found, "format", "left")
         .crossJoin(F.broadcast(expected))
         .select(
-            "format",
+            F.col("format").alias("artefact"),
             n.alias("n_lines"),
             "expected_lines",
             F.when(n == 0, "missing or empty").when(n != e, "wrong number of lines").alias("failure"),

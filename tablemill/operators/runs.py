@@ -178,6 +178,16 @@ def format_token_stats(shards: DataFrame) -> DataFrame:
     )
 
 
+def token_stats_report(shards: DataFrame) -> DataFrame:
+    """Totals of each format with its shards, sorted; a format's list of shards is one value."""
+    return shards.groupBy("format").agg(
+        F.count(F.lit(1)).alias("n_shards"),
+        F.sum("segments").alias("total_segments"),
+        F.sum("tokens").alias("total_tokens"),
+        F.sort_array(F.collect_list(F.struct("shard", "segments", "tokens"))).alias("shards"),
+    )
+
+
 def relative_size(stats: DataFrame) -> DataFrame:
     """Tokens relative to the most verbose format; formats without tokens are left out."""
     some = stats.filter("total_tokens > 0")

@@ -103,17 +103,6 @@ def run_summary(pairs: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def smoke_scores(pairs: DataFrame) -> DataFrame:
-    """Stand-in losses in [1, 5), derived from the text, for runs without a model."""
-
-    def draw(side: str):
-        return F.pmod(F.xxhash64("table_id", side), F.lit(1_000_000)) / 250_000.0 + 1.0
-
-    return pairs.withColumns(
-        {"nll_statement": draw("statement"), "nll_distractor": draw("distractor")}
-    )
-
-
 def accuracy_across_seeds(accuracies: DataFrame) -> DataFrame:
     """Mean and standard deviation over seeds, with the distance from chance."""
     return accuracies.groupBy("format", "mode").agg(

@@ -36,6 +36,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The name of a fresh folder in the shared one."""
+    return os.path.join(shared_folder(spark), f"out-{uuid.uuid4().hex}")
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a result that several later steps read; its lineage ends there.
 

@@ -55,6 +55,51 @@ def write_summary(summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").json(path)
 
 
+SUMMARY = (
+    "run_id string, format string, n_pairs bigint, n_processed bigint, n_skipped bigint, overall_accuracy double, "
+    "by_type map<string, struct<correct: bigint, total: bigint, accuracy: double>>"
+)
+ASSESSMENT = (
+    "exp string, ckpt_dir string, iters array<bigint>, latest_iter bigint, store_ckpt_dir string, "
+    "store_iters array<bigint>, location string, format string, seed bigint, jobid string"
+)
+TOKEN_STATS = (
+    "format string, n_shards bigint, total_segments bigint, total_tokens bigint, "
+    "shards array<struct<shard: string, segments: bigint, tokens: bigint>>"
+)
+PLAN = (
+    "experiment string, format string, seed bigint, real_ckpt_dir string, final_iter bigint, target_iter bigint, "
+    "matched_iter bigint, rows_delta_pct double, view_ckpt_dir string, step_dir string"
+)
+
+
+def write_assessment(runs: DataFrame, path: str) -> None:
+    """One line per experiment; a rerun replaces what was there."""
+    runs.write.mode("overwrite").json(path)
+
+
+def read_assessment(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ASSESSMENT).json(path)
+
+
+def write_token_stats(stats: DataFrame, path: str) -> None:
+    """One line per format with its shards."""
+    stats.write.mode("overwrite").json(path)
+
+
+def read_token_stats(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TOKEN_STATS).json(path)
+
+
+def write_plan(plan: DataFrame, path: str) -> None:
+    """One line per selected run."""
+    plan.write.mode("overwrite").json(path)
+
+
+def read_plan(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PLAN).json(path)
+
+
 def append_completed(ids: DataFrame, path: str) -> None:
     ids.select("table_id").write.mode("append").text(path)
 
