@@ -6,6 +6,10 @@ its strings cover, its piece. Equal strings have equal anchors. A piece that an
 repeated as a whole. Only where different pieces share an anchor and enough bytes beside it do
 the pieces themselves go to the bucket of the anchor.
 
+An anchor with many different pieces, at the edge of a passage that stands in very many documents, would make
+one bucket grow without bound. Such an anchor's pieces are dealt by their own names, and its strings, instead
+of going to one index, by theirs, the least document of each string in a batch first.
+
 A bucket builds the index of its different pieces: the Burrows-Wheeler transform in runs, with suffix samples
 at the ends of runs, and for each range of suffixes that share WIDTH bytes the least document. Pieces are
 streamed over it backwards, many at a time: a step follows the run's mapping while bytes match, and
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablemill.llm.common import mix, partitions, powers, process_cache, read, slices, stage_and_free, text_buffers
 from tablemill.llm.queries import query
+from tablemill.llm.substring_dedup import common_above
 
 WIDTH = 50
 K = 16
@@ -31,6 +36,10 @@ HALF = (WIDTH - K) // 2
 #: Mean length of a phrase in bytes.
 PHRASE = 128
 SPREAD = 4
+#: Bytes of text whose spans are sent together.
+BATCH_BYTES = 16 << 20
+#: Different pieces of one anchor that may meet in a task, over all batches.
+ANCHOR_PIECES = 200_000
 NULL_KEY = -(1 << 63)
 #: Bits of positions in a slice; a document has at most so many bytes.
 PLACE = 28
@@ -126,16 +135,19 @@ _REPLY = pa.schema([("doc", pa.int64()), ("kind", pa.int32()), ("body", pa.binar
 _REPLY_DDL = "doc long, kind int, body binary"
 #: Kinds of answers: spans whose pieces an earlier document has, spans to be compared, strings found in comparing.
 WHOLE, ASKED, STRINGS = 0, 1, 2
-#: A span to be compared: bit 0 if another has the same bytes left of the anchor, bit 1 for those right of it.
+#: Spans of ordinary anchors, spans of common anchors, and notices that an anchor is common.
+PLAIN, DEALT, NOTICE = 0, 1, 2
+#: A span to be compared: bit 0 if another has the same bytes left of the anchor, bit 1 for those right of it,
+#: bit 2 if the anchor is common.
 _ASK = np.dtype([("key", "<u8"), ("sides", "u1")])
-_COLUMNS = ["<u4", "u1", "<u4", "u1", "u1", "u1", "<i8"]
+_COLUMNS = ["<u4", "u1", "<u4", "u1", "u1", "u1", "<i8", "u1"]
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
     return [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)]
 
 
-def _send(batch: pa.RecordBatch, n_buckets: int) -> pa.RecordBatch:
+def _send(batch: pa.RecordBatch, n_buckets: int, most: int) -> pa.RecordBatch:
     """A batch's spans by bucket, of equal ones the least document's, and answers to its later documents."""
     body, offsets = text_buffers(batch["text"])
     docs = batch["doc"].to_numpy(zero_copy_only=False)
@@ -156,8 +168,19 @@ def _send(batch: pa.RecordBatch, n_buckets: int) -> pa.RecordBatch:
         rows += [(d % n_buckets, d, 0, keys) for d, _, keys in _answers(doc[later], key[later], WHOLE)]
         first.sort()
         anchor, piece, doc = anchor[first], piece[first], doc[first]
-        columns = [*_forty(anchor >> np.uint64(24)), *_forty(piece >> np.uint64(24)), left[first], right[first], doc]
-        bucket = ((anchor & np.uint64((1 << 24) - 1)) % np.uint64(n_buckets)).astype(np.int32)
+        left, right = left[first], right[first]
+        _, back, uses = np.unique(anchor, return_inverse=True, return_counts=True)
+        common = np.flatnonzero(uses[back] > most)
+        kind = np.zeros(len(doc), np.uint8)
+        kind[common] = DEALT
+        _, one = np.unique(anchor[common], return_index=True)
+        noticed = common[one]
+        target = np.where(kind == DEALT, piece, anchor & np.uint64((1 << 24) - 1))
+        target = np.append(target, anchor[noticed] & np.uint64((1 << 24) - 1))
+        anchor, piece, left, right, doc = (np.append(x, x[noticed]) for x in (anchor, piece, left, right, doc))
+        kind = np.append(kind, np.full(len(noticed), NOTICE, np.uint8))
+        columns = [*_forty(anchor >> np.uint64(24)), *_forty(piece >> np.uint64(24)), left, right, doc, kind]
+        bucket = (target % np.uint64(n_buckets)).astype(np.int32)
         order = np.lexsort((doc, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         for k in np.flatnonzero(np.diff(cuts)).tolist():
@@ -178,9 +201,9 @@ def _unpacked(table: pa.Table) -> list[np.ndarray]:
         for column, t in zip(columns, _COLUMNS, strict=True):
             column.append(np.frombuffer(raw, t, n, at))
             at += n * np.dtype(t).itemsize
-    a0, a1, p0, p1, left, right, doc = (np.concatenate(c) for c in columns)
+    a0, a1, p0, p1, left, right, doc, kind = (np.concatenate(c) for c in columns)
     forty = lambda low, high: low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-    return [forty(a0, a1), forty(p0, p1), left, right, doc]
+    return [forty(a0, a1), forty(p0, p1), left, right, doc, kind]
 
 
 def _answers(doc: np.ndarray, key: np.ndarray, kind: int) -> list[tuple[int, int, bytes]]:
@@ -195,25 +218,33 @@ def _judge(table: pa.Table) -> pa.Table:
     passing = pa.compute.is_valid(table["doc"])
     ready = table.filter(passing)
     rows = [(d, WHOLE, body) for d, body in zip(ready["doc"].to_pylist(), ready["body"].to_pylist(), strict=True)]
-    anchor, piece, left, right, doc = _unpacked(table.filter(pa.compute.invert(passing)))
-    order = np.argsort(anchor, kind="stable")
-    same = anchor[order][1:] == anchor[order][:-1]
-    shared = np.zeros(len(order), bool)
+    columns = _unpacked(table.filter(pa.compute.invert(passing)))
+    # Spans that were dealt here by their pieces have nothing to do with those that came by their anchors.
+    order = np.lexsort((columns[5] == DEALT, columns[0]))
+    anchor, dealt = columns[0][order], columns[5][order] == DEALT
+    same = (anchor[1:] == anchor[:-1]) & (dealt[1:] == dealt[:-1])
+    shared = dealt.copy()
     shared[1:] |= same
     shared[:-1] |= same
-    mine = order[shared]
-    anchor, piece, left, right, doc = (x[mine] for x in (anchor, piece, left, right, doc))
-    if len(mine):
-        order = np.lexsort((doc, piece, anchor))
-        anchor, piece, left, right, doc = (x[order] for x in (anchor, piece, left, right, doc))
-        own = np.append(True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]))
+    anchor, piece, left, right, doc, kind = (x[order[shared]] for x in columns)
+    if len(doc):
+        dealt = kind == DEALT
+        order = np.lexsort((doc, kind, piece, anchor, dealt))
+        anchor, piece, left, right, doc, kind, dealt = (x[order] for x in (anchor, piece, left, right, doc, kind, dealt))
+        group = np.append(True, (anchor[1:] != anchor[:-1]) | (dealt[1:] != dealt[:-1]))
+        common = np.repeat(np.maximum.reduceat(kind, np.flatnonzero(group)) > PLAIN, np.diff(np.append(np.flatnonzero(group), len(group))))
+        there = kind != NOTICE
+        anchor, piece, left, right, doc, dealt, common = (x[there] for x in (anchor, piece, left, right, doc, dealt, common))
+    if len(doc):
+        own = np.append(True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]) | (dealt[1:] != dealt[:-1]))
         later = doc > doc[own][np.cumsum(own) - 1]
         rows += _answers(doc[later], span_keys(anchor[later], piece[later]), WHOLE)
         # The least document of each different piece stands for it.
-        anchor, piece, left, right, doc = (x[own] for x in (anchor, piece, left, right, doc))
+        anchor, piece, left, right, doc, common = (x[own] for x in (anchor, piece, left, right, doc, common))
         wanted = np.zeros(len(doc), np.int64)
+        wanted[common] = 7
         for which, side in ((1, left), (2, right)):
-            there = np.flatnonzero(side)
+            there = np.flatnonzero((side > 0) & ~common)
             group = anchor[there] << np.uint64(8) | side[there]
             order = np.argsort(group, kind="stable")
             there, group = there[order], group[order]
@@ -372,6 +403,65 @@ class RunIndex:
         return length, doc
 
 
+_STRING = np.dtype([("print", "<u8"), ("doc", "<i8"), ("key", "<u8"), ("first", "<u2")])
+#: In place of a piece's shift: strings of common anchors, and marks that are ready.
+PACKED, READY = -1, -2
+_PIECE = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("key", pa.int64()), ("shift", pa.int32()), ("piece", pa.binary())])
+
+
+def _later_strings(strings: np.ndarray) -> np.ndarray:
+    """Which strings a smaller document has too."""
+    order = np.lexsort((strings["doc"], strings["print"]))
+    sorted_ = strings[order]
+    new = np.append(True, sorted_["print"][1:] != sorted_["print"][:-1]) if len(order) else np.empty(0, bool)
+    later = np.zeros(len(order), bool)
+    later[order] = sorted_["doc"] > sorted_["doc"][new][np.cumsum(new) - 1]
+    return later
+
+
+def _single_marks(strings: np.ndarray) -> list[tuple[int, int, bytes]]:
+    mark = np.empty(len(strings), _MARK)
+    mark["key"], mark["first"], mark["count"] = strings["key"], strings["first"], 1
+    return _answers(strings["doc"], mark, STRINGS)
+
+
+def _strings(body: np.ndarray, got: Spans, chosen: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The strings of spans with common anchors."""
+    size = got.count[chosen]
+    of = np.repeat(chosen, size)
+    first = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    strings = np.empty(len(of), _STRING)
+    begin = got.start[of] + first
+    strings["print"] = _range_hashes(body, begin, begin + WIDTH, _running(body))
+    strings["doc"], strings["key"], strings["first"] = docs[got.home[of]], got.keys()[of], first
+    return strings
+
+
+def _dealt(strings: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """A batch's strings by bucket, and marks for those that it has in a smaller document."""
+    later = _later_strings(strings)
+    rows = [(doc % n_buckets, doc, 0, READY, mark) for doc, _, mark in _single_marks(strings[later])]
+    strings = strings[~later]
+    bucket = (strings["print"] % np.uint64(n_buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+    rows += [(k, None, 0, PACKED, strings[order[cuts[k] : cuts[k + 1]]].tobytes()) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+    return pa.RecordBatch.from_arrays(_rows(rows, _PIECE), schema=_PIECE)
+
+
+def _compare_bucket(table: pa.Table) -> pa.Table:
+    """Marks for what came to a bucket: pieces, packed strings, and marks that are ready."""
+    shift = table["shift"].to_numpy()
+    bodies = table["piece"].to_pylist()
+    ready = table.filter(pa.array(shift == READY))
+    rows = [(d, STRINGS, mark) for d, mark in zip(ready["doc"].to_pylist(), ready["piece"].to_pylist(), strict=True)]
+    strings = np.frombuffer(b"".join(bodies[i] for i in np.flatnonzero(shift == PACKED).tolist()), _STRING)
+    rows += _single_marks(strings[_later_strings(strings)])
+    made = pa.Table.from_arrays(_rows(rows, _REPLY), schema=_REPLY)
+    pieces = table.filter(pa.array(shift >= 0))
+    return pa.concat_tables([made, _compare(pieces)]) if len(pieces) else made
+
+
 def _compare(table: pa.Table) -> pa.Table:
     """Strings of a bucket's pieces that an earlier document's piece has: (key, first string, strings)."""
     key, doc = table["key"].to_numpy().astype(np.int64), table["doc"].to_numpy()
@@ -418,12 +508,15 @@ def _told(bodies: list[list[bytes]], kind) -> np.ndarray:
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
     """doc, answers: what repeats in each document, as names of spans and of strings in them."""
-    n_buckets = SPREAD * partitions(docs.sparkSession)
+    n_partitions = partitions(docs.sparkSession)
+    n_buckets, most = SPREAD * n_partitions, common_above(ANCHOR_PIECES, n_partitions)
     keyed = _keyed(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _send(batch, n_buckets)
+            _, offsets = text_buffers(batch["text"])
+            for a, b in slices(offsets, BATCH_BYTES):
+                yield _send(batch.slice(a, b - a), n_buckets, most)
 
     def judge(table: pa.Table) -> pa.Table:
         return _judge(table)
@@ -435,6 +528,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = text_buffers(batch["text"])
+            dealt: list[np.ndarray] = []
             for a, b in slices(offsets):
                 low = int(offsets[a])
                 got = Spans(body[low : offsets[b]], offsets[a : b + 1] - low)
@@ -447,6 +541,11 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
                 chosen, sides = once[hit], asks["sides"][first][at[hit]]
                 # Without a partner on the left no string reaches HALF bytes there, and so on the right.
                 begin, end = got.start[chosen], got.start[chosen] + got.count[chosen] + WIDTH - 1
+                common, shown = chosen[sides >= 4], batch["doc"].to_numpy(zero_copy_only=False)[a:b]
+                if len(common):
+                    dealt.append(_strings(body[low : offsets[b]], got, common, shown))
+                plain = sides < 4
+                chosen, sides, begin, end = chosen[plain], sides[plain], begin[plain], end[plain]
                 begin = np.where(sides & 1, begin, np.maximum(begin, got.place[chosen] - HALF + 1))
                 end = np.where(sides & 2, end, np.minimum(end, got.place[chosen] + K + HALF - 1))
                 piece = [body[i:j].tobytes() for i, j in zip((begin + low).tolist(), (end + low).tolist(), strict=True)]
@@ -459,9 +558,11 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
                     ],
                     ["bucket", "doc", "key", "shift", "piece"],
                 )
+            if dealt:
+                yield _dealt(np.concatenate(dealt), n_buckets)
 
     def compare(table: pa.Table) -> pa.Table:
-        return _compare(table)
+        return _compare_bucket(table)
 
     pieces = keyed.join(asked, "doc").select("doc", "text", "asked").mapInArrow(cut, "bucket int, doc long, key long, shift int, piece binary")
     strings = stage_and_free(pieces.groupBy("bucket").applyInArrow(compare, _REPLY_DDL))
