@@ -10,7 +10,9 @@ A window of WINDOW words is assigned to its anchor: of the highest symbols whose
 contexts lie inside the window, the one with the least hash, so that neighbouring windows mostly share it. Equal windows have equal anchors at equal distances, so windows can be
 compared where their anchor's name sends them; windows that share one are told apart by a
 fingerprint of their words. Batches first drop windows that they hold twice, so that a passage
-that stands in every document is sent once per batch.
+that stands in every document is sent once per batch. At such a passage's edge, anchors get many different
+windows; a batch in which an anchor has more than its share of ANCHOR_RUNS deals its windows by their own
+names and only sends notice of it, upon which the windows that other batches sent to the anchor are dealt again.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemill.llm.common import mix, partitions, read, slices, text_buffers, word_bounds, word_hashes
+from tablemill.llm.common import mix, partitions, read, slices, stage_and_free, text_buffers, word_bounds, word_hashes
 from tablemill.llm.queries import query
 
 WINDOW = 20
@@ -29,6 +31,11 @@ WINDOW = 20
 ROUNDS = 2
 #: Buckets for each shuffle partition.
 SPREAD = 2
+#: Bytes of text whose windows are sent together.
+BATCH_BYTES = 16 << 20
+#: Runs of windows of one anchor that may meet in a task. There are about as many batches as shuffle partitions,
+#: so an anchor is a common one in a batch if it has more than this number over theirs.
+ANCHOR_RUNS = 200_000
 NULL_KEY = -(1 << 63)
 _FAR = np.int64(1 << 60)
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -175,6 +182,9 @@ class Anchored:
 
 _ENTRY = np.dtype([("key", "<u4"), ("more", "u1"), ("shift", "u1"), ("count", "u1"), ("pos", "<u4"), ("variant", "<u2"), ("doc", "<i8")])
 _MARK = np.dtype([("pos", "<u4"), ("count", "u1")])
+_STRING = np.dtype([("name", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("variant", "<u2")])
+#: In place of a number of entries: windows that were dealt by their names.
+DEALT = -1
 
 
 def _later(identity: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -207,7 +217,12 @@ _SENT = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("variant", pa.i
 _SENT_DDL = "bucket int, doc long, variant int, body binary"
 
 
-def _send(batch: pa.RecordBatch, n_buckets: int, width: int) -> pa.RecordBatch:
+def common_above(allowed: int, n_partitions: int) -> int:
+    """Runs of one anchor in a batch that still go to the anchor's bucket."""
+    return max(2, allowed // n_partitions)
+
+
+def _send(batch: pa.RecordBatch, n_buckets: int, width: int, most: int) -> pa.RecordBatch:
     """A batch's window runs by bucket, and marks for runs that the batch itself has earlier."""
     body, offsets = text_buffers(batch["text"])
     doc = batch["doc"].to_numpy(zero_copy_only=False)
@@ -243,19 +258,55 @@ def _send(batch: pa.RecordBatch, n_buckets: int, width: int) -> pa.RecordBatch:
         # Of repeated rows one is enough.
         whole = np.rec.fromarrays([identity[kept], entry["doc"][kept], entry["pos"][kept], entry["variant"][kept]])
         kept = kept[np.unique(whole, return_index=True)[1]] if _has_copies(doc) else kept
+        # Common anchors: their windows one by one, and a run without windows as notice.
+        anchor = entry["key"].astype(np.uint64) | entry["more"].astype(np.uint64) << np.uint64(32)
+        _, one, back, uses = np.unique(anchor[kept], return_index=True, return_inverse=True, return_counts=True)
+        common = uses[back] > most
+        if common.any():
+            dealt = _windows(entry, print_, at, kept[common])
+            rows += _dealt(dealt, n_buckets)
+            notice = kept[one[uses > most]]
+            kept = np.append(kept[~common], np.arange(len(notice)) + len(entry))
+            entry, bucket, at = np.append(entry, entry[notice]), np.append(bucket, bucket[notice]), np.append(at, at[notice])
+            entry["count"][len(entry) - len(notice) :] = 0
         kept = kept[np.argsort(bucket[kept], kind="stable")]
         cuts = np.searchsorted(bucket[kept], np.arange(n_buckets + 1))
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             mine = kept[cuts[k] : cuts[k + 1]]
-            size = entry["count"][mine].astype(np.int64)
-            ends = np.cumsum(size)
-            own = print_[np.repeat(at[mine] - (ends - size), size) + np.arange(ends[-1])]
+            own = print_[_spread(at[mine], entry["count"][mine].astype(np.int64))]
             # Column by column, so that what varies little is packed well.
             columns = [entry[name][mine].tobytes() for name in _ENTRY.names]
             rows.append((k, None, len(mine), b"".join(columns) + own.tobytes()))
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SENT)], schema=_SENT)
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indexes start .. start + size - 1 of all runs, end to end."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _windows(entry: np.ndarray, prints: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The windows of some runs, named by anchor, distance from it and fingerprint."""
+    size = entry["count"][chosen].astype(np.int64)
+    run = np.repeat(chosen, size)
+    step = _spread(np.zeros(len(size), np.int64), size)
+    anchor = entry["key"][run].astype(np.uint64) | entry["more"][run].astype(np.uint64) << np.uint64(32)
+    # The anchor's distance from the window's start, which falls by one from window to window.
+    away = (entry["shift"].astype(np.int64)[run] - step).astype(np.uint64)
+    out = np.empty(len(run), _STRING)
+    out["name"] = mix(mix(anchor | away << np.uint64(40)) + prints[_spread(at[chosen], size)])
+    out["doc"], out["variant"], out["pos"] = entry["doc"][run], entry["variant"][run], entry["pos"][run] + step
+    return out
+
+
+def _dealt(windows: np.ndarray, n_buckets: int) -> list[tuple]:
+    bucket = (windows["name"] % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+    return [(k, None, DEALT, windows[order[cuts[k] : cuts[k + 1]]].tobytes()) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
 def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     entries, prints = [np.empty(0, _ENTRY)], [np.empty(0, np.uint32)]
     for n, raw in zip(table["variant"].to_pylist(), table["body"].to_pylist(), strict=True):
@@ -269,35 +320,53 @@ def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(entries), np.concatenate(prints)
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """Marks for the windows of a bucket that have an equal earlier one; marks sent along pass."""
-    passing = pa.compute.is_valid(table["doc"])
-    ready = table.filter(passing).select(["doc", "variant", "body"])
-    entry, prints = _received(table.filter(pa.compute.invert(passing)))
-    size = entry["count"].astype(np.int64)
-    run = np.repeat(np.arange(len(entry)), size)
-    step = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
-    anchor = entry["key"].astype(np.uint64) | entry["more"].astype(np.uint64) << np.uint64(32)
-    # The anchor's distance from the window's start, which falls by one from window to window.
-    away = (entry["shift"].astype(np.int64)[run] - step).astype(np.uint64)
-    identity = mix(mix(anchor[run] | away << np.uint64(40)) + prints)
-    order = np.argsort(identity, kind="stable")
-    same = identity[order][1:] == identity[order][:-1]
+def _later_windows(windows: np.ndarray) -> list[tuple]:
+    """Marks for windows that have an equal one at a smaller place."""
+    order = np.argsort(windows["name"], kind="stable")
+    name = windows["name"][order]
+    same = name[1:] == name[:-1]
     repeated = np.zeros(len(order), bool)
     repeated[1:] |= same
     repeated[:-1] |= same
-    mine = order[repeated]
-    doc, pos = entry["doc"][run[mine]], entry["pos"][run[mine]] + step[mine]
-    later = mine[_later(identity[mine], doc, pos)]
-    # Consecutive windows of a run become one mark.
-    later.sort()
-    new = np.append(True, (np.diff(later) != 1) | (np.diff(run[later]) != 0)) if len(later) else np.empty(0, bool)
-    first = later[new]
-    count = np.diff(np.append(np.flatnonzero(new), len(later)))
-    of = run[first]
-    rows = list(_marks(entry["doc"][of], entry["variant"][of], entry["pos"][of] + step[first], count))
-    made = pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc", "variant", "body"])
-    return pa.concat_tables([ready.cast(made.schema), made])
+    mine = windows[order[repeated]]
+    mine = mine[_later(mine["name"], mine["doc"], mine["pos"])]
+    # Consecutive windows of a document become one mark.
+    mine = mine[np.lexsort((mine["pos"], mine["variant"], mine["doc"]))]
+    new = np.ones(len(mine), bool)
+    if len(mine):
+        new[1:] = (np.diff(mine["pos"].astype(np.int64)) != 1) | (mine["doc"][1:] != mine["doc"][:-1]) | (mine["variant"][1:] != mine["variant"][:-1])
+        # A mark counts in one byte.
+        run = np.arange(len(mine)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        new |= run % 200 == 0
+    first = mine[new]
+    count = np.diff(np.append(np.flatnonzero(new), len(mine)))
+    return list(_marks(first["doc"], first["variant"], first["pos"], count))
+
+
+_JUDGED = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("variant", pa.int32()), ("body", pa.binary())])
+
+
+def _judge(table: pa.Table, n_buckets: int) -> pa.Table:
+    """Marks for a bucket's windows that have an equal earlier one, and windows to be dealt.
+
+    Marks and dealt windows that came along pass.
+    """
+    ours = pa.compute.and_(pa.compute.is_null(table["doc"]), pa.compute.greater_equal(table["variant"], 0))
+    entry, prints = _received(table.filter(ours))
+    size = entry["count"].astype(np.int64)
+    at = np.cumsum(size) - size
+    anchor = entry["key"].astype(np.uint64) | entry["more"].astype(np.uint64) << np.uint64(32)
+    noticed = np.isin(anchor, anchor[size == 0])
+    rows = [(None, *mark) for mark in _later_windows(_windows(entry, prints, at, np.flatnonzero(~noticed)))]
+    rows += _dealt(_windows(entry, prints, at, np.flatnonzero(noticed)), n_buckets)
+    made = pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_JUDGED)], schema=_JUDGED)
+    return pa.concat_tables([table.filter(pa.compute.invert(ours)).select(_JUDGED.names).cast(_JUDGED), made])
+
+
+def _judge_dealt(table: pa.Table) -> pa.Table:
+    windows = np.frombuffer(b"".join(table["body"].to_pylist()), _STRING)
+    rows = _later_windows(windows)
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc", "variant", "body"])
 
 
 def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -306,17 +375,24 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     doc is doc_id (the smallest long for null), variant 16 bits of the text's hash, which keeps apart different
     texts under one doc_id. Each mark's element is bytes of (first word, windows) entries.
     """
-    n_buckets = SPREAD * partitions(docs.sparkSession)
+    n_partitions = partitions(docs.sparkSession)
+    n_buckets, most = SPREAD * n_partitions, common_above(ANCHOR_RUNS, n_partitions)
     keyed = docs.select(*_key(), F.coalesce("text", F.lit("")).alias("text"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _send(batch, n_buckets, width)
+            for a, b in slices(text_buffers(batch["text"])[1], BATCH_BYTES):
+                yield _send(batch.slice(a, b - a), n_buckets, width, most)
 
     def judge(table: pa.Table) -> pa.Table:
-        return _judge(table)
+        return _judge(table, n_buckets)
+
+    def judge_dealt(table: pa.Table) -> pa.Table:
+        return _judge_dealt(table)
 
-    marks = keyed.mapInArrow(send, _SENT_DDL).groupBy("bucket").applyInArrow(judge, "doc long, variant int, body binary")
+    judged = stage_and_free(keyed.mapInArrow(send, _SENT_DDL).groupBy("bucket").applyInArrow(judge, _SENT_DDL))
+    dealt = judged.where(F.col("doc").isNull()).groupBy("bucket").applyInArrow(judge_dealt, "doc long, variant int, body binary")
+    marks = judged.where(F.col("doc").isNotNull()).select("doc", "variant", "body").unionByName(dealt)
     return marks.groupBy("doc", "variant").agg(F.collect_list("body").alias("marks"))
 
 

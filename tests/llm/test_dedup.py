@@ -113,3 +113,23 @@ def test_components(spark):
     expected = [(i, 0) for i in range(41)] + [(100, 100), (101, 100), (150, 150), (200, 150), (300, 150)]
     assert table(found, "node", "root") == sorted(expected, key=repr)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_common_anchors_change_nothing(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ANCHOR_PIECES", 1)
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 20_000)
+    passage = next(t for d, t in rows if d == -4)[:300]
+    more = [(1_000 + i, f"{i * 7919} {i} {passage} {i * 104729} and {i}") for i in range(40)]
+    given = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    found = suffix_dedup.remove_strings(given)
+    assert table(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == sorted(brute.suffix_dedup([*rows, *more]), key=repr)
+
+
+def test_common_word_anchors_change_nothing(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "ANCHOR_RUNS", 1)
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", 20_000)
+    passage = " ".join(next(t for d, t in rows if d == -4).split()[:45])
+    more = [(1_000 + i, f"{i} {i * 7919} {passage} {i * 104729} and {i}") for i in range(60)]
+    given = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string").repartition(9))
+    found = substring_dedup.remove_repeats(given)
+    assert table(found, "doc_id", "n_words", "n_removed", "kept") == sorted(brute.substring_dedup([*rows, *more]), key=repr)
