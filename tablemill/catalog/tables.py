@@ -23,6 +23,7 @@ from tablemill.functions import text as X
 from tablemill.functions.tokens import count_words
 from tablemill.operators import checks, clean, fit, order, pack, render, shards
 from tablemill.plans.serialize import serialize
+from tablemill.session import stage
 from tablemill.sources.corpus import select_chunks, table_id, table_seed
 
 BUDGET = 200
@@ -526,8 +527,8 @@ v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, encode(token)) -
     ),
 )
 def tokenized(spark, sf):
-    segments = serialize(prepared(spark, sf, NATION), BUDGET)
-    ids = shards.tokenize_segments(segments, shards.vocabulary(segments))
+    segments = stage(serialize(prepared(spark, sf, NATION), BUDGET))
+    ids = shards.tokenize_segments(segments, stage(shards.vocabulary(segments)))
     return ids.withColumn("token_ids", F.array_join(F.transform("token_ids", lambda t: t.cast("string")), " "))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablemill.constants import TOKEN_SHARDS, TRAIN_PER_MILLE, TRAIN_SHARDS
 from tablemill.functions.tokens import words
+from tablemill.session import stage
 
 
 def hash_bucket(key: Column, buckets: int) -> Column:
@@ -17,25 +18,30 @@ def hash_bucket(key: Column, buckets: int) -> Column:
 def vocabulary(texts: DataFrame) -> DataFrame:
     """Ids by falling frequency, then by token.
 
-    Counting combines on the map side. The ids come from ranks inside count
-    ranges plus the sizes of the ranges before, so no task sees the whole vocabulary.
+    Counting combines on the map side. Tokens are dealt by ranges of that order; a token's id is its rank in
+    its range plus the sizes of the ranges before, which are one number per partition.
     """
+    spark = texts.sparkSession
     counts = (
         texts.select(F.explode(words(F.col("text"))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
-        # Rare tokens make up most of a vocabulary; their first bytes split them in order.
-        .withColumn("slice", F.substring(F.hex(F.col("token").cast("binary")), 1, 6))
+        .withColumn("bytes", F.col("token").cast("binary"))
     )
-    group = Window.partitionBy("n", "slice").orderBy("token")
-    sizes = counts.groupBy("n", "slice").agg(F.count(F.lit(1)).alias("size"))
-    # One row per (count, slice): far fewer than tokens.
-    before = Window.orderBy(F.desc("n"), "slice").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(
-        "n", "slice", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Stored, so that a token's range stays what it was when a task is repeated.
+    ranged = stage(
+        stage(counts).repartitionByRange(pieces, F.desc("n"), "bytes").withColumn("range", F.spark_partition_id())
     )
-    return counts.join(bases, ["n", "slice"]).select(
-        "token", "n", (F.col("base") + F.row_number().over(group) - 1).alias("token_id")
+    sizes = {r["range"]: r["size"] for r in ranged.groupBy("range").agg(F.count(F.lit(1)).alias("size")).collect()}
+    bases, so_far = [], 0
+    for number in sorted(sizes):
+        bases.append((number, so_far))
+        so_far += sizes[number]
+    within = Window.partitionBy("range").orderBy(F.desc("n"), "bytes")
+    return (
+        ranged.join(spark.createDataFrame(bases, "range int, base long"), "range")
+        .select("token", "n", (F.col("base") + F.row_number().over(within) - 1).alias("token_id"))
     )
 
 
@@ -47,40 +53,30 @@ MAX_FREQUENT = 100_000
 def tokenize_segments(segments: DataFrame, vocab: DataFrame) -> DataFrame:
     """Segments as id sequences with the shard they go to; segments are bounded by the budget.
 
-    A segment's distinct words are joined, not its positions. Words that occur
-    in a large part of the segments are looked up in a broadcast list of
-    bounded size, and only the others are shuffled.
+    Words that occur in a large part of the segments are looked up in a broadcast list of
+    bounded size, and only the others are shuffled. Both inputs are read more than once
+    and should be stored tables.
     """
     key = ["format", "table_id", "seg_no"]
-    keyed = segments.withColumn(
-        "shard",
-        hash_bucket(F.concat_ws("-", "table_id", F.col("seg_no").cast("string")), TOKEN_SHARDS),
-    ).withColumn("words", words(F.col("text")))
+    shard = hash_bucket(F.concat_ws("-", "table_id", F.col("seg_no").cast("string")), TOKEN_SHARDS)
     total = vocab.agg(F.sum("n").alias("total"))
     frequent = (
         vocab.crossJoin(F.broadcast(total))
         .filter(F.col("n") * MAX_FREQUENT > F.col("total"))
         .select("token", F.col("token_id").alias("known_id"))
     )
-    pairs = keyed.select(*key, F.explode(F.array_distinct("words")).alias("token")).join(
+    placed = segments.select(*key, F.posexplode(words(F.col("text"))).alias("pos", "token")).join(
         F.broadcast(frequent), "token", "left"
     )
-    found = pairs.filter("known_id is not null").withColumnRenamed("known_id", "token_id")
-    rare = pairs.filter("known_id is null").drop("known_id").join(
-        vocab.select("token", "token_id"), "token"
-    )
+    known = placed.filter("known_id is not null").select(*key, "pos", F.col("known_id").alias("token_id"))
+    rare = placed.filter("known_id is null").join(vocab.select("token", "token_id"), "token").select(*key, "pos", "token_id")
     ids = (
-        found.unionByName(rare)
+        known.unionByName(rare)
         .groupBy(*key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("ids"))
-    )
-    return keyed.join(ids, key).select(
-        "format",
-        "shard",
-        "table_id",
-        "seg_no",
-        F.transform("words", lambda w: F.element_at("ids", w)).alias("token_ids"),
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("found"))
+        .withColumn("token_ids", F.col("found.token_id"))
     )
+    return ids.select("format", shard.alias("shard"), "table_id", "seg_no", "token_ids")
 
 
 def shard_select(sizes: DataFrame, wanted: int = TRAIN_SHARDS) -> DataFrame:
