@@ -17,6 +17,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))

@@ -52,16 +52,6 @@ def content_tag(cells: Column) -> Column:
     return F.md5(F.array_join(marked, "\x1f").cast("binary"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that comes in fewer pieces than there are cores.
-
-    Large inputs have many more pieces than cores and pass through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if pieces < cores else df
-
-
 def select_chunks(df: DataFrame, chunks: list[int]) -> DataFrame:
     """Keep some chunks; on data stored by chunk this prunes partitions."""
     return df.filter(F.col("chunk").isin(chunks))
@@ -109,7 +99,7 @@ def corpus_from_tables(
             for i, n in enumerate(names)
         ]
     )
-    named = spread(df).withColumns(
+    named = df.withColumns(
         {"__member": member, "__chunk": chunk.cast("int"), "__floats": floats}
     )
     tables = (

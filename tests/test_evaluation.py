@@ -104,3 +104,31 @@ def test_long_texts_survive_the_shuffle(spark):
     df = spark.createDataFrame([(1, "x" * 600)], "id long, a string")
     rows = shuffle_rows(corpus_from_tables(df, F.lit("t"), F.lit(1), ["a"], row_key=["id"]).rows, None, True)
     assert len(rows.first()["cells"][0]) == 600
+
+
+def test_plan_from_tables_to_files(spark, tmp_path):
+    import json
+
+    from tablemill.constants import FORMATS, PAIR_TYPES
+    from tablemill.plans import evaluate
+    from tablemill.sources.files import completed_ids
+
+    rows = [(t, i, f"w{t}-{i}", float(i)) for t in range(6) for i in range(1 if t == 5 else 4)]
+    df = spark.createDataFrame(rows, "t int, i long, name string, x double")
+    p = prepare(corpus_from_tables(df, F.concat(F.lit("t"), "t"), F.lit(1), ["name", "x"], row_key=["i"]))
+    done = spark.createDataFrame([("chunk0001__t0",)], "table_id string")
+    chosen = evaluate.choose(p, done, budget=200, n_tables=10)
+    asked = sorted(r.table_id for r in chosen.prompts.collect())
+    assert asked == [f"chunk0001__t{t}" for t in range(1, 5)]  # one is done, one has a single row
+    assert all("w1-0" in r.user for r in chosen.prompts.collect() if r.table_id.endswith("t1"))
+    whole = json.dumps({"pairs": [{"statement": f"s {k}", "distractor": f"d {k}", "type": k} for k in PAIR_TYPES]})
+    answers = [(t, 1, whole if t != asked[0] else "no") for t in asked] + [("chunk0001__t9", 1, whole)]
+    outcome = evaluate.finish(chosen, spark.createDataFrame(answers, "table_id string, attempt int, response string"))
+    assert [r.table_id for r in outcome.failed.collect()] == [asked[0]]
+    assert outcome.fanned.count() == 3 * len(PAIR_TYPES) * len(FORMATS)
+    evaluate.write(chosen, outcome, str(tmp_path))
+    assert sorted(r.table_id for r in completed_ids(spark, f"{tmp_path}/completed").collect()) == asked[1:]
+    first = spark.read.parquet(f"{tmp_path}/clean_tables").filter(F.col("table_id") == asked[1]).orderBy("ord").collect()
+    assert [r.cells[0] for r in first] == [f"w2-{i}" for i in range(4)]
+    again = evaluate.choose(p, completed_ids(spark, f"{tmp_path}/completed"), 200, 10)
+    assert sorted(r.table_id for r in again.prompts.collect()) == ["chunk0001__t0", asked[0]]
