@@ -9,7 +9,6 @@ several tasks, each with its share of the members; members stream batch by batch
 
 from __future__ import annotations
 
-import glob
 import json
 import math
 import os
@@ -22,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -55,6 +55,11 @@ class _Share(InputPartition):
         super().__init__((path, chunk, share, shares))
 
 
+def _store(folder: str):
+    """The file system of a folder (local, HDFS or an object store) and the folder's path in it."""
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.folder = options["path"]
@@ -64,12 +69,14 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         out = []
-        for path in sorted(glob.glob(os.path.join(self.folder, "chunk-*.zip"))):
-            found = re.search(ARCHIVE_NAME, path)
+        store, folder = _store(self.folder)
+        listed = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        for info in sorted((i for i in listed if i.is_file), key=lambda i: i.path):
+            found = re.search(ARCHIVE_NAME, info.path)
             if not found or (self.chunks is not None and int(found[1]) not in self.chunks):
                 continue
-            shares = max(1, math.ceil(os.path.getsize(path) / BYTES_PER_TASK))
-            out += [_Share(path, int(found[1]), s, shares) for s in range(shares)]
+            shares = max(1, math.ceil(info.size / BYTES_PER_TASK))
+            out += [_Share(info.path, int(found[1]), s, shares) for s in range(shares)]
         return out
 
     def read(self, partition):
@@ -77,8 +84,8 @@ class _Reader(DataSourceReader):
             return
         path, chunk, share, shares = partition.value
         try:
-            archive = zipfile.ZipFile(path)
-        except (OSError, zipfile.BadZipFile) as e:
+            archive = zipfile.ZipFile(_store(self.folder)[0].open_input_file(path))
+        except (OSError, zipfile.BadZipFile, pa.ArrowInvalid) as e:
             if self.view == "errors" and share == 0:
                 yield (chunk, None, str(e))
             return
