@@ -217,7 +217,8 @@ def assessment_file(spark, sf):
 
 PLAN = f"""{cte('paths', 'doc_shards')}, {RUNS}, {SHARDS},
 eligible AS (SELECT runs.*, total_tokens, CASE WHEN len(store_iters) > 0 THEN store_iters ELSE iters END AS available,
-    coalesce(store_ckpt_dir, ckpt_dir) AS real_ckpt_dir FROM runs JOIN stats USING (format) WHERE total_tokens > 0 AND jobid::BIGINT >= 2590100),
+    coalesce(store_ckpt_dir, ckpt_dir) AS real_ckpt_dir FROM runs JOIN stats USING (format) WHERE total_tokens > 0 AND jobid::BIGINT >= 2590100
+    AND len(CASE WHEN len(store_iters) > 0 THEN store_iters ELSE iters END) > 0),
 best AS (SELECT * FROM eligible QUALIFY row_number() OVER (PARTITION BY format, seed ORDER BY list_max(available) DESC, len(available) DESC, exp) = 1),
 budget AS (SELECT min(list_max(available) / total_tokens) AS budget, min((list_max(available) / total_tokens, exp))[2] AS binding_run FROM best),
 targets AS (SELECT best.*, round_even(budget * total_tokens, 0)::BIGINT AS target_iter FROM best, budget),
