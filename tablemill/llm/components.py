@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Stored, so that the join below has two plain exchanges and a node with very many neighbours can be split.
+        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))

@@ -145,33 +145,21 @@ def least_matches(compared: int) -> int:
     return compared
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least node of each node's component, for edges inside one task."""
-    root = np.arange(n)
-    while True:
-        old = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        root = root[root]
-        if np.array_equal(root, old):
-            return root
-
+def held_together(sig: np.ndarray, group: np.ndarray, block: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """The least row of each row's component over the pairs that incremental comparison doesn't drop.
 
-def surviving(sig: np.ndarray, group: np.ndarray, block: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group that incremental comparison doesn't drop.
-
-    `group` ascends. In a group that is `mixed`, only rows of different blocks are paired: others meet elsewhere.
+    `group` ascends and pairs stay within it. In a group that is `mixed`, only rows of different blocks are
+    paired: others meet elsewhere. Rows that hang together already aren't compared again.
     """
-    n, found = len(group), []
+    n = len(group)
+    root, alive, d = np.arange(n), np.arange(n), 1
     needed = [(k, least_matches(k + STEP)) for k in range(0, sig.shape[1], STEP)]
     ends = np.searchsorted(group, group, "right")
-    alive, d = np.arange(n), 1
     while True:
         alive = alive[alive + d < ends[alive]]
         if not len(alive):
-            break
-        a = alive[~mixed[alive] | (block[alive] != block[alive + d])]
+            return root
+        a = alive[(root[alive] != root[alive + d]) & (~mixed[alive] | (block[alive] != block[alive + d]))]
         matches = np.zeros(len(a), np.int64)
         for k, least in needed:
             matches += (sig[a, k : k + STEP] == sig[a + d, k : k + STEP]).sum(axis=1)
@@ -180,11 +168,21 @@ def surviving(sig: np.ndarray, group: np.ndarray, block: np.ndarray, mixed: np.n
             if not len(a):
                 break
         if len(a):
-            found.append((a, a + d))
+            root = _joined(root, a, a + d)
         d += 1
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Components after more edges."""
+    while True:
+        left, right = root[a], root[b]
+        if np.array_equal(left, right):
+            return root
+        low = np.minimum(left, right)
+        np.minimum.at(root, left, low)
+        np.minimum.at(root, right, low)
+        while not np.array_equal(root[root], root):
+            root = root[root]
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.Table]:
@@ -240,8 +238,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
             group = np.cumsum(_opens(table))
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(table.num_rows, -1)
             lo, hi = table["lo"].to_numpy(), table["hi"].to_numpy()
-            a, b = surviving(sig, group, table["blk"].to_numpy(), lo != hi)
-            root = _forest(table.num_rows, a, b)
+            root = held_together(sig, group, table["blk"].to_numpy(), lo != hi)
             child = np.flatnonzero(root != np.arange(len(root)))
             names = table["name"].combine_chunks()
             yield pa.RecordBatch.from_arrays([names.take(pa.array(child)), names.take(pa.array(root[child]))], ["a", "b"])
@@ -306,7 +303,7 @@ def exact_links(docs: DataFrame, groups: DataFrame) -> DataFrame:
                 sets = [np.frombuffer(x, np.uint64) for x in part["items"].to_pylist()]
                 mixed = part["lo"][0].as_py() != part["hi"][0].as_py()
                 links, a, b = links_in(sets, part["copies"].to_numpy(), part["blk"].to_numpy(), mixed)
-                root = _forest(len(names), a, b)
+                root = _joined(np.arange(len(names)), a, b)
                 out += [(name, int(links[k]), names[root[k]]) for k, name in enumerate(names) if links[k]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())],
