@@ -44,6 +44,7 @@ def response(variant: str) -> str:
 
 
 SIX = [*FORMATS, "xml"]
+FEW = [f for f in SIX if f != "json"]
 EXP = (
     f"concat('tabular-', {pick('o_custkey % 6', SIX)}, '-1p5b', "
     f"CASE WHEN o_custkey % 4 = 0 THEN '' ELSE concat('-seed', {text('o_custkey % 3')}) END, "
@@ -133,6 +134,12 @@ DERIVED: dict[str, tuple[str, list[tuple[str, str]]]] = {
             ),
         ],
     ),
+    # Experiments of all formats but one.
+    "few_exps": ("orders", [("o_orderkey", "o_orderkey"), ("exp", EXP.replace(pick("o_custkey % 6", SIX), pick("o_custkey % 5", FEW)))]),
+    "few_paths": (
+        "few_exps",
+        [("location", "'scratch'"), ("path", f"concat(exp, '/checkpoints/iter_', lpad({text('(o_orderkey % 30) * 1000')}, 7, '0'))")],
+    ),
     "markers": (
         "customer",
         [

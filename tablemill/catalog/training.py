@@ -116,10 +116,12 @@ def completeness(spark, sf):
 
 @query(
     "missing_formats_runs",
-    f"{PATHS}, {RUNS} SELECT format FROM (VALUES {FORMAT_ROWS}) f(pos, format) WHERE format NOT IN (SELECT format FROM runs WHERE format <> 'json')",
+    f"{cte('few_paths')}, {RUNS.replace('FROM paths', 'FROM few_paths')} SELECT format FROM (VALUES {FORMAT_ROWS}) f(pos, format) "
+    "WHERE format NOT IN (SELECT format FROM runs)",
 )
 def missing(spark, sf):
-    return runs.missing_formats_runs(_runs(spark, sf).filter("format <> 'json'"))
+    listed = runs.checkpoint_iters(runs.checkpoint_dirs(derived(spark, sf, "few_paths")))
+    return runs.missing_formats_runs(runs.parse_experiments(runs.merge_locations(listed)))
 
 
 @query(
