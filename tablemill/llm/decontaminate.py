@@ -168,7 +168,7 @@ def _search(name: str, block: Broadcast, last: bool):
         return pd.DataFrame([one(t, [], set()) for t in texts], columns=columns)
 
     kind = SCHEMA if last else STATE
-    return F.pandas_udf(search, kind, F.PandasUDFType.SCALAR), F.pandas_udf(search_first, kind, F.PandasUDFType.SCALAR)
+    return F.pandas_udf(search, kind), F.pandas_udf(search_first, kind)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
