@@ -314,11 +314,13 @@ def exact_links(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links, n_shingles, doc, th: one row per row of `docs` (doc_id, text).
+    """doc_id, class_id, n_links, n_shingles, doc, th, class_root: one row per row of `docs` (doc_id, text).
 
     n_links counts the other rows whose shingle sets have a Jaccard similarity of REACH or more, equal ones
     included; class_id is the least doc_id of all rows reached over links. A row without words has no links
     and is its own class. A null doc_id counts as the smallest long. (doc, th) names a row's document.
+    Unrelated classes have one class_id if their least doc_ids are equal; class_root, the name of one of the
+    class's shingle sets, tells them apart. It is null for rows without words.
     """
     signed = stage(signatures(docs))
     rows = signed.select("doc", "th", "n", "name")
@@ -335,7 +337,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     labelled = nodes.select("name", "first", "copies").join(classes.withColumnRenamed("node", "name"), "name", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "name")).join(links, "name", "left")
     least = labelled.groupBy("root").agg(F.min("first.doc").alias("class_id"))
-    labelled = labelled.join(least, "root").select("name", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    labelled = labelled.join(least, "root").select("name", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.join(labelled.withColumnRenamed("name", "node"), (F.col("name") == F.col("node")) & (F.col("n") > 0), "left")
     return out.select(
         F.when(F.col("doc") != NULL_KEY, F.col("doc")).alias("doc_id"),
@@ -343,16 +345,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.col("n").alias("n_shingles"),
         "doc", "th",
+        F.col("root").alias("class_root"),
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate class, the one with the least doc_id, with its own columns.
 
-    Documents without words stay, repeated rows of documents with words go.
+    Unrelated texts under one doc_id, or without any, are classes of their own. Documents without words stay,
+    repeated rows of documents with words go.
     """
     groups = near_groups(docs.select("doc_id", "text")).where("n_shingles > 0")
-    chosen = groups.groupBy("class_id").agg(F.min(F.struct("doc", "th")).alias("k")).select(F.col("k.doc").alias("__doc"), F.col("k.th").alias("__th"))
+    chosen = groups.groupBy("class_root").agg(F.min(F.struct("doc", "th")).alias("k")).select(F.col("k.doc").alias("__doc"), F.col("k.th").alias("__th"))
     body = F.coalesce("text", F.lit(""))
     keyed = docs.withColumns({"__doc": F.coalesce("doc_id", F.lit(NULL_KEY)), "__th": F.xxhash64(body)})
     worded = body.rlike(r"[^ \x09-\x0D]")

@@ -133,3 +133,12 @@ def test_common_word_anchors_change_nothing(spark, docs, rows, monkeypatch):
     given = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string").repartition(9))
     found = substring_dedup.remove_repeats(given)
     assert table(found, "doc_id", "n_words", "n_removed", "kept") == sorted(brute.substring_dedup([*rows, *more]), key=repr)
+
+
+def test_keep_one_of_unrelated_texts_without_or_with_one_id(spark):
+    text = lambda word: " ".join(f"{word}{k}" for k in range(60))
+    near = lambda word: text(word) + " end"
+    given = [(None, text("a")), (None, text("b")), (7, near("a")), (8, near("b")), (3, text("c")), (3, text("d")), (9, near("d")), (None, text("b"))]
+    kept = jaccard_join.keep_one(spark.createDataFrame(given, "doc_id long, text string"))
+    expected = [(None, text("a")), (None, text("b")), (3, text("c")), (3, text("d"))]
+    assert table(kept, "doc_id", "text") == sorted(expected, key=repr)
