@@ -169,7 +169,7 @@ class Anchored:
         self.count = np.diff(np.append(self.at, len(window)))
         self.key = mix(key[self.at])
         self.shift = shift[self.at].astype(np.uint8)
-        self.print = (prints[window] >> np.uint64(32)).astype(np.uint32) if len(window) else np.empty(0, np.uint32)
+        self.print = prints[window] if len(window) else np.empty(0, np.uint64)
         self.home = np.searchsorted(firsts, self.first, "right") - 1
 
     def identity(self) -> np.ndarray:
@@ -177,7 +177,7 @@ class Anchored:
         if not len(self.at):
             return np.empty(0, np.uint64)
         step = np.arange(len(self.print)) - np.repeat(self.at, self.count)
-        return mix(self.key ^ mix(np.add.reduceat(mix(self.print.astype(np.uint64) + (step.astype(np.uint64) << np.uint64(32))), self.at) + self.shift))
+        return mix(self.key ^ mix(np.add.reduceat(mix(self.print + step.astype(np.uint64) * _A), self.at) + self.shift))
 
 
 _ENTRY = np.dtype([("key", "<u4"), ("more", "u1"), ("shift", "u1"), ("count", "u1"), ("pos", "<u4"), ("variant", "<u2"), ("doc", "<i8")])
@@ -308,7 +308,7 @@ def _dealt(windows: np.ndarray, n_buckets: int) -> list[tuple]:
 
 
 def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    entries, prints = [np.empty(0, _ENTRY)], [np.empty(0, np.uint32)]
+    entries, prints = [np.empty(0, _ENTRY)], [np.empty(0, np.uint64)]
     for n, raw in zip(table["variant"].to_pylist(), table["body"].to_pylist(), strict=True):
         entry, at = np.empty(n, _ENTRY), 0
         for name in _ENTRY.names:
@@ -316,7 +316,7 @@ def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             entry[name] = np.frombuffer(raw, kind, n, at)
             at += n * kind.itemsize
         entries.append(entry)
-        prints.append(np.frombuffer(raw, np.uint32, offset=at))
+        prints.append(np.frombuffer(raw, np.uint64, offset=at))
     return np.concatenate(entries), np.concatenate(prints)
 
 

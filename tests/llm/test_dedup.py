@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from tests.llm import brute
 from tests.llm.conftest import table
@@ -142,3 +144,17 @@ def test_keep_one_of_unrelated_texts_without_or_with_one_id(spark):
     kept = jaccard_join.keep_one(spark.createDataFrame(given, "doc_id long, text string"))
     expected = [(None, text("a")), (None, text("b")), (3, text("c")), (3, text("d"))]
     assert table(kept, "doc_id", "text") == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("most", [1, 10_000])
+def test_windows_of_one_anchor_are_told_apart_by_64_bits(monkeypatch, most):
+    prints = substring_dedup.window_prints
+    monkeypatch.setattr(substring_dedup, "window_prints", lambda words, width: prints(words, width) & np.uint64(0xFFFFFFFF))
+    texts = [" ".join([*(f"{i}a{k}" for k in range(9)), "all", "of", "them", "share", "these", "few", "words", *(f"{i}b{k}" for k in range(9))]) for i in range(40)]
+    texts.append(texts[7])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(41), pa.int64()), pa.array([0] * 41), pa.array(texts)], ["doc", "variant", "text"])
+    judged = [substring_dedup._judge(pa.Table.from_batches([substring_dedup._send(batch, 1, 20, most)]), 1)]
+    windows = judged[0].filter(pa.compute.is_null(judged[0]["doc"]))
+    judged.append(substring_dedup._judge_dealt(windows))
+    marked = [d for part in judged for d in part["doc"].to_pylist() if d is not None]
+    assert set(marked) == {40}
