@@ -180,9 +180,9 @@ class Anchored:
         return mix(self.key ^ mix(np.add.reduceat(mix(self.print + step.astype(np.uint64) * _A), self.at) + self.shift))
 
 
-_ENTRY = np.dtype([("key", "<u4"), ("more", "u1"), ("shift", "u1"), ("count", "u1"), ("pos", "<u4"), ("variant", "<u2"), ("doc", "<i8")])
+_ENTRY = np.dtype([("key", "<u4"), ("more", "u1"), ("shift", "u1"), ("count", "u1"), ("pos", "<u4"), ("variant", "<i8"), ("doc", "<i8")])
 _MARK = np.dtype([("pos", "<u4"), ("count", "u1")])
-_STRING = np.dtype([("name", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("variant", "<u2")])
+_STRING = np.dtype([("name", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("variant", "<i8")])
 #: In place of a number of entries: windows that were dealt by their names.
 DEALT = -1
 
@@ -204,7 +204,7 @@ def _marks(doc: np.ndarray, variant: np.ndarray, pos: np.ndarray, count: np.ndar
     doc, variant = doc[order], variant[order]
     body = np.empty(len(order), _MARK)
     body["pos"], body["count"] = pos[order], count[order]
-    new = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(variant.astype(np.int64)) != 0))) if len(doc) else []
+    new = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (variant[1:] != variant[:-1]))) if len(doc) else []
     for a, b in zip(new, np.append(new[1:], len(doc)) if len(doc) else [], strict=True):
         yield int(doc[a]), int(variant[a]), body[a:b].tobytes()
 
@@ -213,8 +213,8 @@ def _has_copies(doc: np.ndarray) -> bool:
     return len(np.unique(doc)) < len(doc)
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("variant", pa.int32()), ("body", pa.binary())])
-_SENT_DDL = "bucket int, doc long, variant int, body binary"
+_SENT = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("variant", pa.int64()), ("body", pa.binary())])
+_SENT_DDL = "bucket int, doc long, variant long, body binary"
 
 
 def common_above(allowed: int, n_partitions: int) -> int:
@@ -226,7 +226,7 @@ def _send(batch: pa.RecordBatch, n_buckets: int, width: int, most: int) -> pa.Re
     """A batch's window runs by bucket, and marks for runs that the batch itself has earlier."""
     body, offsets = text_buffers(batch["text"])
     doc = batch["doc"].to_numpy(zero_copy_only=False)
-    variant = batch["variant"].to_numpy(zero_copy_only=False).astype(np.uint16)
+    variant = batch["variant"].to_numpy(zero_copy_only=False)
     entries, prints, identities = [], [], []
     for a, b in slices(offsets):
         part, off = body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -343,7 +343,7 @@ def _later_windows(windows: np.ndarray) -> list[tuple]:
     return list(_marks(first["doc"], first["variant"], first["pos"], count))
 
 
-_JUDGED = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("variant", pa.int32()), ("body", pa.binary())])
+_JUDGED = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("variant", pa.int64()), ("body", pa.binary())])
 
 
 def _judge(table: pa.Table, n_buckets: int) -> pa.Table:
@@ -366,13 +366,13 @@ def _judge(table: pa.Table, n_buckets: int) -> pa.Table:
 def _judge_dealt(table: pa.Table) -> pa.Table:
     windows = np.frombuffer(b"".join(table["body"].to_pylist()), _STRING)
     rows = _later_windows(windows)
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc", "variant", "body"])
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["doc", "variant", "body"])
 
 
 def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc, variant, marks: where windows start that also start earlier, per document.
 
-    doc is doc_id (the smallest long for null), variant 16 bits of the text's hash, which keeps apart different
+    doc is doc_id (the smallest long for null), variant the text's 64-bit hash, which keeps apart different
     texts under one doc_id. Each mark's element is bytes of (first word, windows) entries.
     """
     n_partitions = partitions(docs.sparkSession)
@@ -391,7 +391,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         return _judge_dealt(table)
 
     judged = stage_and_free(keyed.mapInArrow(send, _SENT_DDL).groupBy("bucket").applyInArrow(judge, _SENT_DDL))
-    dealt = judged.where(F.col("doc").isNull()).groupBy("bucket").applyInArrow(judge_dealt, "doc long, variant int, body binary")
+    dealt = judged.where(F.col("doc").isNull()).groupBy("bucket").applyInArrow(judge_dealt, "doc long, variant long, body binary")
     marks = judged.where(F.col("doc").isNotNull()).select("doc", "variant", "body").unionByName(dealt)
     return marks.groupBy("doc", "variant").agg(F.collect_list("body").alias("marks"))
 
@@ -399,7 +399,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 def _key():
     return (
         F.coalesce("doc_id", F.lit(NULL_KEY)).alias("doc"),
-        F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 16)).cast("int").alias("variant"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("variant"),
     )
 
 

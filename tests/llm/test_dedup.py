@@ -158,3 +158,10 @@ def test_windows_of_one_anchor_are_told_apart_by_64_bits(monkeypatch, most):
     judged.append(substring_dedup._judge_dealt(windows))
     marked = [d for part in judged for d in part["doc"].to_pylist() if d is not None]
     assert set(marked) == {40}
+
+
+def test_many_texts_without_or_with_one_id_keep_their_own_words(spark):
+    passage = [f"shared{k}" for k in range(25)]
+    given = [(None if i % 2 else 5, " ".join([*(f"{i}w{k}" for k in range(i % 60)), *passage, f"{i}end"])) for i in range(3_000)]
+    found = substring_dedup.remove_repeats(spark.createDataFrame(given, "doc_id long, text string"))
+    assert table(found, "doc_id", "n_words", "n_removed", "kept") == sorted(brute.substring_dedup(given), key=repr)
