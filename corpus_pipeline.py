@@ -30,7 +30,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

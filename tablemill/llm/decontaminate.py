@@ -48,7 +48,7 @@ def item_windows(item: str | None, width: int) -> list[bytes]:
 
 
 def _patterns(benchmark: DataFrame, width: int) -> DataFrame:
-    """pattern, ids: every different window with the items that hold it."""
+    """pattern, ids: every different window with the items that hold it, without null ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,13 +63,13 @@ def _patterns(benchmark: DataFrame, width: int) -> DataFrame:
     return rows.groupBy("pattern").agg(F.sort_array(F.collect_set("id")).alias("ids"))
 
 
-def blocks(benchmark: DataFrame, width: int = WINDOW) -> Iterator[list[tuple[bytes, list[str]]]]:
+def blocks(benchmark: DataFrame, width: int = WINDOW, unnamed: bool = False) -> Iterator[list[tuple[bytes, list[str]]]]:
     """The benchmark's windows in blocks that fit an automaton; at least one block, which may be empty.
 
     The benchmark is a stated query set: its windows pass through the driver a block at a time, to
-    be sent to the tasks that read all texts. Items with a null id are left out: they have no name.
+    be sent to the tasks that read all texts. Items with a null id have windows if `unnamed`, but no name.
     """
-    rows = stage(_patterns(benchmark.where(F.col("item_id").isNotNull()), width))
+    rows = stage(_patterns(benchmark if unnamed else benchmark.where(F.col("item_id").isNotNull()), width))
     block: list[tuple[bytes, list[str]]] = []
     held = 0
     for row in rows.toLocalIterator():
@@ -171,12 +171,13 @@ def _search(name: str, block: Broadcast, last: bool):
     return F.pandas_udf(search, kind), F.pandas_udf(search_first, kind)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, unnamed: bool = False) -> DataFrame:
     """`docs` (any columns, with `text`) and what was found in each text.
 
     n_words, n_hit, items (sorted ids of the items with an occurring window) and ranges (original byte
     ranges of hit words) are appended in a struct `found`; a column of that name is overwritten.
-    Null and empty texts have no words. Every row, repeated or not, is judged alone.
+    Null and empty texts have no words. Every row, repeated or not, is judged alone. Items with a null id are
+    left out, or, if `unnamed`, searched for like others without being among `items`.
     """
     context = docs.sparkSession.sparkContext
     run, state, waiting, k = uuid.uuid4().hex, None, None, 0
@@ -185,7 +186,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFram
         later, first = _search(f"{run}-{k}", context.broadcast(block), last)
         return first("text") if state is None else later("text", state)
 
-    for block in blocks(benchmark, width):
+    for block in blocks(benchmark, width, unnamed):
         if waiting is not None:
             state = scanned(waiting, last=False)
             k += 1
@@ -197,16 +198,16 @@ def contaminated(found: str = "found") -> Column:
     return (F.col(f"{found}.n_hit") > 0) & (ONE_IN * F.col(f"{found}.n_hit") >= F.col(f"{found}.n_words"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, unnamed: bool = False) -> DataFrame:
     """The documents that aren't contaminated, with their own columns."""
-    return find(docs, benchmark, width).where(~contaminated()).drop("found")
+    return find(docs, benchmark, width, unnamed).where(~contaminated()).drop("found")
 
 
 @query("op7_benchmark_decontamination")
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of all documents against the whole benchmark."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find(docs, read(spark, sf_dir, "benchmark"))
+    found = find(docs, read(spark, sf_dir, "benchmark"), unnamed=True)
     return found.select(
         "doc_id", "found.n_words", "found.n_hit",
         F.size("found.items").cast("long").alias("n_items"),

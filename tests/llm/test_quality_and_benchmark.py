@@ -1,3 +1,4 @@
+import corpus_pipeline
 from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.conftest import table
@@ -78,3 +79,15 @@ def test_drop_contaminated(spark, docs, rows):
     assert kept.columns == docs.columns
     judged = brute.decontaminate(rows, [x for x in items if x[0] is not None])
     assert table(kept, "doc_id", "text") == sorted([r for r, j in zip(rows, judged, strict=True) if not j[4]], key=repr)
+
+
+def test_items_without_id_count(spark, tmp_path):
+    words = " ".join(f"w{k}" for k in range(15))
+    items = [(None, words), (3, "w0 w1"), (None, "w0 w1"), (None, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"x {words} y"), (2, "nothing here"), (4, "w0 w1")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = decontaminate.op7_benchmark_decontamination(spark, str(tmp_path))
+    assert table(found, "doc_id", "n_hit", "n_items", "contaminated") == [(1, 15, 1, True), (2, 0, 0, False), (4, 2, 1, True)]
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs.where("doc_id < 4"), str(tmp_path))
+    assert table(kept, "doc_id") == [(2,)]
