@@ -62,8 +62,8 @@ def shingles(text, size=5):
     return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
 
 
-def near_groups(rows):
-    """(doc_id, class_id, n_links) per row."""
+def near_components(rows):
+    """A number per row that tells its class, and its number of links."""
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -79,10 +79,16 @@ def near_groups(rows):
             if sets[i] and sets[j] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
                 links[i], links[j] = links[i] + 1, links[j] + 1
                 root[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))], links
+
+
+def near_groups(rows):
+    """(doc_id, class_id, n_links) per row."""
+    roots, links = near_components(rows)
     least = defaultdict(lambda: 1 << 63)
-    for i, (doc, _) in enumerate(rows):
-        least[find(i)] = min(least[find(i)], key(doc))
-    return [(doc, least[find(i)], links[i]) for i, (doc, _) in enumerate(rows)]
+    for root, (doc, _) in zip(roots, rows):
+        least[root] = min(least[root], key(doc))
+    return [(doc, least[root], n) for root, n, (doc, _) in zip(roots, links, rows)]
 
 
 def quality(text):

@@ -6,27 +6,31 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from tests.llm import brute
-from tests.llm.conftest import table
+from pyspark.sql import functions as F
+from tests.llm.conftest import SCHEMA, table
 
 from tablemill.llm import units
 from tablemill.llm.catalog import QUERIES, SQL
 from tablemill.llm.common import public_tokenizer
 
 
-def test_pipeline_against_plain_python(spark, docs, rows, tmp_path):
+def test_pipeline_against_plain_python(spark, rows, tmp_path):
+    # Among them several texts under one id and several without any.
+    plain = [t for _, t in rows if t and brute.quality(t)[6]]
+    rows = [*rows, (None, plain[7][:900]), (None, plain[11] + " and more"), (rows[6][0], plain[9][5:]), (None, plain[7][:900])]
+    docs = spark.createDataFrame([(i, t, None, "s", None if t is None else len(t)) for i, t in rows], SCHEMA).repartition(3)
     spark.createDataFrame([(1, " ".join(brute.words(t)[:40])) for d, t in rows if d == 12], "item_id long, text string").write.parquet(
         f"{tmp_path}/benchmark.parquet"
     )
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     items = [(1, " ".join(brute.words(t)[:40])) for d, t in rows if d == 12]
     left = [(d, t) for d, t in rows if brute.quality(t)[6]]
-    groups = brute.near_groups(left)
-    seen, kept = set(), []
-    # Of one doc_id's texts the one with the least hash stands for the class, so ties need the same text here.
-    for (doc, text), (_, class_id, _) in sorted(zip(left, groups, strict=True), key=lambda x: brute.key(x[0][0])):
-        if brute.key(doc) == class_id and class_id not in seen:
-            seen.add(class_id)
-            kept.append((doc, text))
+    hashes = {r["text"]: r["h"] for r in spark.createDataFrame([(t,) for _, t in left], "text string").withColumn("h", F.xxhash64("text")).collect()}
+    chosen = {}
+    for root, (doc, text) in zip(brute.near_components(left)[0], left, strict=True):
+        chosen[root] = min(chosen.get(root, (1 << 63, 0, "")), (brute.key(doc), hashes[text], text))
+    kept = [(None if doc == brute.key(None) else doc, text) for doc, _, text in chosen.values()]
+    assert None in [doc for doc, _ in kept] and len({doc for doc, _ in kept}) < len(kept)
     cut = [(d, k if n else t) for (d, t), (_, _, n, k) in zip(kept, brute.substring_dedup(kept), strict=True)]
     judged = brute.decontaminate(cut, items)
     left = [x for x, j in zip(cut, judged, strict=True) if not j[4]]
