@@ -1,15 +1,13 @@
-"""Archives of Parquet tables (one zip per chunk, one member per table) as a Spark source.
+"""Archives of Parquet tables: one zip per chunk, one member per table.
 
-    spark.dataSource.register(TableArchives)
-    spark.read.format("table_archives").option("view", "rows").load(folder)
-
-Views: `rows`, `tables` (footers only) and `errors`. A large archive is read by
-several tasks, each with its share of the members; members stream batch by batch.
+Reading is a plan of its own. The archives' members are listed with their footers; each member is cut into
+pieces of whole row groups; pieces are decoded wherever there is room, so that a large member is the work of
+several tasks. What is decoded is stored once, with a line for every piece that failed, and a member counts only
+if none of its pieces did: its rows and its table appear together or not at all, beside one error.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import os
 import re
@@ -23,102 +21,163 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tablemill.session import stage
 from tablemill.sources.corpus import Corpus, table_id, table_seed
 
 ARCHIVE_NAME = r"chunk-(\d+)\.zip$"
+#: Bytes of archive whose members one task lists, and of row groups that make a piece.
 BYTES_PER_TASK = 128 * 1024 * 1024
+BYTES_PER_PIECE = 32 * 1024 * 1024
 BATCH_ROWS = 8192
 
-SCHEMAS = {
-    "rows": "chunk int, member string, row_no bigint, cells array<string>",
-    "tables": "chunk int, member string, columns array<struct<pos: int, name: string, arrow_type: string>>",
-    "errors": "chunk int, member string, message string",
-}
+PIECES = (
+    "path string, chunk int, member string, columns array<struct<pos: int, name: string, arrow_type: string>>, "
+    "piece int, first_group int, n_groups int, first_row bigint, bytes bigint, message string"
+)
+DECODED = "path string, chunk int, member string, row_no bigint, cells array<string>, message string"
 
 
-class TableArchives(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "table_archives"
+def _store(uri: str):
+    """The file system of a folder or file (local, HDFS or an object store) and the path in it."""
+    if re.match("file:/[^/]", uri):
+        uri = "file://" + uri[len("file:") :]
+    return fs.FileSystem.from_uri(uri if "://" in uri else os.path.abspath(uri))
 
-    def schema(self) -> str:
-        return SCHEMAS[self.options.get("view", "rows")]
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+class Archive(NamedTuple):
+    """A chunk's zip file."""
 
+    path: str
+    chunk: int
+    size: int
 
-class _Share(InputPartition):
-    def __init__(self, path: str, chunk: int, share: int, shares: int):
-        super().__init__((path, chunk, share, shares))
 
+def chunk_number(path: str) -> int | None:
+    found = re.search(ARCHIVE_NAME, path)
+    return int(found[1]) if found else None
 
-def _store(folder: str):
-    """The file system of a folder (local, HDFS or an object store) and the folder's path in it."""
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder))
 
+def list_archives(folder: str, chunks: list[int] | None = None) -> list[Archive]:
+    """The chunk archives of a folder, by path."""
+    store, path = _store(folder)
+    listed = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    prefix = folder[: -len(path)] if "://" in folder and folder.endswith(path) else ""
+    found = [Archive(prefix + i.path, chunk_number(i.path), i.size) for i in listed if i.is_file and chunk_number(i.path) is not None]
+    return sorted(a for a in found if chunks is None or a.chunk in chunks)
 
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.folder = options["path"]
-        self.view = options.get("view", "rows")
-        chunks = options.get("chunks")
-        self.chunks = {int(c) for c in chunks.split(",")} if chunks else None
 
-    def partitions(self):
-        out = []
-        store, folder = _store(self.folder)
-        listed = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-        for info in sorted((i for i in listed if i.is_file), key=lambda i: i.path):
-            found = re.search(ARCHIVE_NAME, info.path)
-            if not found or (self.chunks is not None and int(found[1]) not in self.chunks):
-                continue
-            shares = max(1, math.ceil(info.size / BYTES_PER_TASK))
-            out += [_Share(info.path, int(found[1]), s, shares) for s in range(shares)]
-        return out
+def _pieces(file: pq.ParquetFile, most: int) -> list[tuple[int, int, int, int]]:
+    """(first row group, row groups, first row, bytes) of pieces of about `most` bytes; one empty piece if there is no row."""
+    out, row = [], 0
+    for i in range(file.metadata.num_row_groups):
+        group = file.metadata.row_group(i)
+        if not out or out[-1][3] + group.total_byte_size > most:
+            out.append((i, 0, row, 0))
+        first, n, at, size = out[-1]
+        out[-1] = (first, n + 1, at, size + group.total_byte_size)
+        row += group.num_rows
+    return out or [(0, 0, 0, 0)]
 
-    def read(self, partition):
-        if partition is None:  # no archive matches
-            return
-        path, chunk, share, shares = partition.value
+
+def member_pieces(spark: SparkSession, archives: list[Archive], piece_bytes: int = BYTES_PER_PIECE) -> DataFrame:
+    """One row per piece of every member, from the members' footers, or one with a message per unreadable archive or member."""
+    shares = [(a.path, a.chunk, s, n) for a in archives for n in [max(1, math.ceil(a.size / BYTES_PER_TASK))] for s in range(n)]
+
+    def look(path: str, chunk: int, share: int, of: int) -> Iterator[dict]:
         try:
-            archive = zipfile.ZipFile(_store(self.folder)[0].open_input_file(path))
+            archive = zipfile.ZipFile(_open(path))
         except (OSError, zipfile.BadZipFile, pa.ArrowInvalid) as e:
-            if self.view == "errors" and share == 0:
-                yield (chunk, None, str(e))
+            if share == 0:
+                yield {"path": path, "chunk": chunk, "message": str(e) or type(e).__name__}
             return
         with archive:
-            members = sorted(n for n in archive.namelist() if n.endswith(".parquet"))
-            for member in members[share::shares]:
+            for member in sorted({n for n in archive.namelist() if n.endswith(".parquet")})[share::of]:
+                own = {"path": path, "chunk": chunk, "member": member}
                 try:
                     with archive.open(member) as f:
-                        yield from self._member(chunk, member, pq.ParquetFile(f))
+                        file = pq.ParquetFile(f)
+                        columns = [{"pos": i, "name": c.name, "arrow_type": str(c.type)} for i, c in enumerate(file.schema_arrow)]
+                        found = _pieces(file, piece_bytes)
                 except Exception as e:  # noqa: BLE001 - any unreadable member is reported, not fatal
-                    if self.view == "errors":
-                        yield (chunk, member, str(e))
-
-    def _member(self, chunk, member, file):
-        if self.view == "tables":
-            columns = [(i, f.name, str(f.type)) for i, f in enumerate(file.schema_arrow)]
-            for _ in file.iter_batches(BATCH_ROWS):
-                pass
-            yield (chunk, member, columns)
-            return
-        if self.view != "rows":
-            for _ in file.iter_batches(BATCH_ROWS):
-                pass
-            return
-        # The whole member before its first row: one that breaks off later is no table.
-        start, batches = 0, list(file.iter_batches(BATCH_ROWS))
+                    yield own | {"message": str(e) or type(e).__name__}
+                    continue
+                for k, (first, n, row, size) in enumerate(found):
+                    place = {"piece": k, "first_group": first, "n_groups": n, "first_row": row, "bytes": size}
+                    yield own | place | {"columns": columns if k == 0 else None}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item in batch.to_pylist():
+                yield from _batches(look(item["path"], item["chunk"], item["share"], item["of"]), PIECE_TYPE)
+
+    items = spark.createDataFrame(shares, "path string, chunk int, share int, of int")
+    return items.coalesce(1).repartition(max(1, len(shares))).mapInArrow(run, PIECES)
+
+
+PIECE_TYPE = pa.schema(
+    [
+        ("path", pa.string()), ("chunk", pa.int32()), ("member", pa.string()),
+        ("columns", pa.list_(pa.struct([("pos", pa.int32()), ("name", pa.string()), ("arrow_type", pa.string())]))),
+        ("piece", pa.int32()), ("first_group", pa.int32()), ("n_groups", pa.int32()), ("first_row", pa.int64()),
+        ("bytes", pa.int64()), ("message", pa.string()),
+    ]
+)
+ROW_TYPE = pa.schema(
+    [
+        ("path", pa.string()), ("chunk", pa.int32()), ("member", pa.string()), ("row_no", pa.int64()),
+        ("cells", pa.list_(pa.string())), ("message", pa.string()),
+    ]
+)
+
+
+def _open(path: str):
+    store, inside = _store(path)
+    return store.open_input_file(inside)
+
+
+def _batches(rows: Iterator[dict], kind: pa.Schema, most: int = 1000) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield pa.RecordBatch.from_pylist(held, kind)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, kind)
+
+
+def decode_pieces(pieces: DataFrame) -> DataFrame:
+    """The rows of all pieces, and a row with a message for each piece that can't be read or printed to its end."""
+
+    def rows_of(piece: dict, archive: zipfile.ZipFile) -> Iterator[pa.RecordBatch]:
+        groups = range(piece["first_group"], piece["first_group"] + piece["n_groups"])
+        with archive.open(piece["member"]) as f:
+            file = pq.ParquetFile(f)
+            at, end = piece["first_row"], piece["first_row"] + sum(file.metadata.row_group(i).num_rows for i in groups)
+            for batch in file.iter_batches(BATCH_ROWS, row_groups=list(groups)):
+                if batch.num_rows:
+                    yield _row_batch(piece, at, batch)
+                at += batch.num_rows
+            if at != end:
+                raise ValueError(f"{end - at} rows are missing")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, archive = None, None
         for batch in batches:
-            if batch.num_rows:
-                yield _row_batch(chunk, member, start, batch)
-            start += batch.num_rows
+            for piece in batch.to_pylist():
+                try:
+                    if piece["path"] != path:
+                        path, archive = piece["path"], zipfile.ZipFile(_open(piece["path"]))
+                    yield from rows_of(piece, archive)
+                except Exception as e:  # noqa: BLE001 - whatever is wrong with a member is reported, not fatal
+                    failed = {c: piece[c] for c in ("path", "chunk", "member")} | {"message": str(e) or type(e).__name__}
+                    yield pa.RecordBatch.from_pylist([failed], ROW_TYPE)
+
+    return pieces.select(*[c for c in pieces.columns if c != "columns"]).mapInArrow(run, DECODED)
 
 
-def _row_batch(chunk, member, start, batch) -> pa.RecordBatch:
+def _row_batch(piece: dict, start: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     n, width = batch.num_rows, batch.num_columns
     texts = [arrow_text(c) for c in batch.columns]
     # Interleave the columns into one list per row.
@@ -127,12 +186,14 @@ def _row_batch(chunk, member, start, batch) -> pa.RecordBatch:
     offsets = pa.array(np.arange(n + 1, dtype=np.int32) * width)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([chunk] * n, pa.int32()),
-            pa.array([member] * n, pa.string()),
+            pa.array([piece["path"]] * n, pa.string()),
+            pa.array([piece["chunk"]] * n, pa.int32()),
+            pa.array([piece["member"]] * n, pa.string()),
             pa.array(range(start, start + n), pa.int64()),
             pa.ListArray.from_arrays(offsets, flat.take(order)),
+            pa.nulls(n, pa.string()),
         ],
-        names=["chunk", "member", "row_no", "cells"],
+        schema=ROW_TYPE,
     )
 
 
@@ -154,7 +215,8 @@ def arrow_text(values: pa.Array) -> pa.Array:
         micros = pc.cast(values, pa.timestamp("us", kind.tz), safe=False)
         return _each(micros, lambda v: v.replace(tzinfo=None).isoformat(" "))
     if pa.types.is_nested(kind):
-        return _each(values, lambda v: json.dumps(v, default=str, separators=(",", ":"), ensure_ascii=False))
+        # As data frames hold them: arrays, dictionaries, and pairs of keys and values.
+        return pa.array([None if v is None else str(v) for v in values.to_pandas()], pa.string())
     return _each(values, str)
 
 
@@ -167,27 +229,35 @@ class Archives(NamedTuple):
     errors: DataFrame
 
 
-def read_table_archives(
-    spark: SparkSession, folder: str, chunks: list[int] | None = None
-) -> Archives:
-    """A folder of chunk archives as a corpus, with what could not be read."""
-    spark.dataSource.register(TableArchives)
-
-    def view(name: str) -> DataFrame:
-        reader = spark.read.format("table_archives").option("view", name)
-        if chunks is not None:
-            reader = reader.option("chunks", ",".join(str(c) for c in chunks))
-        loaded = reader.load(folder)
-        return loaded.withColumn("table_id", table_id(F.col("chunk"), F.col("member")))
-
-    rows = view("rows").select(
+def read_archives(spark: SparkSession, archives: list[Archive], piece_bytes: int = BYTES_PER_PIECE) -> Archives:
+    """Archives as a corpus, with what could not be read. Each member is decoded once and stored.
+
+    A member of which any row group or value fails is refused as a whole and has one error; an unreadable
+    archive has one with no member. A member without rows is a table without rows.
+    """
+    pieces = stage(member_pieces(spark, archives, piece_bytes))
+    listed = pieces.where("message IS NULL")
+    total = listed.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BYTES_PER_TASK))
+    dealt = listed.where("n_groups > 0").repartition(tasks, "path", "member", "piece")
+    decoded = stage(decode_pieces(dealt.sortWithinPartitions("path", "member", "piece")))
+    refused = decoded.where("message IS NOT NULL").groupBy("path", "chunk", "member").agg(F.min("message").alias("message"))
+    errors = pieces.where("message IS NOT NULL").select(refused.columns).unionByName(refused)
+    whole = decoded.where("message IS NULL").join(refused.select("path", "member"), ["path", "member"], "left_anti")
+    tables = listed.where("piece = 0").join(refused.select("path", "member"), ["path", "member"], "left_anti")
+    name = table_id(F.col("chunk"), F.col("member")).alias("table_id")
+    rows = whole.select(
         "chunk",
-        "table_id",
+        name,
         table_seed(F.col("member")).alias("seed"),
         F.lpad(F.col("row_no").cast("string"), 15, "0").alias("row_tag"),
         F.col("row_no").alias("row_pos"),
         F.lit(1).alias("n_copies"),
         "cells",
     )
-    tables = view("tables").select("chunk", "table_id", "member", "columns")
-    return Archives(Corpus(tables, rows, True), view("errors"))
+    return Archives(Corpus(tables.select("chunk", name, "member", "columns"), rows, True), errors.select("chunk", "member", "message", name))
+
+
+def read_table_archives(spark: SparkSession, folder: str, chunks: list[int] | None = None) -> Archives:
+    """A folder of chunk archives as a corpus, with what could not be read."""
+    return read_archives(spark, list_archives(folder, chunks))

@@ -71,7 +71,7 @@ def test_archives(spark, tmp_path):
     text = segments["chunk0007__d__b=1.parquet", "json"].text
     assert '"i8": 1.0' in text and '"i8": NaN' in text and '"f32": Infinity' in text
     assert '"when": "NaT"' in text and '"flag": null' in text and '"text": "\\u00e9\\n"' in text
-    assert '"f32": 1.100000023841858' in text and '"dec": "1.10"' in text and '"list": "[1,2]"' in text
+    assert '"f32": 1.100000023841858' in text and '"dec": "1.10"' in text and '"list": "[1 2]"' in text
 
 
 def test_chunk_choice(spark, tmp_path):
