@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemill.llm.common import mix, powers, process_cache, public_tokenizer, read, slices, text_buffers, word_bounds
+from tablemill.llm.common import SLICE_BYTES, mix, powers, process_cache, public_tokenizer, read, slices, text_buffers, word_bounds
 from tablemill.llm.queries import query
 from tablemill.llm.units import Encoder, encoder, gather, load
 
@@ -25,7 +25,7 @@ ROLL = 8
 #: Mean chunk length in bytes, a power of two.
 MEAN = 1024
 #: Bytes of text whose chunks are shared.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def cut_points(body: np.ndarray, offsets: np.ndarray, mean: int = MEAN) -> np.ndarray:
@@ -34,12 +34,15 @@ def cut_points(body: np.ndarray, offsets: np.ndarray, mean: int = MEAN) -> np.nd
     bounds = np.unique(offsets)
     if n <= ROLL:
         return bounds
-    rolled, width, weight = body.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
-    while width < ROLL:
-        rolled = rolled[:-width] * np.uint64(weight) + rolled[width:]
-        width, weight = 2 * width, weight * weight % (1 << 64)
     shift = np.uint64(64 - (mean.bit_length() - 1))
-    cuts = np.flatnonzero((rolled * np.uint64(0xD6E8FEB86659FD93)) >> shift == 0) + ROLL
+    found = []
+    for low in range(0, n - ROLL, SLICE_BYTES):
+        rolled, width, weight = body[low : low + SLICE_BYTES + ROLL - 1].astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
+        while width < ROLL:
+            rolled = rolled[:-width] * np.uint64(weight) + rolled[width:]
+            width, weight = 2 * width, weight * weight % (1 << 64)
+        found.append(np.flatnonzero((rolled * np.uint64(0xD6E8FEB86659FD93)) >> shift == 0) + (low + ROLL))
+    cuts = np.concatenate(found)
     cuts = cuts[cuts < n]
     cuts = cuts[(body[cuts] & 0xC0) != 0x80]
     # The hash must not reach into the document before.
@@ -115,16 +118,16 @@ def _repair(coder: Encoder, body, offsets, starts, ends, broken) -> tuple[np.nda
     home = np.searchsorted(offsets, starts[broken], "right") - 1
     low, high = np.searchsorted(starts, offsets[home]), np.searchsorted(starts, offsets[home + 1])
     seen: dict[bytes, list[int]] = {}
-    ids, size, raw = [], np.zeros(len(broken), np.int64), body.tobytes()
+    ids, size = [], np.zeros(len(broken), np.int64)
     for k, (word, lo, hi) in enumerate(zip(broken.tolist(), low.tolist(), high.tolist(), strict=True)):
         reach = 1
         a, b = max(lo, word - reach), min(hi - 1, word + reach)
-        text = raw[starts[a] : ends[b]]
+        text = body[starts[a] : ends[b]].tobytes()
         mark = text + b"\0%d" % (word - a)
         got = seen.get(mark)
         while got is None:
             whole = coder.tokenizer.encode(text.decode(), add_special_tokens=False).ids
-            parts = [raw[starts[i] : ends[i]].decode() for i in range(a, b + 1)]
+            parts = [body[starts[i] : ends[i]].tobytes().decode() for i in range(a, b + 1)]
             alone, counts = coder.encode_words(parts)
             edge = np.cumsum(counts)
             i = word - a
@@ -135,7 +138,7 @@ def _repair(coder: Encoder, body, offsets, starts, ends, broken) -> tuple[np.nda
             else:
                 reach *= 2
                 a, b = max(lo, word - reach), min(hi - 1, word + reach)
-                text = raw[starts[a] : ends[b]]
+                text = body[starts[a] : ends[b]].tobytes()
         seen[mark] = got
         ids += got
         size[k] = len(got)

@@ -16,6 +16,8 @@ from tablemill.session import shared_folder, stage
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes handled at once by vectorised scans; a longer document is scanned alone.
 SLICE_BYTES = 2 << 20
+#: Powers in one of the two tables that `powers` multiplies.
+POWER_STEP = 2048
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,12 +61,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 
 
-def word_bounds(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte ranges of the words, and n + 1 indexes of the documents' first words."""
+def word_bounds(body: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges of the words, and n + 1 indexes of the documents' first words; `space` marks the bytes between words."""
     if not len(body):
         none = np.empty(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[body]
+    inside = ~space[body]
     edge = np.zeros(len(body) + 1, bool)
     edge[offsets] = True
     starts = inside.copy()
@@ -75,14 +77,20 @@ def word_bounds(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-def process_cache(kind: str) -> dict:
+def process_cache(kind: str, large: bool = False) -> dict:
     """A dictionary that lives as long as the Python process.
 
-    Functions travel to tasks by value, so that a module's own globals would be new in each task.
+    Functions travel to tasks by value, so that a module's own globals would be new in each task. Large
+    caches have one owner at a time: asking for one empties those of the operators that ran before.
     """
     import pyspark
 
-    return pyspark.__dict__.setdefault("_kept_by_process", {}).setdefault(kind, {})
+    kept = pyspark.__dict__.setdefault("_kept_by_process", {})
+    if large:
+        for other in kept.get("large caches", {}).keys() - {kind}:
+            kept[other].clear()
+        kept["large caches"] = {kind: True}
+    return kept.setdefault(kind, {})
 
 
 def _tables(seed: int) -> tuple[np.ndarray, int, int]:
@@ -102,20 +110,18 @@ def _new_tables(seed: int) -> tuple[np.ndarray, int, int]:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. n - 1 modulo 2 ** 64; tables of the usual slice are kept."""
-    kept = process_cache("powers")
-    known = kept.get(base)
-    if known is None or len(known) < n:
-        known = np.empty(max(n, SLICE_BYTES), np.uint64)
-        known[0] = 1
-        have = 1
-        while have < len(known):
-            step = min(have, len(known) - have)
-            known[have : have + step] = known[:step] * np.uint64(pow(base, have, 1 << 64))
-            have += step
-        if n <= SLICE_BYTES:
-            kept[base] = known
-    return known[:n]
+    """base ** 0 .. n - 1 modulo 2 ** 64, as products of two short tables; nothing is kept."""
+    low = _geometric(base, min(n, POWER_STEP))
+    if n <= POWER_STEP:
+        return low
+    high = _geometric(pow(base, POWER_STEP, 1 << 64), -(-n // POWER_STEP))
+    return np.multiply.outer(high, low).ravel()[:n]
+
+
+def _geometric(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -132,7 +132,7 @@ AUTOMATA = 2
 
 
 def _scanner(name: str, block: Broadcast) -> Scanner:
-    kept = process_cache("scanners")
+    kept = process_cache("scanners", large=True)
     found = kept.pop(name, None) or Scanner(block.value)
     kept[name] = found
     while len(kept) > AUTOMATA:

@@ -30,11 +30,18 @@ def load(path: str):
 
 
 def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The concatenation of pool[start : start + size]."""
-    ends = np.cumsum(size)
-    if not len(ends) or not ends[-1]:
+    """The concatenation of pool[start : start + size], put together a slice at a time."""
+    edges = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+    if not edges[-1]:
         return pool[:0]
-    return pool[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
+    out = np.empty(edges[-1], pool.dtype)
+    for a, b in slices(edges):
+        lo, hi = edges[a], edges[b]
+        if b - a == 1:
+            out[lo:hi] = pool[start[a] : start[a] + size[a]]
+        else:
+            out[lo:hi] = pool[np.repeat(start[a:b] - edges[a:b], size[a:b]) + np.arange(lo, hi)]
+    return out
 
 
 class Encoder:
@@ -97,8 +104,7 @@ class Encoder:
         return at, same
 
     def _learn(self, body, unit, check, starts, ends) -> None:
-        raw = body.tobytes()
-        words = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        words = [body[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         ids, sizes = self.encode_words(words)
         start = len(self.pool) + np.concatenate(([0], np.cumsum(sizes)))[:-1]
         if len(ids) and ids.max() >= 1 << 16 and self.pool.dtype == np.uint16:
@@ -130,7 +136,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """This process's encoder for a tokenizer file."""
-    kept = process_cache("encoders")
+    kept = process_cache("encoders", large=True)
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
