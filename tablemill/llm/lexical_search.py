@@ -388,7 +388,7 @@ def _rank_pass(docs: DataFrame, asked: DataFrame, key: str, top: int) -> DataFra
     starts = np.array([*firsts, len(keys)], np.int64)
 
     found = stage(vectors(docs, terms))
-    documents, length = found.agg(F.count_if("n > 0"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    documents, length = found.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     holding = found.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).toArrow()
     weights = np.zeros(len(terms), np.int64)
     for t, df in zip(holding["t"].to_pylist(), holding["df"].to_pylist(), strict=True):

@@ -178,7 +178,7 @@ def vectors():
     rng = random.Random(3)
     rows = [(i, rng.randrange(3), [rng.uniform(-0.3, 0.6) for _ in range(9)]) for i in range(400)]
     rows += [(1_000 + i, 1, rows[50][2]) for i in range(30)] + [(2_000 + i, 2, rows[50][2][:5]) for i in range(3)]
-    rows += [rows[100], rows[100], rows[7], (None, 1, rows[50][2]), (None, None, None), (3_000, 1, None), (3_050, None, rows[0][2]), (-50, 0, rows[3][2])]
+    rows += [rows[100], rows[100], rows[7], (None, 1, rows[50][2]), (None, 0, [0.9] * 9), (None, None, None), (3_000, 1, None), (3_050, None, rows[0][2]), (-50, 0, rows[3][2])]
     rows += [(4_000, 1, [0.1, None, 0.2]), (4_050, 1, [0.1, float("nan")]), (4_100, 2, [float("inf")]), (4_150, 1, []), (4_200, 0, [0.0] * 9)]
     rng.shuffle(rows)
     return rows
