@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablemill.constants import SAMPLE_SEED, SAMPLE_TABLES, TOKEN_BUDGET
 from tablemill.functions.tokens import Tokenizer, count_words
 from tablemill.operators import clean, fit, order, pack, pairs, score
 from tablemill.plans.serialize import Prepared
 from tablemill.session import stage
-from tablemill.sources import files
+from tablemill.sources import commits, files
 
 
 class Chosen(NamedTuple):
@@ -23,9 +24,21 @@ class Chosen(NamedTuple):
 
 
 class Outcome(NamedTuple):
+    """Pairs, the pairs beside each format's text, and ids: of tables that failed, that have pairs, that are finished."""
+
     pairs: DataFrame
     fanned: DataFrame
     failed: DataFrame
+    accepted: DataFrame
+    completed: DataFrame
+
+
+class Stored(NamedTuple):
+    """What the committed batches of a folder hold."""
+
+    pairs: DataFrame
+    ground_truth: DataFrame
+    clean_tables: DataFrame
     completed: DataFrame
 
 
@@ -56,31 +69,61 @@ def choose(
     large = prepared.large if prepared.large is None else prepared.large.join(sampled, "table_id", "left_semi")
     part = Prepared(corpus, tables, large)
     fitted = stage(fit.fit_rows(*part, budget, tokenizer))
-    prompts = pairs.generation_prompts(*part, budget, tokenizer)
     # A table that doesn't fit in some format is not asked about.
-    return Chosen(part, fitted, prompts.join(fit.missing_formats(fitted), "table_id", "left_anti"))
+    return Chosen(part, fitted, pairs.fitted_prompts(fitted))
 
 
 def finish(chosen: Chosen, responses: DataFrame) -> Outcome:
-    """Responses `(table_id, attempt, response)` to accepted pairs, beside every format's text.
+    """Responses `(table_id, attempt, response)` of all attempts to accepted pairs, beside every format's text.
 
-    Failed are tables that don't fit in some format and those without an acceptable response.
+    Failed are tables that don't fit in some format and those without an acceptable response. Finished,
+    and not to be asked again, are tables with pairs, those that don't fit, and those that were
+    answered without an acceptable response; a table without any response is still open.
     """
-    parsed = pairs.parse_responses(responses.join(fit.complete_tables(chosen.fitted).select("table_id").distinct(), "table_id", "left_semi"))
+    fitting = fit.complete_tables(chosen.fitted).select("table_id").distinct()
+    parsed = pairs.parse_responses(responses.join(fitting, "table_id", "left_semi"))
     accepted = stage(pairs.accept_attempts(parsed))
     made = pairs.tag_pairs(accepted)
     ids = accepted.select("table_id")
     failed = chosen.prepared.tables.select("table_id").join(ids, "table_id", "left_anti")
-    return Outcome(made, pairs.fan_out_pairs(made, chosen.fitted), failed, ids)
+    misfits = fit.missing_formats(chosen.fitted).select("table_id")
+    finished = ids.unionByName(pairs.failed_tables(parsed, accepted)).unionByName(misfits).distinct()
+    return Outcome(made, pairs.fan_out_pairs(made, chosen.fitted), failed, ids, finished)
 
 
-def write(chosen: Chosen, outcome: Outcome, folder: str) -> None:
-    """Pairs per format, ground truth, clean tables, and last the completed ids."""
-    files.write_pairs(outcome.fanned, f"{folder}/pairs")
-    files.write_ground_truth(outcome.pairs, f"{folder}/ground_truth")
+def _log(folder: str) -> str:
+    return f"{folder}/_committed"
+
+
+def write(chosen: Chosen, outcome: Outcome, folder: str, batch: str | None = None) -> str:
+    """Pairs per format, ground truth, clean tables and finished ids as one batch, whose name is returned.
+
+    A run that stops before the end leaves nothing that `stored` reads; writing a committed batch again does nothing.
+    """
+    spark = outcome.pairs.sparkSession
+    batch = batch or uuid.uuid4().hex
+    if batch in commits.committed(spark, _log(folder)):
+        return batch
+    files.write_pairs(outcome.fanned, f"{folder}/pairs", batch)
+    files.write_ground_truth(outcome.pairs, f"{folder}/ground_truth", batch)
     corpus, tables, large = chosen.prepared
     own = order.by_position(corpus, large)
     rows = clean.clean_cells(order.shuffle_rows(own.rows, large, own.unique), tables, large)
-    kept = rows.join(outcome.completed, "table_id", "left_semi").join(tables.select("table_id", "chunk"), "table_id")
-    files.write_clean_tables(kept, f"{folder}/clean_tables")
-    files.append_completed(outcome.completed, f"{folder}/completed")
+    kept = rows.join(outcome.accepted, "table_id", "left_semi").join(tables.select("table_id", "chunk"), "table_id")
+    files.write_clean_tables(kept, f"{folder}/clean_tables", batch)
+    files.append_completed(outcome.completed, f"{folder}/completed", batch)
+    commits.commit(spark, _log(folder), batch)
+    return batch
+
+
+def stored(spark: SparkSession, folder: str) -> Stored:
+    """The committed batches of a folder: what to score, and what not to ask again."""
+    log = _log(folder)
+    truth = "table_id string, statement string, distractor string, type string"
+    cells = "table_id string, ord bigint, cells array<string>, chunk int"
+    return Stored(
+        files.read_pairs(spark, f"{folder}/pairs", log),
+        commits.read_batches(spark, f"{folder}/ground_truth", log, truth),
+        commits.read_batches(spark, f"{folder}/clean_tables", log, cells, "parquet"),
+        files.completed_ids(spark, f"{folder}/completed", log),
+    )

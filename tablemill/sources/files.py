@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablemill.constants import INDEX_HEADER_BYTES, INDEX_MAGIC, INDEX_TYPE_CODES
+from tablemill.sources.commits import path_exists, read_batches, write_batch
 
 PAIR_LINES = "table_id string, statement string, distractor string, type string, table_serialized string"
 RESULT_LINES = (
@@ -18,36 +19,38 @@ RESULT_LINES = (
 )
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 # --- sinks -----------------------------------------------------------------
 
 
-def write_segments(segments: DataFrame, path: str) -> None:
-    """`{"text": ...}` lines by format and chunk; a rerun replaces what was there."""
+def write_segments(segments: DataFrame, path: str, batch: str | None = None) -> None:
+    """`{"text": ...}` lines by format and chunk; a rerun replaces what was there, or the same batch."""
     chunk = F.regexp_extract("table_id", "^chunk([0-9]+)__", 1).cast("int")
-    segments.select("format", chunk.alias("chunk"), "text").write.partitionBy(
-        "format", "chunk"
-    ).mode("overwrite").json(path)
+    lines = segments.select("format", chunk.alias("chunk"), "text")
+    _put(lines, path, batch, "json", ("format", "chunk"), "overwrite")
+
+
+def write_pairs(fanned: DataFrame, path: str, batch: str | None = None) -> None:
+    _put(fanned, path, batch, "json", ("format",))
 
 
-def write_pairs(fanned: DataFrame, path: str) -> None:
-    fanned.write.partitionBy("format").mode("append").json(path)
+def write_ground_truth(pairs: DataFrame, path: str, batch: str | None = None) -> None:
+    _put(pairs.select("table_id", "statement", "distractor", "type"), path, batch, "json")
 
 
-def write_ground_truth(pairs: DataFrame, path: str) -> None:
-    pairs.select("table_id", "statement", "distractor", "type").write.mode("append").json(path)
+def write_clean_tables(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    _put(rows, path, batch, "parquet", ("chunk",), "overwrite")
 
 
-def write_clean_tables(rows: DataFrame, path: str) -> None:
-    rows.write.partitionBy("chunk").mode("overwrite").parquet(path)
+def write_results(results: DataFrame, path: str, batch: str | None = None) -> None:
+    _put(results, path, batch, "json", ("run_id",))
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    results.write.partitionBy("run_id").mode("append").json(path)
+def _put(df: DataFrame, path: str, batch: str | None, form: str, by: tuple[str, ...] = (), mode: str = "append") -> None:
+    """As files of a batch, which count once it is committed, or at once."""
+    if batch is None:
+        df.write.partitionBy(*by).mode(mode).format(form).save(path)
+    else:
+        write_batch(df, path, batch, form, by)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
@@ -100,8 +103,8 @@ def read_plan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PLAN).json(path)
 
 
-def append_completed(ids: DataFrame, path: str) -> None:
-    ids.select("table_id").write.mode("append").text(path)
+def append_completed(ids: DataFrame, path: str, batch: str | None = None) -> None:
+    _put(ids.select("table_id"), path, batch, "text")
 
 
 def write_token_ids(tokens: DataFrame, path: str) -> None:
@@ -126,7 +129,10 @@ def distinct_ids(lines: DataFrame) -> DataFrame:
     )
 
 
-def completed_ids(spark: SparkSession, path: str) -> DataFrame:
+def completed_ids(spark: SparkSession, path: str, log: str | None = None) -> DataFrame:
+    """Finished ids of a list, or of the committed batches of a list."""
+    if log is not None:
+        return distinct_ids(read_batches(spark, path, log, "value string", "text"))
     if not path_exists(spark, path):
         return spark.createDataFrame([], "table_id string")
     return distinct_ids(spark.read.text(path))
@@ -136,12 +142,16 @@ def default_type(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("type", F.coalesce("type", F.lit("unknown")))
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Pair lines; blank lines do not count, a missing type is `unknown`."""
+def read_pairs(spark: SparkSession, path: str, log: str | None = None) -> DataFrame:
+    """Pair lines; blank lines do not count, a missing type is `unknown`. With a log, those of committed batches."""
+    if log is not None:
+        return default_type(read_batches(spark, path, log, f"{PAIR_LINES}, format string"))
     return default_type(spark.read.schema(PAIR_LINES).json(path))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
+def read_results(spark: SparkSession, path: str, log: str | None = None) -> DataFrame:
+    if log is not None:
+        return read_batches(spark, path, log, RESULT_LINES).drop("batch")
     if not path_exists(spark, path):
         return spark.createDataFrame([], RESULT_LINES)
     return spark.read.schema(RESULT_LINES).json(path)

@@ -111,7 +111,6 @@ def test_plan_from_tables_to_files(spark, tmp_path):
 
     from tablemill.constants import FORMATS, PAIR_TYPES
     from tablemill.plans import evaluate
-    from tablemill.sources.files import completed_ids
 
     rows = [(t, i, f"w{t}-{i}", float(i)) for t in range(6) for i in range(1 if t == 5 else 4)]
     df = spark.createDataFrame(rows, "t int, i long, name string, x double")
@@ -127,8 +126,70 @@ def test_plan_from_tables_to_files(spark, tmp_path):
     assert [r.table_id for r in outcome.failed.collect()] == [asked[0]]
     assert outcome.fanned.count() == 3 * len(PAIR_TYPES) * len(FORMATS)
     evaluate.write(chosen, outcome, str(tmp_path))
-    assert sorted(r.table_id for r in completed_ids(spark, f"{tmp_path}/completed").collect()) == asked[1:]
-    first = spark.read.parquet(f"{tmp_path}/clean_tables").filter(F.col("table_id") == asked[1]).orderBy("ord").collect()
+    kept = evaluate.stored(spark, str(tmp_path))
+    assert sorted(r.table_id for r in kept.completed.collect()) == asked  # the failed one isn't asked again
+    first = kept.clean_tables.filter(F.col("table_id") == asked[1]).orderBy("ord").collect()
     assert [r.cells[0] for r in first] == [f"w2-{i}" for i in range(4)]
-    again = evaluate.choose(p, completed_ids(spark, f"{tmp_path}/completed"), 200, 10)
-    assert sorted(r.table_id for r in again.prompts.collect()) == ["chunk0001__t0", asked[0]]
+    assert kept.clean_tables.select("table_id").distinct().count() == 3
+    again = evaluate.choose(p, kept.completed, 200, 10)
+    assert sorted(r.table_id for r in again.prompts.collect()) == ["chunk0001__t0"]
+
+
+def test_an_interrupted_write_resumes_without_duplicates(spark, tmp_path, monkeypatch):
+    import json
+
+    from tablemill.constants import FORMATS, PAIR_TYPES
+    from tablemill.plans import evaluate
+    from tablemill.sources import commits, files
+
+    folder = str(tmp_path)
+    rows = [(t, i, f"w{t}-{i} " + "long " * (90 if t == 3 else 0), float(i)) for t in range(4) for i in range(4)]
+    df = spark.createDataFrame(rows, "t int, i long, name string, x double")
+    p = prepare(corpus_from_tables(df, F.concat(F.lit("t"), "t"), F.lit(1), ["name", "x"], row_key=["i"]))
+    whole = json.dumps({"pairs": [{"statement": f"s {k}", "distractor": f"d {k}", "type": k} for k in PAIR_TYPES]})
+
+    def answered(completed, ids):
+        chosen = evaluate.choose(p, completed, 60, 10)
+        answers = spark.createDataFrame([(t, 1, whole) for t in ids], "table_id string, attempt int, response string")
+        return chosen, evaluate.finish(chosen, answers)
+
+    first = answered(None, ["chunk0001__t0"])
+    evaluate.write(*first, folder, "a")
+    evaluate.write(*first, folder, "a")  # a batch that is there adds nothing
+    for sink in ("write_ground_truth", "write_clean_tables", "append_completed"):
+        with monkeypatch.context() as broken:
+            broken.setattr(files, sink, lambda *_: (_ for _ in ()).throw(OSError("stopped")))
+            with pytest.raises(OSError):
+                evaluate.write(*answered(evaluate.stored(spark, folder).completed, ["chunk0001__t1"]), folder)
+    with monkeypatch.context() as broken:
+        broken.setattr(commits, "commit", lambda *_: (_ for _ in ()).throw(OSError("stopped")))
+        with pytest.raises(OSError):
+            evaluate.write(*answered(evaluate.stored(spark, folder).completed, ["chunk0001__t1"]), folder, "b")
+    kept = evaluate.stored(spark, folder)
+    assert kept.pairs.count() == len(PAIR_TYPES) * len(FORMATS)
+    assert "chunk0001__t1" not in {r.table_id for r in kept.completed.collect()}
+    evaluate.write(*answered(kept.completed, ["chunk0001__t1"]), folder, "b")
+    kept = evaluate.stored(spark, folder)
+    assert kept.pairs.count() == kept.pairs.distinct().count() == 2 * len(PAIR_TYPES) * len(FORMATS)
+    assert kept.ground_truth.count() == 2 * len(PAIR_TYPES)
+    assert {r.table_id for r in kept.clean_tables.collect()} == {"chunk0001__t0", "chunk0001__t1"}
+    # The third table waits for an answer; the fourth has a cell too long for the budget in some format and is finished.
+    assert {r.table_id for r in evaluate.choose(p, kept.completed, 60, 10).prompts.collect()} == {"chunk0001__t2"}
+
+
+def test_results_of_committed_batches(spark, tmp_path):
+    from tablemill.sources import commits, files
+
+    rows = [("r", "csv", "t", "lookup", f"s{i}", "d", 1.0, 2.0, True) for i in range(3)]
+    results = spark.createDataFrame(rows, files.RESULT_LINES)
+    path, log = f"{tmp_path}/results", f"{tmp_path}/log"
+    assert files.read_results(spark, path, log).count() == 0
+    files.write_results(results, path, "1")
+    assert files.read_results(spark, path, log).count() == 0
+    commits.commit(spark, log, "1")
+    files.write_results(results, path, "2")
+    files.write_results(results, path, "2")
+    commits.commit(spark, log, "2")
+    commits.commit(spark, log, "2")
+    found = files.read_results(spark, path, log)
+    assert found.columns == results.columns and found.count() == 6 and commits.committed(spark, log) == ["1", "2"]
