@@ -34,17 +34,47 @@ def is_blank(text: Column) -> Column:
     )
 
 
-def file_tokenizer(path: str) -> Tokenizer:
-    """A tokenizer file in the `tokenizers` JSON format, run over Arrow batches."""
+class FileTokenizer:
+    """Token counts under a file in the `tokenizers` JSON format, run over Arrow batches.
+
+    `least` is a Column tokenizer that never counts more tokens than the file does, and whose counts of lines
+    add up to no more than that of the text they form. By default it counts words; that is
+    a bound for files whose tokens each lie in one word, which is verified on the vocabulary.
+    """
+
+    def __init__(self, path: str, least: Tokenizer | None = None):
+        if least is None and not tokens_keep_to_words(path):
+            raise ValueError(f"tokens of {path} span words; give a lower bound of its counts")
+        self.path, self.least, self.count = path, least or count_words, _counter(path)
+
+    def __call__(self, text: Column) -> Column:
+        # The null check is a second use of the text, which keeps it a column of its own: rendering
+        # and Python call must not be merged into one expression.
+        return F.when(text.isNotNull(), self.count(text))
+
+
+def _counter(path: str):
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        tokenizer = _load(path)
-        encoded = tokenizer.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
+        encoded = _load(path).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
         return pd.Series([len(e.ids) for e in encoded], dtype="int32")
 
-    # The null check is a second use of the text, which keeps it a column of its own: rendering
-    # and Python call must not be merged into one expression.
-    return lambda text: F.when(text.isNotNull(), count(text))
+    return count
+
+
+def file_tokenizer(path: str, least: Tokenizer | None = None) -> FileTokenizer:
+    """A tokenizer file as a tokenizer; see FileTokenizer for `least`."""
+    return FileTokenizer(path, least)
+
+
+def tokens_keep_to_words(path: str) -> bool:
+    """Whether no token but special ones prints characters of more than one word, so that a word costs a token at least."""
+    tokenizer = _load(path)
+    if tokenizer.pre_tokenizer is None:
+        return False
+    special = {i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
+    ids = [i for i in range(tokenizer.get_vocab_size()) if i not in special]
+    return all(len(text.split()) <= 1 for text in tokenizer.decode_batch([[i] for i in ids], skip_special_tokens=False))
 
 
 def file_encoder(path: str) -> Callable[[Column], Column]:
@@ -52,8 +82,7 @@ def file_encoder(path: str) -> Callable[[Column], Column]:
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
-        tokenizer = _load(path)
-        encoded = tokenizer.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
+        encoded = _load(path).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
         return pd.Series([e.ids for e in encoded])
 
     return lambda text: F.when(text.isNotNull(), encode(text))

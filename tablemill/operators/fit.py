@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablemill.constants import FORMATS, TOKEN_BUDGET
 from tablemill.functions.text import let
-from tablemill.functions.tokens import Tokenizer, count_words
+from tablemill.functions.tokens import FileTokenizer, Tokenizer, count_words
 from tablemill.operators.order import by_position, split_keys
 from tablemill.operators.pack import costed_rows
 from tablemill.operators.render import csv_header, csv_row, render_slice
+from tablemill.session import stage
 from tablemill.sources.corpus import Corpus
 
 
@@ -23,9 +24,12 @@ def prefix_candidates(
     A prefix costs at least its rows, so rows past the budget by that sum alone
     never leave their task. Per table come the rows up to the first one too many,
     and of blank key-value rows, which cost and print nothing, only one at the
-    start; so what is gathered is bounded by the budget.
+    start; so what is gathered is bounded by the budget. A row with anything to print costs
+    a token in every format, so rows after more than `budget` such rows aren't even rendered.
+    A tokenizer file's own lower bound stands in for its counts, which don't add up.
     """
-    rows = costed_rows(by_position(corpus, large), tables, large, tokenizer)
+    tokenizer = tokenizer.least if isinstance(tokenizer, FileTokenizer) else tokenizer
+    rows = costed_rows(by_position(corpus, large), tables, large, tokenizer, after=budget)
     so_far = Window.partitionBy(*split_keys(large)).orderBy("ord")
     costs = [F.get("costs", F.lit(i)) for i in range(len(FORMATS))]
     before_row = F.array(
@@ -124,6 +128,54 @@ def longest_prefix(budget: int, tokenizer: Tokenizer, special_tokens: int = 0) -
     return F.aggregate(steps, start, narrow, lambda s: s["best"])
 
 
+def searched(found: DataFrame, budget: int, tokenizer: Tokenizer, special_tokens: int = 0) -> DataFrame:
+    """`found` (from `prefix_candidates`) with `best`, how many of the gathered rows fit."""
+    if isinstance(tokenizer, FileTokenizer):
+        return _probed(found, budget, tokenizer, special_tokens)
+    return found.withColumn("best", longest_prefix(budget, tokenizer, special_tokens))
+
+
+def _probed(found: DataFrame, budget: int, tokenizer: FileTokenizer, special_tokens: int) -> DataFrame:
+    """`best` by encoding whole prefixes, since counts of a file's tokens don't add up over rows.
+
+    Every round renders one prefix per table and format that is still open and encodes it in Arrow batches. The
+    first prefix is all that was gathered; later ones are where the line through the counts known so far
+    meets the budget, every third one in the middle. What is decided leaves the rounds, so a search takes a few of
+    them and at most about three times the logarithm of its rows. As in any bisection, `best` is a border: it
+    fits, and one more row doesn't.
+    """
+    low, high = F.col("low"), F.col("high")
+    first = {"low": F.lit(0), "high": F.size("rows") + 1, "t_low": F.lit(special_tokens), "t_high": F.lit(None).cast("int")}
+    waiting, done, turn = stage(found.withColumns(first)), [], 0
+    while True:
+        done.append(waiting.where(high - low <= 1))
+        waiting = waiting.where(high - low > 1)
+        if waiting.isEmpty():
+            break
+        middle = F.shiftright(low + high, 1)
+        on_line = low + F.floor((budget - F.col("t_low")) * (high - low) / (F.col("t_high") - F.col("t_low"))).cast("int")
+        guess = middle if turn % 3 == 2 else F.when(F.col("t_high").isNull(), high - 1).otherwise(F.coalesce(on_line, middle))
+        probed = waiting.withColumn("probe", F.greatest(low + 1, F.least(high - 1, guess)))
+        text = render_slice(F.col("format"), F.slice("rows", F.lit(1), F.col("probe")), F.col("columns"), F.col("kv_floats"))
+        probed = probed.withColumn("text", text).withColumn("t", tokenizer(F.col("text")) + special_tokens)
+        fits = F.col("t") <= budget
+        waiting = stage(
+            probed.withColumns(
+                {
+                    "low": F.when(fits, F.col("probe")).otherwise(low),
+                    "high": F.when(fits, high).otherwise(F.col("probe")),
+                    "t_low": F.when(fits, F.col("t")).otherwise(F.col("t_low")),
+                    "t_high": F.when(fits, F.col("t_high")).otherwise(F.col("t")),
+                }
+            ).drop("probe", "text", "t")
+        )
+        turn += 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.withColumnRenamed("low", "best").drop("high", "t_low", "t_high")
+
+
 def fit_rows(
     corpus: Corpus,
     tables: DataFrame,
@@ -134,11 +186,11 @@ def fit_rows(
 ) -> DataFrame:
     """`(table_id, format, fit_n, n_rows, text)` for every table and format.
 
-    `fit_n` 0 and a NULL text mean that nothing fits. The search needs a
-    tokenizer built from Column expressions.
+    `fit_n` 0 and a NULL text mean that nothing fits. With a tokenizer of Column expressions the
+    search is one expression; with a tokenizer file it takes rounds of stored tables.
     """
     found = prefix_candidates(corpus, tables, large, budget, tokenizer)
-    fitted = found.withColumn("best", longest_prefix(budget, tokenizer, special_tokens))
+    fitted = searched(found, budget, tokenizer, special_tokens)
     text = render_slice(
         F.col("format"), F.slice("rows", F.lit(1), F.col("best")), F.col("columns"), F.col("kv_floats")
     )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablemill.constants import FORMATS, TOKEN_BUDGET
 from tablemill.functions.costs import with_header_costs, with_row_costs
 from tablemill.functions.text import built_once
-from tablemill.functions.tokens import Tokenizer, count_words
+from tablemill.functions.tokens import Tokenizer, count_words, is_blank
 from tablemill.operators.order import order_rows, row_order, split_keys
 from tablemill.operators.render import display_cells, prepare_columns, render_slice
 from tablemill.operators.scan import (
@@ -33,12 +33,18 @@ SEGMENT_SCHEMA = (
 
 
 def costed_rows(
-    corpus: Corpus, tables: DataFrame, large: DataFrame | None, tokenizer: Tokenizer = count_words
+    corpus: Corpus,
+    tables: DataFrame,
+    large: DataFrame | None,
+    tokenizer: Tokenizer = count_words,
+    after: int | None = None,
 ) -> DataFrame:
     """Ordered rows with display cells and their costs, beside their table's columns.
 
     `tables` is the result of `clean_tables`. The rows arrive partitioned and
-    sorted by (table, split), so only the small side of the join moves.
+    sorted by (table, split), so only the small side of the join moves. With `after`, rows that
+    follow more than so many rows of their split with something to print are left out before
+    anything is rendered.
     """
     meta = prepare_columns(tables).select("table_id", "n_rows", "columns", "kv_floats")
     if large is not None:
@@ -54,6 +60,11 @@ def costed_rows(
     shown = rows.join(meta.hint("merge"), split_keys(large)).withColumn(
         "cells", display_cells(F.col("cells"), F.col("columns"))
     )
+    if after is not None:
+        earlier = Window.partitionBy(*split_keys(large)).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+        printed = F.exists("cells", lambda c: c.isNotNull() & ~is_blank(c))
+        shown = shown.withColumn("__before", F.coalesce(F.sum(printed.cast("int")).over(earlier), F.lit(0)))
+        shown = shown.where(F.col("__before") <= after).drop("__before")
     return with_row_costs(shown, tokenizer)
 
 

@@ -22,6 +22,12 @@ PROMPT = (
 PAIR_SCHEMA = "struct<pairs: array<struct<statement: string, distractor: string, type: string>>>"
 
 
+def _prompts(tables: DataFrame) -> DataFrame:
+    """The requests for `(table_id, text)`, the tables as Markdown."""
+    user = F.concat(F.lit("Table (id="), F.col("table_id"), F.lit("):\n"), F.col("text"), F.lit("\n\nGenerate 5 statement-distractor pairs."))
+    return tables.select("table_id", F.lit(PROMPT).alias("system"), user.alias("user"))
+
+
 def generation_prompts(
     corpus: Corpus,
     tables: DataFrame,
@@ -33,17 +39,14 @@ def generation_prompts(
     found = fit.prefix_candidates(corpus, tables, large, budget, tokenizer).filter(
         "format = 'markdown'"
     )
-    kept = F.greatest(F.lit(1), fit.longest_prefix(budget, tokenizer))
-    user = F.concat(
-        F.lit("Table (id="),
-        F.col("table_id"),
-        F.lit("):\n"),
-        markdown_table(F.slice("rows", F.lit(1), F.col("kept")), F.col("columns")),
-        F.lit("\n\nGenerate 5 statement-distractor pairs."),
-    )
-    return found.withColumn("kept", kept).select(
-        "table_id", F.lit(PROMPT).alias("system"), user.alias("user")
-    )
+    kept = F.greatest(F.lit(1), F.col("best"))
+    found = fit.searched(found, budget, tokenizer)
+    return _prompts(found.withColumn("text", markdown_table(F.slice("rows", F.lit(1), kept), F.col("columns"))))
+
+
+def fitted_prompts(fitted: DataFrame) -> DataFrame:
+    """The requests for tables that fit in every format, with the Markdown that was fitted before."""
+    return _prompts(fit.complete_tables(fitted).where("format = 'markdown'"))
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:

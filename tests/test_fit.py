@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablemill.constants import FORMATS
-from tablemill.operators import fit
+from tablemill.operators import fit, pack, pairs
 from tablemill.operators.order import by_position, shuffle_rows
+from tablemill.operators.render import display_cells
 from tablemill.plans.serialize import prepare, serialize
 from tablemill.sources.corpus import corpus_from_tables
 
@@ -67,3 +68,77 @@ def test_file_tokenizer(spark, tmp_path):
     # Header a , b and rows n , x: five rows of three tokens beside three header tokens.
     assert [r.n_rows for r in out] == [5, 5]
     assert [r.n_tokens for r in out] == [18, 18]
+
+
+def _prefixes(spark, p, order):
+    """The text of every prefix of one table in every format."""
+    from tablemill.operators.render import prepare_columns, render_slice
+
+    columns = prepare_columns(p.tables).select("columns", "kv_floats")
+    rows = spark.createDataFrame([(n, order[:n]) for n in range(1, len(order) + 1)], "n int, rows array<array<string>>")
+    each = rows.crossJoin(columns).withColumn("format", F.explode(F.array(*[F.lit(f) for f in FORMATS])))
+    shown = F.transform("rows", lambda r: display_cells(r, F.col("columns")))
+    text = render_slice(F.col("format"), shown, F.col("columns"), F.col("kv_floats"))
+    return each.select("format", "n", text.alias("text")).collect()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_longest_prefix_under_a_tokenizer_file(spark, name):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from tablemill.functions.tokens import file_tokenizer
+
+    path = str(public.path(name))
+    plain = Tokenizer.from_file(path)
+    rows = [
+        (i, f"Wörld-{i * 7919 % 1000}, \"quoted\"" * (1 + i % 3), None if i % 4 == 1 else "supercalifragilistic" * (i % 5 == 2) + " a  b", i * 1.25 if i % 3 else None, str(i * 10**i))
+        for i in range(18)
+    ]
+    df = spark.createDataFrame(rows, "id long, a string, b string, x double, n string")
+    p = prepare(corpus_from_tables(df, F.lit("t"), F.lit(1), ["a", "b", "x", "n"], row_key=["id"]))
+    own = by_position(p.corpus, p.large)
+    order = [r.cells for r in shuffle_rows(own.rows, p.large, True).orderBy("ord").collect()]
+    texts = _prefixes(spark, p, order)
+    sizes = {(r.format, r.n): len(plain.encode(r.text, add_special_tokens=False).ids) for r in texts}
+    by_text = {(r.format, r.n): r.text for r in texts}
+    tokenizer = file_tokenizer(path)
+    for budget in (20, 150, 700, 100_000):
+        for fmt in FORMATS:
+            counts = [sizes[fmt, n] for n in range(1, 19)]
+            assert counts == sorted(counts)
+        got = {r.format: r for r in fit.fit_rows(*p, budget, tokenizer).collect()}
+        for fmt in FORMATS:
+            best = max((n for n in range(1, 19) if sizes[fmt, n] <= budget), default=0)
+            assert (got[fmt].fit_n, got[fmt].text) == (best, by_text.get((fmt, best))), (fmt, budget)
+        user = pairs.generation_prompts(*p, budget, tokenizer).first()["user"]
+        assert by_text["markdown", max(1, got["markdown"].fit_n)] in user
+    with_special = {r.format: r.fit_n for r in fit.fit_rows(*p, 150, tokenizer, special_tokens=2).collect()}
+    assert with_special == {fmt: max((n for n in range(1, 19) if sizes[fmt, n] + 2 <= 150), default=0) for fmt in FORMATS}
+
+
+def test_a_tokenizer_whose_tokens_span_words_needs_a_bound(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from tablemill.functions.tokens import count_words, file_tokenizer
+
+    tokenizer = Tokenizer(models.WordLevel({"[UNK]": 0, "a b": 1}, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Split(",", "removed")
+    path = str(tmp_path / "tokenizer.json")
+    tokenizer.save(path)
+    with pytest.raises(ValueError, match="span words"):
+        file_tokenizer(path)
+    assert file_tokenizer(path, count_words).least is count_words
+
+
+@pytest.mark.parametrize("split_rows", [1_000_000, 40])
+def test_rows_that_can_not_fit_are_not_rendered(spark, split_rows):
+    rows = [(i, None if i % 2 else f"w{i}", " ") for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    p = prepare(corpus_from_tables(df, F.lit("t"), F.lit(1), ["a", "b"], row_key=["id"]), split_rows)
+    costed = pack.costed_rows(by_position(p.corpus, p.large), p.tables, p.large, after=10)
+    per_split = {r["split"]: r["n"] for r in costed.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert max(per_split.values()) <= 22 and sum(per_split.values()) < 400
+    got = {r.format: r.fit_n for r in fit.fit_rows(*p, 10).collect()}
+    whole = {r.format: r.fit_n for r in fit.fit_rows(*p, 1000).collect()}
+    assert got["csv"] == 9 and got["keyvalue"] == 4 and whole["keyvalue"] == 400
