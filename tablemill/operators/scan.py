@@ -10,6 +10,7 @@ and those reports, a few per split, are chained in order.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -247,19 +248,52 @@ def _pieces(costs: np.ndarray, room: int) -> list[tuple]:
     return out
 
 
+def _compose(first: list[tuple], second: list[tuple]) -> list[tuple]:
+    """The pieces of `first` followed by `second`, equal neighbours put together.
+
+    An entry state is at most the budget, so there is never more than one piece per budget token.
+    """
+    out: list[tuple] = []
+
+    def add(low, relative, used, is_open, segments):
+        if len(out) > 1 and out[-1][1:] == (relative, used, is_open, segments):
+            return
+        out.append((low, relative, used, is_open, segments))
+
+    starts = [q[0] for q in second[1:]]
+    for k, (low, relative, used, is_open, segments) in enumerate(first):
+        if not relative:
+            q = second[0] if not is_open else second[bisect_right(starts, used)]
+            add(low, False, q[2] + (used if q[1] else 0), q[3], segments + q[4])
+            continue
+        # Entries up to the next piece leave `first` with `used` more, and fall into one or more pieces of `second`.
+        high = first[k + 1][0] if k + 1 < len(first) else None
+        at = bisect_right(starts, low + used)
+        while at < len(second):
+            begin = max(low, second[at][0] - used)
+            if high is not None and begin >= high:
+                break
+            _, more, left, stays, closed = second[at]
+            add(begin, more, left + (used if more else 0), stays, segments + closed)
+            at += 1
+    return out
+
+
 def summarise(budget: int):
-    """A `mapInArrow` function from sorted, costed rows to one report per split."""
+    """A `mapInArrow` function from sorted, costed rows to one report per split.
 
-    def report(state, parts):
-        costs = np.concatenate(parts)
-        pieces = [_pieces(costs[:, f], state.rooms[f]) for f in range(N)]
+    A split's function from entry to exit is composed batch by batch, so what is held is that function and a
+    batch of costs, whatever the split's size.
+    """
+
+    def report(state, pieces, n_rows):
         fields = ["from_used", "relative", "used", "open", "segments"]
         return pa.RecordBatch.from_pylist(
             [
                 {
                     "table_id": state.table_id,
                     "split": state.split,
-                    "n_rows": len(costs),
+                    "n_rows": n_rows,
                     "pieces": [[dict(zip(fields, p)) for p in pieces[f]] for f in range(N)],
                 }
             ],
@@ -267,19 +301,21 @@ def summarise(budget: int):
         )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, parts = None, []
+        state, pieces, n_rows = None, [], 0
         for batch in batches:
             costs, bounds = _costs(batch), _bounds(batch)
             for begin, end in zip(bounds[:-1], bounds[1:]):
                 key = batch.column("table_id")[begin].as_py(), batch.column("split")[begin].as_py()
-                if state is None or (state.table_id, state.split) != key:
-                    if state is not None:
-                        yield report(state, parts)
-                    state = _Split(*key, batch.column("meta").slice(begin, 1), budget)
-                    parts = []
-                parts.append(costs[begin:end])
+                is_new = state is None or (state.table_id, state.split) != key
+                if is_new and state is not None:
+                    yield report(state, pieces, n_rows)
+                if is_new:
+                    state, n_rows = _Split(*key, batch.column("meta").slice(begin, 1), budget), 0
+                found = [_pieces(costs[begin:end, f], state.rooms[f]) for f in range(N)]
+                pieces = found if is_new else [_compose(p, q) for p, q in zip(pieces, found)]
+                n_rows += end - begin
         if state is not None:
-            yield report(state, parts)
+            yield report(state, pieces, n_rows)
 
     return scan
 

@@ -138,3 +138,56 @@ def test_long_splits(seed):
         if r["seg_no"] is not None:
             ends[r["seg_no"]] = max(ends.get(r["seg_no"], 0), r["end_ord"])
     assert [ends[k] for k in sorted(ends)] == [b for _, b in segments]
+
+
+def test_reports_composed_batch_by_batch():
+    import random
+
+    import numpy as np
+
+    from tablemill.operators.scan import CLOSED, _compose, _pieces
+
+    def left_by(pieces, state):
+        q = pieces[0] if state == CLOSED else max((p for p in pieces[1:] if p[0] <= state), key=lambda p: p[0])
+        used = q[2] + (state if q[1] else 0)
+        return (used if q[3] else CLOSED), q[4]
+
+    rng = random.Random(1)
+    for _ in range(400):
+        room, n = rng.randrange(0, 25), rng.randrange(1, 40)
+        costs = np.array([rng.choice([0, 0, 1, 2, 3, 5, room, room + 1, room + 3]) for _ in range(n)])
+        whole, composed = _pieces(costs, room), None
+        for part in np.split(costs, sorted(rng.sample(range(1, n), min(n - 1, rng.randrange(0, 6))))):
+            composed = _pieces(part, room) if composed is None else _compose(composed, _pieces(part, room))
+        assert len(composed) <= room + 2
+        for state in [CLOSED, *range(room + 1)]:
+            assert left_by(composed, state) == left_by(whole, state)
+
+
+def test_a_report_holds_no_more_than_a_batch():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tablemill.constants import FORMATS
+    from tablemill.operators.scan import summarise
+
+    meta = pa.array([{"header_costs": [1] * len(FORMATS), "base": 0, "last": True, "used": [-1] * len(FORMATS), "seg_no": [0] * len(FORMATS)}])
+
+    def batches(n):
+        for _ in range(n):
+            costs = pa.ListArray.from_arrays(pa.array(np.arange(1001, dtype=np.int32) * len(FORMATS)), pa.array(np.full(1000 * len(FORMATS), 7, np.int32)))
+            ids, zeros, metas = pa.array(["t"] * 1000), pa.array([0] * 1000, pa.int32()), pa.concat_arrays([meta] * 1000)
+            yield pa.RecordBatch.from_arrays([ids, zeros, costs, metas], ["table_id", "split", "costs", "meta"])
+
+    def peak(n):
+        tracemalloc.start()
+        (out,) = summarise(200)(batches(n))
+        found = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert out.column("n_rows")[0].as_py() == 1000 * n
+        return found
+
+    peak(1)
+    assert peak(40) < 1.5 * peak(8)
