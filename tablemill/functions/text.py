@@ -69,12 +69,15 @@ def _exponent_text(java: Column) -> Column:
     )
 
 
+#: Below it doubles have fewer digits the smaller they are.
+SUBNORMAL = 2.0**-1022
+
+
 def float_text(value: Column, single: bool = False) -> Column:
     """The shortest decimal text that reads back as the same number.
 
     `1.0`, `0.0001`, `1e-05`, `1e+16`, `inf`; NaN counts as missing. With
-    `single`, the digits are those of a 32-bit number. Subnormal numbers keep
-    the digits Java gives them.
+    `single`, the digits are those of a 32-bit number.
     """
     number = value.cast("float" if single else "double")
     return let(number, lambda n: let(n.cast("string"), lambda java: _float_text(n, java, single)))
@@ -88,12 +91,19 @@ def _float_text(number: Column, java: Column, single: bool) -> Column:
     )
     digits = java
     if not single:
-        # Java 17 may print a digit too many for very large or small numbers.
-        shorter = [_pattern(number, "0." + "#" * places + "E0") for places in (14, 15, 16)]
-        fewer = [F.when(text.cast("double") == number, text) for text in shorter]
-        digits = F.when(
-            (size >= 1e16) | (size < 1e-12), F.coalesce(*fewer, java)
-        ).otherwise(java)
+        # Java 17 may print a digit too many for very large or small numbers, and prints two at least.
+        def shortest(places: range) -> Column:
+            shorter = [_pattern(number, "0." + "#" * p + "E0" if p else "0E0") for p in places]
+            # Below a power of two doubles lie closer than above it, so what reads back may be the farther neighbour.
+            shorter.insert(-1, let(_pattern(number, "0." + "#" * 16 + "E0"), _next_up))
+            return F.coalesce(*[F.when(text.cast("double") == number, text) for text in shorter], java)
+
+        digits = (
+            F.when(size < SUBNORMAL, shortest(range(17)))
+            .when((size >= 1e16) & (size < 1e38), _whole_digits(number, size, java))
+            .when((size >= 1e16) | (size < 1e-4), shortest(range(14, 17)))
+            .otherwise(java)
+        )
     return (
         F.when(F.isnan(number) | number.isNull(), F.lit(None).cast("string"))
         .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), java)
@@ -103,6 +113,53 @@ def _float_text(number: Column, java: Column, single: bool) -> Column:
     )
 
 
+def _next_up(text: Column) -> Column:
+    """Of a number printed with 17 digits the next greater one, in size, with 16 digits; NULL if it has fewer."""
+    digits = F.regexp_replace(F.substring_index(text, "E", 1), "[-.]", "")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    raised = (F.substring(digits, 1, 16).cast("bigint") + 1).cast("string")
+    made = F.concat(sign, F.substring(raised, 1, 1), F.lit("."), F.substr(raised, F.lit(2)), F.lit("E"), F.substring_index(text, "E", -1))
+    return F.when((F.length(digits) == 17) & (F.length(raised) == 16), made)
+
+
+def _whole_digits(number: Column, size: Column, java: Column) -> Column:
+    """Shortest digits of a whole number from 1e16 to 1e38, where Java's own may not be the nearest.
+
+    The number is taken apart into its 53 bits and a power of two, whose product is exact as a decimal; it
+    is rounded half to even at 15 and 16 digits, and the first that reads back is taken, else 17.
+    """
+
+    def rounded(exact: Column, places: int) -> Column:
+        text = exact.cast("string")
+        unit = F.rpad(F.lit("1"), F.length(text) - places + 1, F.lit("0")).cast("decimal(38,0)")
+        whole = F.substring(text, 1, places).cast("bigint")
+        rest = F.concat(F.lit("0"), F.substr(text, F.lit(places + 1))).cast("decimal(38,0)") * 2
+        up = F.when((rest > unit) | ((rest == unit) & (whole % 2 == 1)), 1).otherwise(0)
+        return let(
+            (whole + up).cast("string"),
+            lambda t: F.concat(
+                F.when(number < 0, "-").otherwise(""), F.substring(t, 1, 1), F.lit("."), F.substr(t, F.lit(2)),
+                F.lit("E"), (F.length(text) - places + F.length(t) - 1).cast("string"),
+            ),
+        )
+
+    def shortest(exact: Column) -> Column:
+        texts = [rounded(exact, p) for p in (15, 16, 17)]
+        texts.insert(-1, let(texts[-1], _next_up))
+        return F.coalesce(*[let(text, lambda t: F.when(t.cast("double") == number, t)) for text in texts], java)
+
+    # Of the logarithm only the whole part counts; one too few or too many leaves a whole number of bits all the same.
+    power = F.floor(F.log2(size)).cast("int") - 53
+    one = F.lit(1).cast("bigint")
+    steps = [F.least(power, F.lit(60)), F.greatest(power - 60, F.lit(0))]
+    low, high = [F.call_function("shiftleft", one, n).cast("decimal(19,0)") for n in steps]
+    factor = low * high
+    bits = F.floor(size / F.pow(F.lit(2.0), power.cast("double"))).cast("decimal(19,0)")
+    return F.when(power >= 0, let((bits * factor).cast("decimal(38,0)"), shortest)).otherwise(
+        let(size.cast("bigint").cast("decimal(38,0)"), shortest)
+    )
+
+
 def three_digits(value: Column) -> Column:
     """A number at three significant digits: `12.3`, `12`, `1.23e+04`, `0.0012`."""
     return let(value.cast("double"), _three_digits)
