@@ -13,11 +13,14 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tablemill.catalog import sql as S
-from tablemill.catalog.corpora import source
+from tablemill.catalog.corpora import NUMBERS, prepared, source
 from tablemill.catalog.evaluation import new_folder
 from tablemill.catalog.registry import query
+from tablemill.catalog.tables import SMALL, with_
 from tablemill.constants import FORMATS, INDEX_MAGIC
-from tablemill.operators import runs
+from tablemill.operators import pack, runs
+from tablemill.plans import ingest
+from tablemill.plans.serialize import serialize
 from tablemill.sources.archives import read_table_archives
 from tablemill.sources.files import data_file_sizes, shard_index_stats
 
@@ -99,6 +102,41 @@ def archive_errors(spark, sf):
     return read_table_archives(spark, folder).errors.select("table_id")
 
 
+@query(
+    "serialize_stats",
+    with_(
+        f"{S.packed(NUMBERS, SMALL)}, {S.slices('packed')}, tok AS (SELECT table_id, format, {S.tokens('text')} AS n FROM slice_text)",
+        "SELECT format, chunk, count(DISTINCT table_id) AS processed, coalesce(sum(n), 0) AS tokens, coalesce(any_value(bad), 0) AS skipped "
+        "FROM (SELECT table_id, chunk, f.format FROM tabs, (SELECT DISTINCT format FROM headers) f) LEFT JOIN tok USING (table_id, format) "
+        "LEFT JOIN (SELECT CAST(c_custkey // 1000 AS INTEGER) AS chunk, count(DISTINCT c_custkey // 100) AS bad FROM customer "
+        "WHERE (c_custkey // 100) % 10 = 3 GROUP BY 1) USING (chunk) GROUP BY format, chunk",
+        True,
+    ),
+)
+def stats(spark, sf):
+    """Skipped are members that archives of the same chunk numbers hold and that can't be read."""
+    folder = local(new_folder(spark))
+    write_archives(source(spark, sf, "customer"), folder)
+    p = prepared(spark, sf, NUMBERS)
+    return pack.serialize_stats(p.tables, serialize(p, SMALL), read_table_archives(spark, folder).errors.select("chunk", "table_id"))
+
+
+@query(
+    "landed_archives",
+    f"{ARCHIVED} SELECT table_id, chunk::INTEGER AS chunk, count(*) AS n_rows, (chunk % 2)::INTEGER AS drop_no FROM n WHERE m % 10 <> 3 GROUP BY ALL",
+)
+def landed(spark, sf):
+    """Archives that land in two drops, each serialised once; the second run finds only what is new."""
+    folder, out = local(new_folder(spark)), new_folder(spark)
+    customers = source(spark, sf, "customer")
+    for drop in (0, 1):
+        write_archives(customers.where(F.expr("c_custkey div 1000 % 2") == drop), folder)
+        ingest.serialize_landed(spark, folder, out, per_batch=1_000_000).awaitTermination()
+    found = ingest.read_landed(spark, out)
+    # The archives of one drop make one batch, and batches are numbered from 0.
+    return found.tables.select("table_id", "chunk", "n_rows", F.col("batch").cast("int").alias("drop_no"))
+
+
 DOCS_PER_SHARD = 50
 
 

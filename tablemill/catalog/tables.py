@@ -358,23 +358,6 @@ def seg_tokens(spark, sf):
     return serialize(prepared(spark, sf, NATION), BUDGET).select("table_id", "format", "seg_no", "n_tokens")
 
 
-@query(
-    "serialize_stats",
-    with_(
-        f"{S.packed(NUMBERS, SMALL)}, {S.slices('packed')}, tok AS (SELECT table_id, format, {S.tokens('text')} AS n FROM slice_text)",
-        "SELECT format, chunk, count(DISTINCT table_id) AS processed, coalesce(sum(n), 0) AS tokens, coalesce(any_value(bad), 0) AS skipped "
-        "FROM (SELECT table_id, chunk, f.format FROM tabs, (SELECT DISTINCT format FROM headers) f) LEFT JOIN tok USING (table_id, format) "
-        "LEFT JOIN (SELECT chunk, count(*) AS bad FROM tabs WHERE n_rows < 8 GROUP BY chunk) USING (chunk) GROUP BY format, chunk",
-        True,
-    ),
-)
-def stats(spark, sf):
-    p = prepared(spark, sf, NUMBERS)
-    # Short tables stand for members that could not be read besides those that were.
-    errors = p.tables.filter("n_rows < 8").select("chunk", "table_id")
-    return pack.serialize_stats(p.tables, serialize(p, SMALL), errors)
-
-
 # --- packing ------------------------------------------------------------------
 
 
@@ -527,8 +510,7 @@ v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, encode(token)) -
     ),
 )
 def tokenized(spark, sf):
-    segments = stage(serialize(prepared(spark, sf, NATION), BUDGET))
-    ids = shards.tokenize_segments(segments, stage(shards.vocabulary(segments)))
+    ids = shards.tokenize_segments(serialize(prepared(spark, sf, NATION), BUDGET))
     return ids.withColumn("token_ids", F.array_join(F.transform("token_ids", lambda t: t.cast("string")), " "))
 
 

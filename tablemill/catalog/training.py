@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
+from tablemill.catalog import sql as S
+from tablemill.catalog.corpora import NATION, prepared
 from tablemill.catalog.derived import cte, derived
 from tablemill.catalog.registry import query
+from tablemill.catalog.tables import BUDGET, with_
 from tablemill.constants import EXPERIMENT, EXPERIMENT_IN_PATH, FORMATS, TARGET_STEP, TOKENS_PER_STEP
-from tablemill.operators import curves, runs
+from tablemill.operators import curves, exposure, runs
+from tablemill.plans.serialize import serialize
 from tablemill.session import new_folder as out_folder
 from tablemill.sources import files
 
@@ -290,6 +296,37 @@ def dropped(spark, sf):
     return runs.dropped_runs(found, runs.best_run(found))
 
 
+# Tokens of a step of the runs above over the segments of one small corpus: many laps.
+STEP_TOKENS = 7
+EXACT = f"""{S.packed(NATION, BUDGET)}, {S.slices('packed')}, {re.sub(r'\bstats\b', 'token_stats', PLAN.removeprefix('WITH '))},
+seg AS (SELECT s.format, s.table_id, s.seg, any_value({S.tokens('text')}) AS n_tokens, count(*) AS n_rows
+        FROM slice_text s JOIN packed p ON p.format = s.format AND p.table_id = s.table_id AND p.seg = s.seg GROUP BY s.format, s.table_id, s.seg),
+cum AS (SELECT *, sum(n_rows) OVER o AS rows_to, sum(n_tokens) OVER o AS tokens_to FROM seg WINDOW o AS (PARTITION BY format ORDER BY table_id, seg)),
+tot AS (SELECT format, max(rows_to) AS all_rows, max(tokens_to) AS all_tokens FROM cum GROUP BY format),
+fin AS (SELECT exp, b.format, seed, available, list_max(available) AS final_iter, (list_max(available) * {STEP_TOKENS}) // all_tokens * all_rows
+          + coalesce((SELECT max(rows_to) FROM cum c WHERE c.format = b.format AND c.tokens_to <= (list_max(b.available) * {STEP_TOKENS}) % all_tokens), 0) AS rows_at_final,
+          all_rows, all_tokens FROM best b JOIN tot ON tot.format = b.format),
+goal AS (SELECT min(rows_at_final) AS r FROM fin),
+lap AS (SELECT fin.*, r, (r - 1) // all_rows AS laps, r - (r - 1) // all_rows * all_rows AS rest FROM fin, goal),
+aim AS (SELECT lap.*, (laps * all_tokens + (SELECT min(tokens_to) FROM cum c WHERE c.format = lap.format AND c.rows_to >= lap.rest) + {STEP_TOKENS - 1}) // {STEP_TOKENS} AS at_step FROM lap),
+near AS (SELECT *, list_min(list_transform(available, lambda i: (abs(i - at_step), i)))[2] AS matched_iter FROM aim)"""
+
+
+@query(
+    "exact_row_plan",
+    with_(
+        EXACT,
+        "SELECT exp AS experiment, format, seed, final_iter, rows_at_final::BIGINT AS rows_at_final, r::BIGINT AS row_budget, at_step::BIGINT AS target_iter, matched_iter, "
+        f"((matched_iter * {STEP_TOKENS}) // all_tokens * all_rows + coalesce((SELECT max(rows_to) FROM cum c WHERE c.format = near.format "
+        f"AND c.tokens_to <= (near.matched_iter * {STEP_TOKENS}) % all_tokens), 0))::BIGINT AS rows_at_match FROM near",
+        True,
+    ),
+)
+def exact(spark, sf):
+    segments = serialize(prepared(spark, sf, NATION), BUDGET)
+    return exposure.exact_plan(_best(spark, sf), exposure.exposure(segments, ["table_id", "seg_no"]), STEP_TOKENS)
+
+
 JOBS = (
     "SELECT format, coalesce(seed::VARCHAR, 'NA') || '_{mode}' AS seed_tag, {ckpt} AS ckpt, matched_iter AS iter FROM plan"
 )
