@@ -41,7 +41,7 @@ BATCH_BYTES = 16 << 20
 #: Different pieces of one anchor that may meet in a task, over all batches.
 ANCHOR_PIECES = 200_000
 NULL_KEY = -(1 << 63)
-#: Bits of positions in a slice; a document has at most so many bytes.
+#: Bits of positions that ride beside hashes; what is longer is scanned in parts that overlap.
 PLACE = 28
 
 
@@ -67,6 +67,17 @@ def sliding_least(value: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(value[: len(value) - rest], value[rest:]) if rest else value
 
 
+def least_places(value: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each `width` neighbours stands, by its upper 64 - PLACE bits; the first of equal ones."""
+    step = (1 << PLACE) - width + 1
+    out = []
+    for low in range(0, len(value) - width + 1, step):
+        part = value[low : low + step + width - 1]
+        tagged = part >> np.uint64(PLACE) << np.uint64(PLACE) | np.arange(len(part), dtype=np.uint64)
+        out.append((sliding_least(tagged, width) & np.uint64((1 << PLACE) - 1)).astype(np.int64) + low)
+    return np.concatenate(out)
+
+
 class Spans:
     """Runs of strings that share an anchor, in the documents of a slice."""
 
@@ -78,8 +89,7 @@ class Spans:
         if n < WIDTH:
             return
         grams = gram_hashes(body)
-        tagged = grams >> np.uint64(PLACE) << np.uint64(PLACE) | np.arange(len(grams), dtype=np.uint64)
-        at = (sliding_least(tagged, WIDTH - K + 1) & np.uint64((1 << PLACE) - 1)).astype(np.int64)
+        at = least_places(grams, WIDTH - K + 1)
         strings = np.maximum(0, np.diff(offsets) - WIDTH + 1)
         held = strings > 0
         inside = np.zeros(len(at) + 1, np.int8)
@@ -104,7 +114,7 @@ class Spans:
 
     def keys(self) -> np.ndarray:
         """A name of each span, decided by its piece alone."""
-        return span_keys(self.anchor >> np.uint64(24), self.piece >> np.uint64(24))
+        return span_keys(self.anchor, self.piece)
 
 
 def span_keys(anchor: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -140,7 +150,7 @@ PLAIN, DEALT, NOTICE = 0, 1, 2
 #: A span to be compared: bit 0 if another has the same bytes left of the anchor, bit 1 for those right of it,
 #: bit 2 if the anchor is common.
 _ASK = np.dtype([("key", "<u8"), ("sides", "u1")])
-_COLUMNS = ["<u4", "u1", "<u4", "u1", "u1", "u1", "<i8", "u1"]
+_COLUMNS = ["<u8", "<u8", "u1", "u1", "<i8", "u1"]
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
@@ -158,7 +168,7 @@ def _send(batch: pa.RecordBatch, n_buckets: int, most: int) -> pa.RecordBatch:
     rows: list[tuple] = []
     if found:
         anchor, piece, left, right, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-        key = span_keys(anchor >> np.uint64(24), piece >> np.uint64(24))
+        key = span_keys(anchor, piece)
         order = np.argsort(key, kind="stable") if not np.any(np.diff(doc) < 0) else np.lexsort((doc, key))
         new = np.append(True, key[order][1:] != key[order][:-1]) if len(key) else np.empty(0, bool)
         first = order[new]
@@ -179,7 +189,7 @@ def _send(batch: pa.RecordBatch, n_buckets: int, most: int) -> pa.RecordBatch:
         target = np.append(target, anchor[noticed] & np.uint64((1 << 24) - 1))
         anchor, piece, left, right, doc = (np.append(x, x[noticed]) for x in (anchor, piece, left, right, doc))
         kind = np.append(kind, np.full(len(noticed), NOTICE, np.uint8))
-        columns = [*_forty(anchor >> np.uint64(24)), *_forty(piece >> np.uint64(24)), left, right, doc, kind]
+        columns = [anchor, piece, left, right, doc, kind]
         bucket = (target % np.uint64(n_buckets)).astype(np.int32)
         order = np.lexsort((doc, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -190,10 +200,6 @@ def _send(batch: pa.RecordBatch, n_buckets: int, most: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(_rows(rows, _ROW), schema=_ROW)
 
 
-def _forty(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint8)
-
-
 def _unpacked(table: pa.Table) -> list[np.ndarray]:
     columns: list[list[np.ndarray]] = [[np.empty(0, t)] for t in _COLUMNS]
     for n, raw in zip(table["n"].to_pylist(), table["body"].to_pylist(), strict=True):
@@ -201,9 +207,7 @@ def _unpacked(table: pa.Table) -> list[np.ndarray]:
         for column, t in zip(columns, _COLUMNS, strict=True):
             column.append(np.frombuffer(raw, t, n, at))
             at += n * np.dtype(t).itemsize
-    a0, a1, p0, p1, left, right, doc, kind = (np.concatenate(c) for c in columns)
-    forty = lambda low, high: low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-    return [forty(a0, a1), forty(p0, p1), left, right, doc, kind]
+    return [np.concatenate(c) for c in columns]
 
 
 def _answers(doc: np.ndarray, key: np.ndarray, kind: int) -> list[tuple[int, int, bytes]]:
@@ -245,7 +249,8 @@ def _judge(table: pa.Table) -> pa.Table:
         wanted[common] = 7
         for which, side in ((1, left), (2, right)):
             there = np.flatnonzero((side > 0) & ~common)
-            group = anchor[there] << np.uint64(8) | side[there]
+            # Two groups that meet under one name are asked for more than they need, no more.
+            group = mix(anchor[there]) + side[there]
             order = np.argsort(group, kind="stable")
             there, group = there[order], group[order]
             new = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(there) else np.empty(0, np.int64)
@@ -499,11 +504,11 @@ def _by_kind(kinds, bodies) -> dict[int, bytes]:
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _told(bodies: list[list[bytes]], kind) -> np.ndarray:
-    """Names told to the documents of a slice, each salted with its document's number."""
-    names = [np.frombuffer(b"".join(b), kind) for b in bodies]
-    home = np.repeat(np.arange(len(names), dtype=np.uint64), [len(x) for x in names])
-    return (np.concatenate(names) if names else np.empty(0, kind)) + home * SALT
+def _told(bodies: list, kind) -> tuple[np.ndarray, np.ndarray]:
+    """What the documents of a slice are told, end to end, and to which document."""
+    told = [np.frombuffer(b"".join(b or []), kind) for b in bodies]
+    home = np.repeat(np.arange(len(told), dtype=np.uint64), [len(x) for x in told])
+    return np.concatenate(told) if told else np.empty(0, kind), home
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
@@ -570,17 +575,6 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     return every.groupBy("doc").agg(F.collect_list(F.struct("kind", "body")).alias("answers"))
 
 
-#: Tells equal names in different documents of a slice apart.
-SALT = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _told(bodies: list, kind) -> tuple[np.ndarray, np.ndarray]:
-    """What the documents of a slice are told, end to end, and to which document."""
-    told = [np.frombuffer(b"".join(b or []), kind) for b in bodies]
-    home = np.repeat(np.arange(len(told), dtype=np.uint64), [len(x) for x in told])
-    return np.concatenate(told) if told else np.empty(0, kind), home
-
-
 def removed_ranges(body: np.ndarray, offsets: np.ndarray, answers: list) -> tuple[np.ndarray, np.ndarray]:
     """Where removed runs start and end in the bytes of a slice's documents."""
     change = np.zeros(len(body) + 1, np.int32)

@@ -121,6 +121,24 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("bits", [6, 7, 9])
+def test_long_documents_are_scanned_in_parts(docs, rows, monkeypatch, bits):
+    values = np.random.default_rng(bits).integers(0, 1 << 40, 3_000).astype(np.uint64) << np.uint64(24)
+    whole = suffix_dedup.least_places(values, 35)
+    monkeypatch.setattr(suffix_dedup, "PLACE", bits)
+    assert np.array_equal(suffix_dedup.least_places(values, 35), whole)
+
+
+def test_pieces_are_told_apart_by_64_bits():
+    rng = np.random.default_rng(1)
+    anchor, piece = rng.integers(0, 1 << 62, 5).astype(np.uint64), rng.integers(0, 1 << 62, 5).astype(np.uint64)
+    low = piece ^ np.arange(1, 6, dtype=np.uint64)
+    assert not set(suffix_dedup.span_keys(anchor, piece).tolist()) & set(suffix_dedup.span_keys(anchor, low).tolist())
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 9]), pa.array(["ab" * 60, "the end " + "ab" * 60])], ["doc", "text"])
+    sent = suffix_dedup._unpacked(pa.Table.from_batches([suffix_dedup._send(batch, 1, 100)]).filter(pa.compute.is_null(pa.compute.field("doc"))))
+    assert sent[0].dtype == sent[1].dtype == np.uint64 and (sent[0] >> np.uint64(40)).any() and (sent[1] % np.uint64(1 << 20)).any()
+
+
 def test_common_anchors_change_nothing(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "ANCHOR_PIECES", 1)
     monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 20_000)
