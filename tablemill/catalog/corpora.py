@@ -113,8 +113,21 @@ def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Tables up to this size, by the planner's estimate, are dealt out before their cells are printed.
+SMALL_BYTES = 64 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table spread over all cores: as one row group it would be read, and printed, by one task.
+
+    Larger tables have pieces enough and stay as the reader cuts them.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
+
+
 def corpus(spark: SparkSession, sf: str, spec: Spec) -> Corpus:
-    df = source(spark, sf, spec.source)
+    df = dealt(source(spark, sf, spec.source))
     keys = spec.row_key or []
     named = df.select(
         F.expr(spec.member).alias("__m"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablemill.catalog import sql as S
@@ -20,10 +22,9 @@ from tablemill.catalog.corpora import (
 from tablemill.catalog.registry import query
 from tablemill.constants import FORMATS, HELD_OUT_CHUNKS, SAMPLE_SEED, SAMPLE_TABLES
 from tablemill.functions import text as X
-from tablemill.functions.tokens import count_words
+from tablemill.functions.tokens import count_words, file_tokenizer
 from tablemill.operators import checks, clean, fit, order, pack, render, shards
 from tablemill.plans.serialize import serialize
-from tablemill.session import stage
 from tablemill.sources.corpus import select_chunks, table_id, table_seed
 
 BUDGET = 200
@@ -514,6 +515,37 @@ def tokenized(spark, sf):
     return ids.withColumn("token_ids", F.array_join(F.transform("token_ids", lambda t: t.cast("string")), " "))
 
 
+def _tokenizer_file() -> str:
+    """A public tokenizer; library functions take any path."""
+    import public_tokenizers
+
+    return os.fspath(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("encode_segments")
+def encoded(spark, sf):
+    """Ids under a tokenizer file, which SQL can't give; tested against the tokenizer itself."""
+    ids = shards.encode_segments(serialize(prepared(spark, sf, NATION), BUDGET), _tokenizer_file())
+    return ids.withColumn("token_ids", F.array_join(F.transform("token_ids", lambda t: t.cast("string")), " "))
+
+
+@query("fit_rows_tokenizer_file")
+def fitted_by_file(spark, sf):
+    """Longest prefixes under a tokenizer file; tested against encoding every prefix."""
+    return fit.fit_rows(*prepared(spark, sf, NATION), BUDGET, file_tokenizer(_tokenizer_file())).select("table_id", "format", "fit_n", "n_rows")
+
+
+@query(
+    "split_by_position",
+    "SELECT doc_id, n_chars AS n_tokens, first_token::BIGINT AS first_token, CASE WHEN first_token * 1000 < total * 983 THEN 'train' ELSE 'valid' END AS part "
+    "FROM (SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_token, "
+    "sum(n_chars) OVER () AS total FROM documents)",
+)
+def split_documents(spark, sf):
+    docs = source(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("n_tokens"))
+    return shards.split_by_position(docs, ["doc_id"])
+
+
 SHARD_BYTES = f"shard AS (SELECT lang AS format, ({S.bucket('doc_id::VARCHAR', 28)}) AS shard, sum(n_chars) AS bytes FROM documents GROUP BY 1, 2)"
 
 

@@ -77,15 +77,9 @@ def tokens_keep_to_words(path: str) -> bool:
     return all(len(text.split()) <= 1 for text in tokenizer.decode_batch([[i] for i in ids], skip_special_tokens=False))
 
 
-def file_encoder(path: str) -> Callable[[Column], Column]:
-    """Token ids under a tokenizer file."""
-
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        encoded = _load(path).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
-        return pd.Series([e.ids for e in encoded])
-
-    return lambda text: F.when(text.isNotNull(), encode(text))
+def file_ids(path: str, texts: list[str | None]) -> list[list[int]]:
+    """Token ids of texts under a tokenizer file; a NULL text has none."""
+    return [e.ids for e in _load(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 _LOADED: dict = {}

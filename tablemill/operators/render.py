@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablemill.constants import FORMATS
 from tablemill.functions.text import csv_quote, float_text, json_string, let, three_digits
 from tablemill.functions.tokens import is_blank
 
@@ -381,8 +380,3 @@ def header_texts(first_row: Column, columns: Column) -> dict[str, Column]:
         "markdown": F.concat(let(widths, lambda w: markdown_header(columns, w)), F.lit("\n")),
         "sql_schema": F.concat(sql_header(None, columns), csv, csv),
     }
-
-
-def formats_table(df: DataFrame, formats: list[str] = FORMATS) -> DataFrame:
-    """One row per format for each input row."""
-    return df.withColumn("format", F.explode(F.array(*[F.lit(f) for f in formats])))

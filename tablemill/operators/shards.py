@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablemill.constants import TOKEN_SHARDS, TRAIN_PER_MILLE, TRAIN_SHARDS
-from tablemill.functions.tokens import file_encoder, words
+from tablemill.functions.tokens import file_ids, words
 from tablemill.operators.prefix import prefix_sums
 from tablemill.session import stage
 
@@ -144,8 +144,15 @@ def tokenize_segments(segments: DataFrame, vocab: DataFrame | None = None) -> Da
 
 def encode_segments(segments: DataFrame, path: str) -> DataFrame:
     """The same under a tokenizer file: no vocabulary, no shuffle. The shards are those of `tokenize_segments`."""
-    ids = file_encoder(path)(F.col("text"))
-    return _sharded(segments.where("text IS NOT NULL").withColumn("token_ids", ids)).where(F.size("token_ids") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array(file_ids(path, batch["text"].to_pylist()), pa.list_(pa.int64()))
+            named = [batch[c] for c in ("format", "table_id")]
+            yield pa.RecordBatch.from_arrays([*named, batch["seg_no"].cast(pa.int64()), ids], ["format", "table_id", "seg_no", "token_ids"])
+
+    found = segments.select("format", "table_id", "seg_no", "text").mapInArrow(run, "format string, table_id string, seg_no bigint, token_ids array<bigint>")
+    return _sharded(found).where(F.size("token_ids") > 0)
 
 
 def shard_select(sizes: DataFrame, wanted: int = TRAIN_SHARDS) -> DataFrame:
