@@ -156,19 +156,20 @@ def test_an_interrupted_write_resumes_without_duplicates(spark, tmp_path, monkey
     first = answered(None, ["chunk0001__t0"])
     evaluate.write(*first, folder, "a")
     evaluate.write(*first, folder, "a")  # a batch that is there adds nothing
+    second = answered(evaluate.stored(spark, folder).completed, ["chunk0001__t1"])
     for sink in ("write_ground_truth", "write_clean_tables", "append_completed"):
         with monkeypatch.context() as broken:
             broken.setattr(files, sink, lambda *_: (_ for _ in ()).throw(OSError("stopped")))
             with pytest.raises(OSError):
-                evaluate.write(*answered(evaluate.stored(spark, folder).completed, ["chunk0001__t1"]), folder)
+                evaluate.write(*second, folder)
     with monkeypatch.context() as broken:
         broken.setattr(commits, "commit", lambda *_: (_ for _ in ()).throw(OSError("stopped")))
         with pytest.raises(OSError):
-            evaluate.write(*answered(evaluate.stored(spark, folder).completed, ["chunk0001__t1"]), folder, "b")
+            evaluate.write(*second, folder, "b")
     kept = evaluate.stored(spark, folder)
     assert kept.pairs.count() == len(PAIR_TYPES) * len(FORMATS)
     assert "chunk0001__t1" not in {r.table_id for r in kept.completed.collect()}
-    evaluate.write(*answered(kept.completed, ["chunk0001__t1"]), folder, "b")
+    evaluate.write(*second, folder, "b")
     kept = evaluate.stored(spark, folder)
     assert kept.pairs.count() == kept.pairs.distinct().count() == 2 * len(PAIR_TYPES) * len(FORMATS)
     assert kept.ground_truth.count() == 2 * len(PAIR_TYPES)
