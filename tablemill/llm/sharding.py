@@ -163,7 +163,7 @@ def shuffle_to_shards(rows: DataFrame, n_shards: int, seed: int = 1) -> DataFram
     `rows` must be a stored table or another stable source of narrow rows. Every permutation of the
     rows over the slots is equally likely over seeds, up to double precision of the draws' weights.
     Nulls and repeated rows are rows like any other; an empty table stays empty. Columns named
-    __piece, __row, __chunk, __counts, __rank are overwritten.
+    shard, slot, __piece, __row, __chunk, __counts, __rank are overwritten.
     """
     spark = rows.sparkSession
     local = F.monotonically_increasing_id()

@@ -84,7 +84,9 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
-    copies = Window.partitionBy("page_id", "digest").orderBy("url")
+    # Pages without an id are no copies of each other; they only must not meet in one task.
+    apart = F.when(F.col("page_id").isNull(), F.xxhash64("url"))
+    copies = Window.partitionBy("page_id", "digest", apart).orderBy("url")
     rows = rows.withColumn("copy", F.row_number().over(copies))
     rows = rows.join(first_holders(pages), ["page_id", "digest"], "left")
     again = (F.col("copy") > 1) & F.col("page_id").isNotNull() & (F.octet_length("html") >= LEAST)

@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 from collections import Counter
 
 import pytest
@@ -22,6 +23,28 @@ def test_shards_have_exact_sizes(spark, clashing, rows, chunk_rows, monkeypatch)
     assert sorted([(r["doc_id"], r["text"]) for r in found], key=repr) == sorted(rows, key=repr)
 
 
+def test_shard_query(spark, docs, rows, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = sharding.op4_sharding(spark, str(tmp_path)).collect()
+    raw = [(d, (t or "").encode()) for d, t in rows]
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in found), key=repr) == sorted(((d, len(b) + 16, zlib.crc32(b)) for d, b in raw), key=repr)
+    assert {(r["law"], r["grown_shard"]) for r in found} == {("rows", None)}
+    sizes = Counter(r["shard"] for r in found)
+    assert set(sizes) <= set(range(40)) and max(sizes.values()) - (min(sizes.values()) if len(sizes) == 40 else 0) <= 1
+    assert sorted((r["shard"], r["slot"]) for r in found) == [(s, k) for s in sorted(sizes) for k in range(sizes[s])]
+    kinds = dict(sharding.op4_sharding(spark, str(tmp_path)).dtypes)
+    assert kinds == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+
+
+@pytest.mark.parametrize("rows_of_a_chunk", [10, 40])
+def test_shards_of_several_ranges(spark, docs, rows, monkeypatch, rows_of_a_chunk):
+    monkeypatch.setattr(sharding, "CHUNK", rows_of_a_chunk)
+    found = sharding.shuffle_to_shards(docs.withColumns({"shard": F.lit("own"), "slot": F.lit("own")}), 2).collect()
+    for shard in (0, 1):
+        assert sorted(r["slot"] for r in found if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in found)))
+    assert sorted([(r["doc_id"], r["text"]) for r in found], key=repr) == sorted(rows, key=repr)
+
+
 def test_no_rows_and_fewer_rows_than_shards(spark, empty, docs):
     assert sharding.shuffle_to_shards(empty, 5).count() == 0
     few = sharding.shuffle_to_shards(docs.limit(3), 5)
