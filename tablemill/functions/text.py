@@ -73,17 +73,19 @@ def _exponent_text(java: Column) -> Column:
 SUBNORMAL = 2.0**-1022
 
 
-def float_text(value: Column, single: bool = False) -> Column:
+def float_text(value: Column, single: bool = False, every: bool = False) -> Column:
     """The shortest decimal text that reads back as the same number.
 
     `1.0`, `0.0001`, `1e-05`, `1e+16`, `inf`; NaN counts as missing. With
-    `single`, the digits are those of a 32-bit number.
+    `single`, the digits are those of a 32-bit number. With `every`, subnormal numbers, whole numbers from 1e16
+    and powers of two are printed right as well; that expression is large, so it is for
+    reading tables, once, and not for each format.
     """
     number = value.cast("float" if single else "double")
-    return let(number, lambda n: let(n.cast("string"), lambda java: _float_text(n, java, single)))
+    return let(number, lambda n: let(n.cast("string"), lambda java: _float_text(n, java, single, every)))
 
 
-def _float_text(number: Column, java: Column, single: bool) -> Column:
+def _float_text(number: Column, java: Column, single: bool, every: bool) -> Column:
     size = F.abs(number)
     fixed = _strip_zeros(java.cast("decimal(38,21)").cast("string"))
     fixed = let(
@@ -94,16 +96,20 @@ def _float_text(number: Column, java: Column, single: bool) -> Column:
         # Java 17 may print a digit too many for very large or small numbers, and prints two at least.
         def shortest(places: range) -> Column:
             shorter = [_pattern(number, "0." + "#" * p + "E0" if p else "0E0") for p in places]
-            # Below a power of two doubles lie closer than above it, so what reads back may be the farther neighbour.
-            shorter.insert(-1, let(_pattern(number, "0." + "#" * 16 + "E0"), _next_up))
+            if every:
+                # Below a power of two doubles lie closer than above it, so what reads back may be the farther neighbour.
+                shorter.insert(-1, let(_pattern(number, "0." + "#" * 16 + "E0"), _next_up))
             return F.coalesce(*[F.when(text.cast("double") == number, text) for text in shorter], java)
 
-        digits = (
-            F.when(size < SUBNORMAL, shortest(range(17)))
-            .when((size >= 1e16) & (size < 1e38), _whole_digits(number, size, java))
-            .when((size >= 1e16) | (size < 1e-4), shortest(range(14, 17)))
-            .otherwise(java)
-        )
+        if every:
+            digits = (
+                F.when(size < SUBNORMAL, shortest(range(17)))
+                .when((size >= 1e16) & (size < 1e38), _whole_digits(number, size, java))
+                .when((size >= 1e16) | (size < 1e-4), shortest(range(14, 17)))
+                .otherwise(java)
+            )
+        else:
+            digits = F.when((size >= 1e16) | (size < 1e-12), shortest(range(14, 17))).otherwise(java)
     return (
         F.when(F.isnan(number) | number.isNull(), F.lit(None).cast("string"))
         .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), java)

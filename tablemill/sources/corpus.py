@@ -87,7 +87,7 @@ def corpus_from_tables(
 
     # One expression prints all floats of a row.
     values = F.array(*[F.col(f"`{src}`") for src in doubles])
-    floats = F.transform(values, lambda v: float_text(v)) if doubles else values
+    floats = F.transform(values, lambda v: float_text(v, every=True)) if doubles else values
     cells = F.array(*[text(name, src) for name, src in named_columns])
     layout = F.array(
         *[

@@ -24,6 +24,6 @@ def doubles(rng, kind):
 @pytest.mark.parametrize("kind", ["bits", "subnormal", "whole", "powers"])
 def test_doubles_print_as_in_python(spark, kind):
     values = [v for v in doubles(random.Random(11), kind) if v == v]
-    found = spark.createDataFrame([(v,) for v in values], "v double").select("v", float_text(F.col("v")).alias("t")).collect()
+    found = spark.createDataFrame([(v,) for v in values], "v double").select("v", float_text(F.col("v"), every=True).alias("t")).collect()
     assert [(r["v"], r["t"]) for r in found if r["t"] != repr(r["v"])] == []
     assert len(found) == len(values)
