@@ -6,7 +6,7 @@ The building blocks are common table expressions over long rows: one row per cel
 from __future__ import annotations
 
 from tablemill.catalog.corpora import Spec
-from tablemill.constants import MAX_CELL_CHARS, WIDE_SPACES, WORD
+from tablemill.constants import MAX_CELL_CHARS, SPACES, WIDE_SPACES, WORD
 
 ARROW = {
     "bigint": "int64",
@@ -133,7 +133,8 @@ tabs AS (SELECT table_id, any_value(chunk) AS chunk, any_value(member) AS member
                 bool_and(kind IN {NUMERIC}) AND bool_or(kind IN {FLOATING}) AS kv_floats
          FROM kept GROUP BY table_id),
 cell AS (SELECT l.table_id, l.ord, k.i, k.name, k.kind, k.sql_type, t.n_cols, t.kv_floats, t.n_rows,
-                CASE WHEN k.kind = 'int_nullable' THEN l.cell::DOUBLE::VARCHAR ELSE l.cell END AS cell
+                CASE WHEN k.kind = 'int_nullable' THEN l.cell::DOUBLE::VARCHAR ELSE l.cell END AS cell,
+                {md_type()} AS md_type
          FROM long l JOIN kept k USING (table_id, pos) JOIN tabs t USING (table_id))"""
 
 
@@ -180,18 +181,98 @@ def phrase() -> str:
     )
 
 
-def md_cell() -> str:
-    return f"coalesce(cell, CASE WHEN kind IN {NUMERIC} THEN 'nan' ELSE '' END)"
+def strip(text: str) -> str:
+    return f"trim({text}, '{SPACES}')"
 
 
-def pad(text: str, width: str) -> str:
-    fill = f"repeat(' ', greatest(0, ({width}) - length({text}))::BIGINT)"
-    return f"CASE WHEN kind IN {NUMERIC} THEN {fill} || {text} ELSE {text} || {fill} END"
+def breaks(text: str) -> str:
+    return f"coalesce(contains({text}, chr(10)) OR contains({text}, chr(13)), false)"
+
+
+def md_number(text: str) -> str:
+    return f"try_cast(replace({strip(text)}, '_', '') AS DOUBLE)"
+
+
+def md_type() -> str:
+    """Type of one cell for Markdown: 1 none or boolean, 2 whole number, 3 number, 4 text."""
+    digits = "[0-9]+(_[0-9]+)*"
+    number = rf"[-+]?({digits}\.?({digits})?|\.{digits})([eE][-+]?{digits})?"
+    return (
+        f"CASE WHEN k.kind IN {FLOATING} OR (k.kind = 'int' AND t.kv_floats) THEN 3 WHEN k.kind = 'int' THEN 2 "
+        "WHEN k.kind <> 'object' THEN 4 WHEN l.cell IS NULL OR l.cell IN ('True', 'False') THEN 1 "
+        f"WHEN regexp_full_match({strip('l.cell')}, '[-+]?{digits}') THEN 2 "
+        f"WHEN regexp_full_match({strip('l.cell')}, '{number}') AND isfinite({md_number('l.cell')}) THEN 3 "
+        "WHEN lower(l.cell) IN ('inf', '-inf', 'nan') THEN 3 ELSE 4 END"
+    )
+
+
+def md_text(kind: str) -> str:
+    """A cell as it prints in a column of type `kind`."""
+    return (
+        f"CASE WHEN cell IS NULL THEN CASE WHEN kind IN {NUMERIC} THEN 'nan' WHEN kind = 'time' THEN 'NaT' ELSE '' END "
+        f"WHEN {kind} = 3 AND cell NOT IN ('True', 'False') THEN coalesce(format('{{:g}}', {md_number('cell')}), 'nan') "
+        f"WHEN {kind} = 4 THEN {strip('cell')} ELSE cell END"
+    )
+
+
+def md_after(text: str) -> str:
+    """Characters after the point, or after an exponent's sign."""
+    return (
+        f"CASE WHEN NOT regexp_matches({text}, '^[-+]?[0-9]') THEN -1 WHEN contains({text}, '.') THEN length({text}) - strpos({text}, '.') "
+        f"WHEN contains({text}, 'e') THEN length({text}) - strpos({text}, 'e') ELSE -1 END"
+    )
+
+
+def md_width(text: str) -> str:
+    return f"coalesce(list_max(list_transform(regexp_split_to_array({text}, '[\\r\\n]'), lambda x: length(x))), 0)"
+
+
+NEWLINE = "[\\r\\n]"
+LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+
+
+def md_slices(name: str, source: str, keys: str) -> str:
+    """Markdown of slices of `source` told apart by `keys`: `<name>_lines(keys, ord, markdown)`, `<name>_tops(keys, md)`."""
+    column = f"PARTITION BY {keys}, i"
+    after = md_after("md_text")
+    return f"""{name}_1 AS (SELECT *, max(md_type) OVER ({column}) AS shown,
+     bool_or({breaks('cell')} OR {breaks('name')}) OVER (PARTITION BY {keys}) AS stacked FROM {source}),
+{name}_2 AS (SELECT *, {md_text('shown')} AS md_text FROM {name}_1),
+{name}_3 AS (SELECT * REPLACE (CASE WHEN shown = 3 THEN md_text || repeat(' ', (max({after}) OVER ({column}) - {after})::BIGINT)
+     ELSE md_text END AS md_text) FROM {name}_2),
+{name}_4 AS (SELECT *, greatest({md_width('name')} + 2, max({md_width('md_text')}) OVER ({column})) AS width FROM {name}_3),
+{name}_lines AS (SELECT {keys}, ord, {md_line('stacked')} AS markdown FROM (
+     SELECT {keys}, ord, any_value(stacked) AS stacked, {md_cells('md_text', LINE_BREAK)} AS ps FROM {name}_4 GROUP BY ALL)),
+{name}_tops AS (SELECT {keys}, {md_line('stacked')} || chr(10) || '|' || rules || '|' AS md FROM (
+     SELECT {keys}, bool_or({breaks('name')}) AS stacked, {md_cells('name', NEWLINE)} AS ps,
+       string_agg({md_rule('width')}, '|' ORDER BY i) AS rules
+     FROM (SELECT DISTINCT ON ({keys}, i) * FROM {name}_4) GROUP BY ALL))"""
+
+
+def md_cells(text: str, pattern: str) -> str:
+    """The cells of a line, whole and in pieces, with width and type of their columns."""
+    parts = f"regexp_split_to_array({text}, '{pattern}')"
+    parts = f"CASE WHEN len({parts}) > 1 AND {parts}[-1] = '' THEN {parts}[:-2] ELSE {parts} END"
+    return f"list({{'whole': {text}, 'parts': {parts}, 'width': width, 'shown': shown}} ORDER BY i)"
+
+
+def md_line(stacked: str) -> str:
+    """The one or more lines of the cells in `ps`."""
+
+    def joined(text: str) -> str:
+        fill = f"repeat(' ', greatest(0, p.width - length({text}))::BIGINT)"
+        padded = f"CASE WHEN p.shown IN (2, 3) THEN {fill} || {text} ELSE {text} || {fill} END"
+        return f"'| ' || array_to_string(list_transform(ps, lambda p: {padded}), ' | ') || ' |'"
+
+    most = "list_max(list_transform(ps, lambda p: len(p.parts)))"
+    piece = joined("coalesce(p.parts[k], '')")
+    stack = f"list_transform(range(1, {most} + 1), lambda k: {piece})"
+    return f"CASE WHEN {stacked} THEN array_to_string({stack}, chr(10)) ELSE {joined('p.whole')} END"
 
 
 def md_rule(width: str) -> str:
     dashes = f"repeat('-', (({width}) + 1)::BIGINT)"
-    return f"CASE WHEN kind IN {NUMERIC} THEN {dashes} || ':' ELSE ':' || {dashes} END"
+    return f"CASE WHEN shown IN (2, 3) THEN {dashes} || ':' ELSE ':' || {dashes} END"
 
 
 OWN_MODE = (
@@ -206,32 +287,27 @@ def lone(text: str) -> str:
 
 def row_texts(spec: Spec) -> str:
     """`texts`: one row per table row with its own text in each format."""
-    width = f"greatest(length(name) + 2, length({md_cell()}))"
     csv = f"string_agg({csv_cell(OWN_MODE)}, ',' ORDER BY i)"
     return f"""{cells(spec)},
-texts AS (SELECT table_id, ord, any_value(n_rows) AS n_rows,
+{md_slices('md', '(SELECT *, ord AS row FROM cell)', 'table_id, row')},
+texts AS (SELECT * FROM (SELECT table_id, ord, any_value(n_rows) AS n_rows,
   {lone(csv)} AS csv,
   '{{' || string_agg({json_cell()}, ', ' ORDER BY i) || '}}' AS json,
-  string_agg({phrase()}, '. ' ORDER BY i) || '.' AS keyvalue,
-  '| ' || string_agg({pad(md_cell(), width)}, ' | ' ORDER BY i) || ' |' AS markdown
-  FROM cell GROUP BY table_id, ord)"""
+  string_agg({phrase()}, '. ' ORDER BY i) || '.' AS keyvalue
+  FROM cell GROUP BY table_id, ord) JOIN (SELECT table_id, ord, markdown FROM md_lines) USING (table_id, ord))"""
 
 
 def costs(spec: Spec) -> str:
     """`costs(table_id, format, ord, cost, header)` for all formats."""
-    width = f"greatest(length(name) + 2, length({md_cell()}))"
     csv_names = f"string_agg({quote('name')}, ',' ORDER BY i) || chr(10)"
     created = (
         "'CREATE TABLE data (' || chr(10) || string_agg('    \"' || name || '\" ' || sql_type, "
         "',' || chr(10) ORDER BY i) || chr(10) || ');' || chr(10)"
     )
-    md = (
-        f"'| ' || string_agg({pad('name', width)}, ' | ' ORDER BY i) || ' |' || chr(10) || '|' || "
-        f"string_agg({md_rule(width)}, '|' ORDER BY i) || '|' || chr(10)"
-    )
     return f"""{row_texts(spec)},
-heads AS (SELECT table_id, {csv_names} AS h_csv, {created} || {csv_names} || {csv_names} AS h_sql,
-                 {md} AS h_md FROM cell WHERE ord = 0 GROUP BY table_id),
+heads AS (SELECT table_id, h_csv, h_sql, md AS h_md FROM (
+            SELECT table_id, {csv_names} AS h_csv, {created} || {csv_names} || {csv_names} AS h_sql
+            FROM cell WHERE ord = 0 GROUP BY table_id) JOIN md_tops USING (table_id) WHERE md_tops.row = 0),
 headers AS (
   SELECT table_id, 'csv' AS format, {tokens('h_csv')} AS header FROM heads
   UNION ALL SELECT table_id, 'json', {tokens("'[]'")} FROM heads
@@ -270,40 +346,38 @@ packed AS (SELECT table_id, format, ord, row_seg AS seg FROM walk)"""
 def slices(source: str) -> str:
     """`slice_text(table_id, format, seg, text)` from `source(table_id, format, ord, seg)`."""
     group = "PARTITION BY table_id, format, seg, i"
-    width = f"greatest(length(name) + 2, max(length({md_cell()})) OVER ({group}))"
     low, high = f"min(v) OVER ({group})", f"max(v) OVER ({group})"
     ilow, ihigh = f"min(w) OVER ({group})", f"max(w) OVER ({group})"
     return f"""
 sl AS (SELECT s.format, s.seg, c.*, CASE WHEN sql_type = 'FLOAT' THEN cell::DOUBLE END AS v,
               CASE WHEN sql_type = 'INT' THEN cell::DOUBLE::DECIMAL(38,0) END AS w
        FROM cell c JOIN {source} s USING (table_id, ord) WHERE s.seg IS NOT NULL),
-sw AS (SELECT *, {time_mode(f'OVER ({group})')} AS mode, {width} AS width,
+sw AS (SELECT *, {time_mode(f'OVER ({group})')} AS mode,
          CASE WHEN count(cell) OVER ({group}) = 0 THEN ''
               WHEN sql_type = 'FLOAT' THEN ' -- range: ' || format('{{:.3g}}', {low}) || ' to ' || format('{{:.3g}}', {high})
               WHEN sql_type = 'INT' THEN ' -- range: ' || ({ilow})::VARCHAR || ' to ' || ({ihigh})::VARCHAR
               ELSE '' END AS bounds
        FROM sl),
+{md_slices('part', "(SELECT * FROM sl WHERE format = 'markdown')", 'table_id, format, seg')},
 lines AS (SELECT table_id, format, seg, ord, CASE format
      WHEN 'json' THEN '{{' || string_agg({json_cell()}, ', ' ORDER BY i) || '}}'
      WHEN 'keyvalue' THEN string_agg({phrase()}, '. ' ORDER BY i) || '.'
-     WHEN 'markdown' THEN '| ' || string_agg({pad(md_cell(), 'width')}, ' | ' ORDER BY i) || ' |'
+     WHEN 'markdown' THEN ''
      ELSE {lone(f"string_agg({csv_cell('mode')}, ',' ORDER BY i)")} END AS line
    FROM sw GROUP BY table_id, format, seg, ord),
 bodies AS (SELECT table_id, format, seg, min(ord) AS start_ord, max(ord) + 1 AS end_ord,
      CASE WHEN format = 'json' THEN string_agg(line, ', ' ORDER BY ord)
-          ELSE string_agg(line, chr(10) ORDER BY ord) END AS body
-   FROM lines GROUP BY table_id, format, seg),
+          ELSE string_agg(coalesce(markdown, line), chr(10) ORDER BY ord) END AS body
+   FROM lines LEFT JOIN part_lines USING (table_id, format, seg, ord) GROUP BY table_id, format, seg),
 tops AS (SELECT table_id, format, seg,
      string_agg({quote('name')}, ',' ORDER BY i) || chr(10) AS names,
      'CREATE TABLE data (' || chr(10) || string_agg('    "' || name || '" ' || sql_type || bounds,
-        ',' || chr(10) ORDER BY i) || chr(10) || ');' || chr(10) AS created,
-     '| ' || string_agg({pad('name', 'width')}, ' | ' ORDER BY i) || ' |' || chr(10) || '|' ||
-        string_agg({md_rule('width')}, '|' ORDER BY i) || '|' || chr(10) AS md
+        ',' || chr(10) ORDER BY i) || chr(10) || ');' || chr(10) AS created
    FROM (SELECT DISTINCT ON (table_id, format, seg, i) * FROM sw) GROUP BY table_id, format, seg),
 slice_text AS (SELECT table_id, format, seg, start_ord, end_ord, CASE format
      WHEN 'csv' THEN rtrim(names || body, chr(10))
      WHEN 'json' THEN '[' || body || ']'
      WHEN 'keyvalue' THEN coalesce(body, '')
-     WHEN 'markdown' THEN md || body
+     WHEN 'markdown' THEN md || chr(10) || body
      ELSE created || names || body || chr(10) END AS text
-   FROM bodies JOIN tops USING (table_id, format, seg))"""
+   FROM bodies JOIN tops USING (table_id, format, seg) LEFT JOIN part_tops USING (table_id, format, seg))"""

@@ -43,3 +43,4 @@ WIDE_SPACES = (
     "\x85\xa0        "
     "        　"
 )
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f " + WIDE_SPACES

@@ -168,28 +168,44 @@ def _whole_digits(number: Column, size: Column, java: Column) -> Column:
 
 def three_digits(value: Column) -> Column:
     """A number at three significant digits: `12.3`, `12`, `1.23e+04`, `0.0012`."""
-    return let(value.cast("double"), _three_digits)
+    return significant(value, 3)
 
 
-def _three_digits(number: Column) -> Column:
-    four = _pattern(number, "0.000E0")
+def six_digits(value: Column) -> Column:
+    """A number at six significant digits: `12345.7`, `12`, `1.23457e+06`, `0.0012`."""
+    return significant(value, 6)
+
+
+def significant(value: Column, places: int) -> Column:
+    """A number at `places` significant digits without trailing zeros; NaN and missing ones are NULL.
+
+    Subnormal numbers, which have fewer digits, may print fewer.
+    """
+    return let(value.cast("double"), lambda number: _significant(number, places))
+
+
+def _significant(number: Column, places: int) -> Column:
+    zeros = "0" * (places - 1)
+    longer = _pattern(number, f"0.{zeros}0E0")
+    # A tie of one digit more is exact only with few bits after the point: m / 2^k has k digits there.
+    bits = 2.0 ** max(k for k in range(places * 4) if 5**k < 10 ** (places + 1))
     exact_tie = (
-        four.rlike(r"^-?\d\.\d[02468]5E")
-        & (four.cast("double") == number)
-        & (number * 32 == F.rint(number * 32))
+        longer.rlike(rf"^-?\d\.\d{{{places - 2}}}[02468]5E")
+        & (longer.cast("double") == number)
+        & (number * bits == F.rint(number * bits))
     )
-    scientific = F.when(exact_tie, F.replace(four, F.lit("5E"), F.lit("E"))).otherwise(
-        _pattern(number, "0.00E0")
+    scientific = F.when(exact_tie, F.replace(longer, F.lit("5E"), F.lit("E"))).otherwise(
+        _pattern(number, f"0.{zeros}E0")
     )
     power = F.substring_index(scientific, "E", -1).cast("int")
     fixed = F.rtrim(
-        _strip_zeros(scientific.cast("decimal(20,8)").cast("string")), F.lit(".")
+        _strip_zeros(scientific.cast(f"decimal(20,{places + 5})").cast("string")), F.lit(".")
     )
     return (
         F.when(number.isNull() | F.isnan(number), F.lit(None).cast("string"))
         .when(F.abs(number) == float("inf"), F.when(number > 0, "inf").otherwise("-inf"))
         .when(number == 0, F.when(number.cast("string").startswith("-"), "-0").otherwise("0"))
-        .when(power.between(-4, 2), fixed)
+        .when(power.between(-4, places - 1), fixed)
         .otherwise(_exponent_text(scientific))
     )
 

@@ -7,9 +7,12 @@ worth preparing once per table. Slices are bounded by the token budget.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablemill.functions.text import csv_quote, float_text, json_string, let, three_digits
+from tablemill.constants import SPACES
+from tablemill.functions.text import csv_quote, float_text, json_string, let, six_digits, three_digits
 from tablemill.functions.tokens import is_blank
 
 NUMERIC = ["int", "int_nullable", "float", "single"]
@@ -197,75 +200,242 @@ def json_table(rows: Column, columns: Column) -> Column:
 
 
 # --- Markdown --------------------------------------------------------------
+#
+# A column prints by the most general type of its cells in the slice: whole numbers as they are, numbers with
+# six significant digits, anything else as stripped text. Text that reads as a number counts as one. Numbers
+# align at their decimal points. A cell with line breaks takes as many lines as it has.
+
+BOOLS, WHOLES, NUMBERS, TEXTS = 1, 2, 3, 4
+_DIGITS = "[0-9]+(_[0-9]+)*"
+#: Text that reads as a whole number, or as any number, with blanks around it.
+WHOLE_TEXT = f"^[-+]?{_DIGITS}$"
+NUMBER_TEXT = rf"^([-+]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][-+]?{_DIGITS})?|-?[iI][nN][fF]|[nN][aA][nN])$"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def _stripped(text: Column) -> Column:
+    plain = F.substring(text, 1, 1).between("!", "~") & F.substring(text, -1, 1).between("!", "~")
+    return F.when(plain, text).otherwise(F.btrim(text, F.lit(SPACES)))
+
+
+def _number(text: Column) -> Column:
+    return F.translate(_stripped(text), "_", "").try_cast("double")
+
+
+def _cell_type(cell: Column, arrow_type: Column) -> Column:
+    """Type of a cell of a column of objects; too large a number is text."""
+    # What doesn't start like a number needs no pattern.
+    start = F.substring(cell, 1, 1)
+    typed = let(
+        _stripped(cell),
+        lambda t: F.when(t.rlike(WHOLE_TEXT) & ~arrow_type.startswith("decimal"), WHOLES)
+        .when(t.rlike("[0-9]") & t.rlike(NUMBER_TEXT) & (F.abs(_number(t)) < float("inf")), NUMBERS)
+        .when(F.lower(cell).isin("inf", "-inf", "nan"), NUMBERS)
+        .otherwise(TEXTS),
+        "int",
+    )
+    return (
+        F.when(cell.isNull() | cell.isin("True", "False"), BOOLS)
+        .when(start.between("A", "Z") & ~start.isin("I", "N"), TEXTS)
+        .when(start.between("a", "z") & ~start.isin("i", "n"), TEXTS)
+        .otherwise(typed)
+    )
+
+
+def markdown_types(rows: Column, columns: Column) -> Column:
+    """Per column the type it prints by; whole numbers beside floats only are floats."""
+    floats = F.forall(columns, lambda c: c["kind"].isin(NUMERIC)) & F.exists(
+        columns, lambda c: c["kind"].isin(FLOATING)
+    )
+
+    def of_cells(c: Column, i: Column) -> Column:
+        """Folds over the rows; after a text no cell is looked at."""
+        return F.aggregate(
+            rows,
+            F.lit(BOOLS),
+            lambda t, r: F.when(t == TEXTS, t).otherwise(F.greatest(t, _cell_type(F.get(r, i), c["arrow_type"]))),
+        )
+
+    return let(
+        floats,
+        lambda all_floats: F.transform(
+            columns,
+            lambda c, i: F.when(c["kind"].isin(FLOATING) | ((c["kind"] == "int") & all_floats), NUMBERS)
+            .when(c["kind"] == "int", WHOLES)
+            .when(c["kind"] == "object", of_cells(c, i))
+            .otherwise(TEXTS),
+        ),
+        "array<int>",
+    )
+
+
+def markdown_cell(cell: Column, kind: Column, kind_printed: Column) -> Column:
+    """A cell as it prints in a column of type `kind_printed`, before it is aligned."""
+    missing = F.when(kind.isin(NUMERIC), "nan").when(kind == "time", "NaT").otherwise("")
+    # The text of a float with at most six digits only loses its zeros.
+    short = kind.isin(FLOATING) & (F.length(cell) <= 7) & cell.contains(".") & ~cell.contains("e")
+    number = (
+        F.when(short, F.rtrim(F.rtrim(cell, F.lit("0")), F.lit(".")))
+        .when(cell.isin("True", "False"), cell)
+        .otherwise(F.coalesce(six_digits(_number(cell)), F.lit("nan")))
+    )
+    return (
+        F.when(cell.isNull(), missing)
+        .when(kind_printed == NUMBERS, number)
+        .when(kind_printed == TEXTS, _stripped(cell))
+        .otherwise(cell)
+    )
+
+
+def _decimals(text: Column) -> Column:
+    """Characters after the point, or after the exponent sign of a number without one; else -1."""
+    point = F.when(text.contains("."), F.instr(text, ".")).when(text.contains("e"), F.instr(text, "e"))
+    return F.when(text.rlike("^[-+]?[0-9]"), F.coalesce(F.length(text) - point, F.lit(-1))).otherwise(-1)
+
+
+def _is_number(kind_printed: Column) -> Column:
+    return kind_printed.isin(WHOLES, NUMBERS)
+
+
+def _printed(rows: Column, columns: Column, types: Column) -> Column:
+    """Rows of cells as they print, points aligned in columns of numbers."""
+
+    def plain(r: Column) -> Column:
+        return F.transform(columns, lambda c, i: markdown_cell(F.get(r, i), c["kind"], F.get(types, i)))
+
+    def aligned(texts: Column) -> Column:
+        def most(t: Column, i: Column) -> Column:
+            return F.when(t == NUMBERS, F.array_max(F.transform(texts, lambda r: _decimals(F.get(r, i)))))
+
+        def cell(text: Column, deepest: Column) -> Column:
+            return F.when(deepest.isNull(), text).otherwise(
+                F.concat(text, F.repeat(F.lit(" "), deepest - _decimals(text)))
+            )
+
+        return let(
+            F.transform(types, most),
+            lambda deepest: F.transform(texts, lambda r: F.transform(r, lambda x, i: cell(x, F.get(deepest, i)))),
+            "array<array<string>>",
+        )
+
+    return let(
+        F.transform(rows, plain),
+        lambda texts: F.when(F.exists(types, lambda t: t == NUMBERS), aligned(texts)).otherwise(texts),
+        "array<array<string>>",
+    )
 
 
-def markdown_cell(cell: Column, kind: Column) -> Column:
-    return F.coalesce(cell, F.when(kind.isin(NUMERIC), "nan").otherwise(""))
+def _has_break(text: Column) -> Column:
+    return F.coalesce(text.contains("\n") | text.contains("\r"), F.lit(False))
 
 
-def markdown_widths(rows: Column, columns: Column) -> Column:
+def _width(text: Column) -> Column:
+    """The longest line of a text."""
+    lines = F.split(text, "[\r\n]", -1)
+    return F.when(_has_break(text), F.array_max(F.transform(lines, F.length))).otherwise(F.length(text))
+
+
+def markdown_widths(printed: Column, columns: Column) -> Column:
     """Per column: the longest cell, or the name and two more."""
 
     def width(c: Column, i: Column) -> Column:
-        lengths = F.transform(rows, lambda r: F.length(markdown_cell(F.get(r, i), c["kind"])))
-        return F.greatest(F.length(c["name"]) + 2, F.coalesce(F.array_max(lengths), F.lit(0)))
+        lengths = F.transform(printed, lambda r: _width(F.get(r, i)))
+        return F.greatest(_width(c["name"]) + 2, F.coalesce(F.array_max(lengths), F.lit(0)))
 
     return F.transform(columns, width)
 
 
-def _pad(text: Column, kind: Column, width: Column) -> Column:
-    return F.when(kind.isin(NUMERIC), F.lpad(text, width, F.lit(" "))).otherwise(
+def _pad(text: Column, kind_printed: Column, width: Column) -> Column:
+    return F.when(_is_number(kind_printed), F.lpad(text, width, F.lit(" "))).otherwise(
         F.rpad(text, width, F.lit(" "))
     )
 
 
-def markdown_line(cells: Column, columns: Column, widths: Column) -> Column:
-    padded = F.transform(
-        columns,
-        lambda c, i: _pad(markdown_cell(F.get(cells, i), c["kind"]), c["kind"], F.get(widths, i)),
-    )
+def _joined(cells: Column, types: Column, widths: Column) -> Column:
+    padded = F.transform(cells, lambda text, i: _pad(F.coalesce(text, F.lit("")), F.get(types, i), F.get(widths, i)))
     return F.concat(F.lit("| "), F.array_join(padded, " | "), F.lit(" |"))
 
 
-def markdown_header(columns: Column, widths: Column) -> Column:
-    names = F.transform(columns, lambda c, i: _pad(c["name"], c["kind"], F.get(widths, i)))
+def _stacked(cells: Column, types: Column, widths: Column, breaks: str) -> Column:
+    """Cells of several lines beside each other; shorter ones are filled with blanks below."""
+
+    def pieces(text: Column) -> Column:
+        return let(
+            F.split(text, breaks, -1),
+            lambda p: F.when((F.size(p) > 1) & (F.element_at(p, -1) == ""), F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p),
+            "array<string>",
+        )
+
+    def lines(parts: Column) -> Column:
+        most = F.array_max(F.transform(parts, F.size))
+        return F.array_join(
+            F.transform(
+                F.sequence(F.lit(0), most - 1),
+                lambda k: _joined(F.transform(parts, lambda p: F.get(p, k)), types, widths),
+            ),
+            "\n",
+        )
+
+    return let(F.transform(cells, pieces), lines)
+
+
+def markdown_line(cells: Column, types: Column, widths: Column, stacked: Column) -> Column:
+    return F.when(stacked, _stacked(cells, types, widths, LINE_BREAK)).otherwise(_joined(cells, types, widths))
+
+
+def markdown_header(columns: Column, types: Column, widths: Column) -> Column:
+    names = F.transform(columns, lambda c: c["name"])
+    top = F.when(F.exists(names, _has_break), _stacked(names, types, widths, "[\r\n]")).otherwise(
+        _joined(names, types, widths)
+    )
     rules = F.transform(
-        columns,
-        lambda c, i: let(
+        types,
+        lambda t, i: let(
             F.repeat(F.lit("-"), F.get(widths, i) + 1),
-            lambda dashes: F.when(
-                c["kind"].isin(NUMERIC), F.concat(dashes, F.lit(":"))
-            ).otherwise(F.concat(F.lit(":"), dashes)),
+            lambda dashes: F.when(_is_number(t), F.concat(dashes, F.lit(":"))).otherwise(F.concat(F.lit(":"), dashes)),
         ),
     )
-    return F.concat(
-        F.lit("| "),
-        F.array_join(names, " | "),
-        F.lit(" |\n|"),
-        F.array_join(rules, "|"),
-        F.lit("|"),
-    )
+    return F.concat(top, F.lit("\n|"), F.array_join(rules, "|"), F.lit("|"))
+
+
+def _markdown(rows: Column, columns: Column, body: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """`body` of the cells as printed, types, widths, and whether any cell or name has line breaks."""
+
+    def laid_out(types: Column) -> Column:
+        def measured(printed: Column) -> Column:
+            stacked = F.exists(columns, lambda c: _has_break(c["name"])) | F.exists(rows, lambda r: F.exists(r, _has_break))
+            return let(
+                F.struct(markdown_widths(printed, columns).alias("widths"), stacked.alias("stacked")),
+                lambda m: body(printed, types, m["widths"], m["stacked"]),
+            )
+
+        return let(_printed(rows, columns, types), measured)
+
+    return let(markdown_types(rows, columns), laid_out)
 
 
 def markdown_row(cells: Column, columns: Column) -> Column:
-    return let(
-        markdown_widths(F.array(cells), columns), lambda w: markdown_line(cells, columns, w)
+    """One row's lines as a slice of its own."""
+    return _markdown(
+        F.array(cells), columns, lambda printed, types, widths, stacked: markdown_line(F.get(printed, 0), types, widths, stacked)
     )
 
 
-def markdown_table(rows: Column, columns: Column) -> Column:
-    return let(
-        markdown_widths(rows, columns),
-        lambda w: F.array_join(
-            F.concat(
-                F.array(markdown_header(columns, w)),
-                F.transform(rows, lambda r: markdown_line(r, columns, w)),
-            ),
-            "\n",
-        ),
+def markdown_top(first_row: Column, columns: Column) -> Column:
+    """The header of a slice of one row."""
+    return _markdown(
+        F.array(first_row), columns, lambda printed, types, widths, stacked: markdown_header(columns, types, widths)
     )
 
 
+def markdown_table(rows: Column, columns: Column) -> Column:
+    def whole(printed: Column, types: Column, widths: Column, stacked: Column) -> Column:
+        lines = F.transform(printed, lambda r: markdown_line(r, types, widths, stacked))
+        return F.array_join(F.concat(F.array(markdown_header(columns, types, widths)), lines), "\n")
+
+    return _markdown(rows, columns, whole)
+
+
 # --- SQL schema ------------------------------------------------------------
 
 
@@ -372,11 +542,10 @@ def row_texts(cells: Column, columns: Column, kv_floats: Column) -> dict[str, Co
 def header_texts(first_row: Column, columns: Column) -> dict[str, Column]:
     """What every segment of a table repeats, as it is counted when packing."""
     csv = F.concat(csv_header(columns), F.lit("\n"))
-    widths = markdown_widths(F.array(first_row), columns)
     return {
         "csv": csv,
         "json": F.lit("[]"),
         "keyvalue": F.lit(""),
-        "markdown": F.concat(let(widths, lambda w: markdown_header(columns, w)), F.lit("\n")),
+        "markdown": F.concat(markdown_top(first_row, columns), F.lit("\n")),
         "sql_schema": F.concat(sql_header(None, columns), csv, csv),
     }
