@@ -111,7 +111,7 @@ def test_longest_prefix_under_a_tokenizer_file(spark, name, budgets):
         for fmt in FORMATS:
             best = max((n for n in range(1, 19) if sizes[fmt, n] <= budget), default=0)
             assert (got[fmt].fit_n, got[fmt].text) == (best, by_text.get((fmt, best))), (fmt, budget)
-    user = pairs.generation_prompts(*p, 700, tokenizer).first()["user"]
+    user = pairs.generation_prompts(*p, budgets[-1], tokenizer).first()["user"]
     assert by_text["markdown", max(1, got["markdown"].fit_n)] in user
     with_special = {r.format: r.fit_n for r in fit.fit_rows(*p, 150, tokenizer, special_tokens=2).collect()}
     assert with_special == {fmt: max((n for n in range(1, 19) if sizes[fmt, n] + 2 <= 150), default=0) for fmt in FORMATS}
