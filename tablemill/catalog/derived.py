@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemill.catalog.corpora import source
+from tablemill.catalog.corpora import dealt, source
 from tablemill.constants import FORMATS, PAIR_TYPES
 
 
@@ -189,7 +189,12 @@ DERIVED: dict[str, tuple[str, list[tuple[str, str]]]] = {
 
 def derived(spark: SparkSession, sf: str, name: str) -> DataFrame:
     below, columns = DERIVED[name]
-    df = derived(spark, sf, below) if below in DERIVED else source(spark, sf, below)
+    if below in DERIVED:
+        lower = derived(spark, sf, below)
+        # What is built on is made once for each row, not for each of its uses.
+        df = lower.select(F.inline(F.array(F.struct(*lower.columns))))
+    else:
+        df = dealt(source(spark, sf, below))
     return df.select(*[F.expr(e).alias(n) for n, e in columns])
 
 

@@ -12,7 +12,7 @@ from tablemill.catalog.tables import BUDGET, SMALL, fit_sql, with_
 from tablemill.constants import PAIR_TYPES
 from tablemill.operators import checks, clean, fit, order, pack, pairs, score
 from tablemill.plans.serialize import serialize
-from tablemill.session import new_folder
+from tablemill.session import new_folder, stage
 from tablemill.sources import files
 
 
@@ -113,7 +113,7 @@ def accepted(spark, sf):
     f"{RESPONSES} SELECT DISTINCT table_id FROM typed WHERE table_id NOT IN (SELECT table_id FROM accepted)",
 )
 def failed(spark, sf):
-    read = pairs.parse_responses(_responses(spark, sf))
+    read = stage(pairs.parse_responses(_responses(spark, sf)))
     return pairs.failed_tables(read, pairs.accept_attempts(read))
 
 

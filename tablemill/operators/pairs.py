@@ -9,6 +9,7 @@ from tablemill.functions.tokens import Tokenizer, count_words
 from tablemill.operators import fit
 from tablemill.operators.order import attach
 from tablemill.operators.render import NUMERIC, display_cells, markdown_table, prepare_columns
+from tablemill.session import once
 from tablemill.sources.corpus import Corpus
 
 PROMPT = (
@@ -56,12 +57,15 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     second object and single quotes make it unreadable.
     """
     bare = F.trim(F.regexp_replace(F.trim("response"), "```json|```", ""))
-    start = F.instr(bare, "{")
-    body = F.when(start > 1, F.substr(bare, start)).otherwise(bare)
+    start, body = F.instr("bare", "{"), F.col("body")
+    found = once(responses.select("table_id", "attempt", "response"), bare.alias("bare"))
+    found = found.select("table_id", "attempt", F.when(start > 1, F.substr("bare", start)).otherwise(F.col("bare")).alias("body"))
     # As the only element of an array: what follows the object is then an error or a second element.
     read = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<{PAIR_SCHEMA}>", {"allowSingleQuotes": "false"})
-    alone = F.when((F.size(read) == 1) & body.startswith("{"), F.get(read, F.lit(0))["pairs"])
-    return responses.select("table_id", "attempt", alone.alias("pairs"))
+    # Each response is parsed once, however often its pairs are asked for.
+    found = once(found, read.alias("read"), body.startswith("{").alias("is_object"))
+    alone = F.when((F.size("read") == 1) & F.col("is_object"), F.get("read", F.lit(0))["pairs"])
+    return found.select("table_id", "attempt", alone.alias("pairs"))
 
 
 def missing_types(pairs: Column) -> Column:
