@@ -15,6 +15,7 @@ from tablemill.constants import (
     TARGET_STEP,
     TOKEN_BYTES,
 )
+from tablemill.session import once, stage
 
 
 def formats_dim(df: DataFrame) -> DataFrame:
@@ -43,10 +44,12 @@ def checkpoint_dirs(paths: DataFrame) -> DataFrame:
 
     An experiment without any checkpoint stays, with the usual directory and no step.
     """
-    parts = F.split("path", "/")
-    last = F.element_at(parts, -1)
-    named = paths.withColumn("exp", F.get(parts, F.lit(0))).withColumn(
-        "step", F.regexp_extract(last, CHECKPOINT_DIR, 1)
+    parts = F.col("parts")
+    split = once(paths.select("location", "path"), F.split("path", "/").alias("parts"))
+    named = once(
+        split.select("location", "parts"),
+        F.get(parts, F.lit(0)).alias("exp"),
+        F.regexp_extract(F.element_at(parts, -1), CHECKPOINT_DIR, 1).alias("step"),
     )
     found = named.filter("step <> ''").select(
         "location",
@@ -62,29 +65,29 @@ def checkpoint_dirs(paths: DataFrame) -> DataFrame:
     )
 
 
-def nested_layout(dirs: DataFrame) -> DataFrame:
-    """The one directory of each experiment that counts: `checkpoints`, the top, else the first nested."""
+def nested_layout(dirs: DataFrame, *carried: str) -> DataFrame:
+    """The one directory of each experiment that counts: `checkpoints`, the top, else the first nested.
+
+    `carried` are columns that are the same for all rows of a directory.
+    """
     rank = (
         F.when(F.col("ckpt_dir") == F.concat("exp", F.lit("/checkpoints")), 0)
         .when(F.col("ckpt_dir") == F.col("exp"), 1)
         .otherwise(2)
     )
     chosen = dirs.groupBy("location", "exp").agg(
-        F.min(F.struct(rank.alias("rank"), "ckpt_dir"))["ckpt_dir"].alias("ckpt_dir")
+        F.min(F.struct(rank.alias("rank"), "ckpt_dir", *carried)).alias("first")
     )
-    return chosen
+    return chosen.select("location", "exp", *[F.col("first")[c].alias(c) for c in ("ckpt_dir", *carried)])
 
 
 def checkpoint_iters(dirs: DataFrame) -> DataFrame:
     """Steps of each experiment in its chosen directory."""
-    return (
-        dirs.join(nested_layout(dirs), ["location", "exp", "ckpt_dir"], "left_semi")
-        .groupBy("location", "exp", "ckpt_dir")
-        .agg(
-            F.sort_array(F.collect_set("iter")).alias("iters"),
-            F.max("iter").alias("latest_iter"),
-            F.count_distinct("iter").alias("n_iters"),
-        )
+    # All directories are gathered and then chosen from, so the listing is read once.
+    each = dirs.groupBy("location", "exp", "ckpt_dir").agg(F.sort_array(F.collect_set("iter")).alias("iters"))
+    chosen = nested_layout(each, "iters")
+    return chosen.select(
+        "*", F.array_max("iters").alias("latest_iter"), F.size("iters").cast("bigint").alias("n_iters")
     )
 
 
@@ -258,6 +261,8 @@ def snap(target: Column, available: Column) -> Column:
 
 def eval_plan(best: DataFrame, views_dir: str = "ckpt_views") -> DataFrame:
     """Target and matched step of every selected run at the common row budget."""
+    # A run per format and seed; the listing behind it isn't read again for the budget.
+    best = stage(best)
     planned = best.crossJoin(F.broadcast(row_budget(best)))
     target = F.rint(F.col("budget") * F.col("total_tokens")).cast("bigint")
     planned = planned.withColumn("target_iter", target)
