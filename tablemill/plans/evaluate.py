@@ -64,6 +64,8 @@ def choose(
     corpus = prepared.corpus._replace(
         rows=prepared.corpus.rows.join(sampled, "table_id", "left_semi"),
         tables=prepared.corpus.tables.join(sampled, "table_id", "left_semi"),
+        plain=None,
+        flags=None,
     )
     tables = prepared.tables.join(sampled, "table_id", "left_semi")
     large = prepared.large if prepared.large is None else prepared.large.join(sampled, "table_id", "left_semi")
