@@ -50,3 +50,20 @@ def test_common_numbers_print_like_all(spark):
     made = df.select(F.when(is_common(F.col("v")), F.col("v").cast("string")).otherwise(float_text(F.col("v"), every=True)).alias("a"),
                      float_text(F.col("v"), every=True).alias("b")).collect()
     assert all(r.a == r.b for r in made)
+
+
+def test_rows_with_quotes_and_gaps_are_not_rendered(spark, monkeypatch):
+    df = spark.sql("""SELECT id, if(id % 2 = 0, null, id) AS gap, if(id % 3 = 0, null, '{"k": 1, "l": "x"}') AS s,
+        if(id % 4 = 0, null, timestamp_ntz'2024-01-01 01:00:00') AS at, if(id % 5 = 0, null, id % 2 = 0) AS flag FROM range(60)""")
+    p = prepare(corpus_from_tables(df, F.lit("t"), F.lit(1), row_key=["id"]))
+    rendered = {r.ord: r.costs for r in pack.costed_rows(*p, lambda text: count_words(text)).collect()}
+    failing = F.raise_error(F.lit("rendered")).cast("string")
+    monkeypatch.setattr(costs, "_row_texts", lambda: dict.fromkeys(["csv", "json", "keyvalue", "markdown"], failing))
+    assert {r.ord: r.costs for r in pack.costed_rows(*p).collect()} == rendered
+
+
+def test_headers_of_plain_tables_are_known(spark):
+    df = spark.range(6).select("id", F.lit("x").alias("a b"), F.lit("y").alias("line\nbreak"), (F.col("id") / 7).alias('q"u, o'), F.lit("z").alias(" "))
+    p = prepare(corpus_from_tables(df, F.concat(F.lit("t"), F.col("id").cast("string")), F.lit(1), row_key=["id"]))
+    known = {r.table_id: r.heads for r in pack.costed_rows(*p).collect()}
+    assert known == {r.table_id: r.header_costs for r in pack.table_headers(p.corpus, p.tables).collect()}
