@@ -142,3 +142,22 @@ def test_rows_that_can_not_fit_are_not_rendered(spark, split_rows):
     got = {r.format: r.fit_n for r in fit.fit_rows(*p, 10).collect()}
     whole = {r.format: r.fit_n for r in fit.fit_rows(*p, 1000).collect()}
     assert got["csv"] == 9 and got["keyvalue"] == 4 and whole["keyvalue"] == 400
+
+
+@pytest.mark.parametrize("split_rows, special, budgets", [(1_000_000, 3, (12, 75)), (4, 0, (40,))])
+def test_prefixes_of_plain_rows_are_added_up(spark, split_rows, special, budgets):
+    """What adds up is the search's answer: quotes, times, midnights, gaps and names of several words."""
+    df = spark.sql("""SELECT id, concat('t', id % 4) AS m, if(id % 4 = 1 AND id > 9, null, '{"k": 1, "l"}') AS `a b`, id / 7 AS x,
+        timestampadd(HOUR, if(id % 4 = 2, id * 4, id * 24 + 1), timestamp_ntz'2024-01-01 00:00:00') AS at FROM range(48)""")
+    names = [("id", "id"), ("a b", "a b"), ("x", "x"), ("at", "at")]
+    p = prepare(corpus_from_tables(df, F.col("m"), F.lit(1), names, row_key=["id"]), split_rows)
+    from tablemill.functions.tokens import count_words
+
+    key = lambda r: (r.table_id, r.format)
+    for budget in budgets:
+        found = fit.prefix_candidates(*p, budget, count_words, special)
+        known = {r.known is not None for r in found.select("known").collect()}
+        assert True in known
+        summed = fit.fit_rows(*p, budget, special_tokens=special)
+        searched = fit.fit_rows(*p, budget, lambda text: count_words(text), special_tokens=special)
+        assert sorted(summed.collect(), key=key) == sorted(searched.collect(), key=key)
