@@ -111,8 +111,10 @@ def member_pieces(spark: SparkSession, archives: list[Archive], piece_bytes: int
             for item in batch.to_pylist():
                 yield from _batches(look(item["path"], item["chunk"], item["share"], item["of"]), PIECE_TYPE)
 
+    # Small archives share a task: one each would cost more to start than to list, and leave as many files.
+    most = max(spark.sparkContext.defaultParallelism * 4, math.ceil(sum(a.size for a in archives) / BYTES_PER_TASK))
     items = spark.createDataFrame(shares, "path string, chunk int, share int, of int")
-    return items.coalesce(1).repartition(max(1, len(shares))).mapInArrow(run, PIECES)
+    return items.coalesce(1).repartition(max(1, min(len(shares), most))).mapInArrow(run, PIECES)
 
 
 PIECE_TYPE = pa.schema(

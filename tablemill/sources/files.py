@@ -26,7 +26,7 @@ def write_segments(segments: DataFrame, path: str, batch: str | None = None) ->
     """`{"text": ...}` lines by format and chunk; a rerun replaces what was there, or the same batch."""
     chunk = F.regexp_extract("table_id", "^chunk([0-9]+)__", 1).cast("int")
     lines = segments.select("format", chunk.alias("chunk"), "text")
-    _put(lines, path, batch, "json", ("format", "chunk"), "overwrite")
+    _put(_gathered(lines, "format", "chunk"), path, batch, "json", ("format", "chunk"), "overwrite")
 
 
 def write_pairs(fanned: DataFrame, path: str, batch: str | None = None) -> None:
@@ -38,13 +38,22 @@ def write_ground_truth(pairs: DataFrame, path: str, batch: str | None = None) ->
 
 
 def write_clean_tables(rows: DataFrame, path: str, batch: str | None = None) -> None:
-    _put(rows, path, batch, "parquet", ("chunk",), "overwrite")
+    _put(_gathered(rows, "chunk"), path, batch, "parquet", ("chunk",), "overwrite")
 
 
 def write_results(results: DataFrame, path: str, batch: str | None = None) -> None:
     _put(results, path, batch, "json", ("run_id",))
 
 
+def _gathered(df: DataFrame, *by: str) -> DataFrame:
+    """Rows that go into one folder in one task, or in several if they are many.
+
+    Packed and joined rows are partitioned by table, and nearly every task has tables of every chunk: each would
+    write a file of its own into every folder. The planner cuts partitions that are too large, so a large chunk isn't one task's work.
+    """
+    return df.hint("rebalance", *by)
+
+
 def _put(df: DataFrame, path: str, batch: str | None, form: str, by: tuple[str, ...] = (), mode: str = "append") -> None:
     """As files of a batch, which count once it is committed, or at once."""
     if batch is None:
