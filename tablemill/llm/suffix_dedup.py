@@ -3,14 +3,14 @@
 What has to be compared is narrowed in two exact steps. Each string of WIDTH bytes has an anchor, the K-gram
 of least hash in it; neighbouring strings mostly share it and form a span, which goes with the bytes that
 its strings cover, its piece. Equal strings have equal anchors. A piece that an earlier document has is
-repeated as a whole. Only where different pieces share an anchor and enough bytes beside it do
-the pieces themselves go to the bucket of the anchor.
+repeated as a whole. Only where different pieces share an anchor and the bytes around it that all strings
+of one of four ranges hold do the pieces themselves go to the bucket of the anchor.
 
 An anchor with many different pieces, at the edge of a passage that stands in very many documents, would make
 one bucket grow without bound. Such an anchor's pieces are dealt by their own names, and its strings, instead
 of going to one index, by theirs, the least document of each string in a batch first.
 
-A bucket builds the index of its different pieces: the Burrows-Wheeler transform in runs, with suffix samples
+A bucket builds indexes of its different pieces, the pieces of an anchor in one of them: the Burrows-Wheeler transform in runs, with suffix samples
 at the ends of runs, and for each range of suffixes that share WIDTH bytes the least document. Pieces are
 streamed over it backwards, many at a time: a step follows the run's mapping while bytes match, and
 jumps to the nearest run of the wanted byte otherwise, cutting the matched length down to what the
@@ -31,13 +31,20 @@ from tablemill.llm.substring_dedup import common_above
 
 WIDTH = 50
 K = 16
-#: Bytes beside the anchor that a string has on one side at least.
-HALF = (WIDTH - K) // 2
+#: Least and most bytes that a string has left of its anchor, by range: every string is in one range, and all strings of a
+#: range hold `least` bytes left of the anchor and WIDTH - K - `most` right of it.
+RANGES = ((26, 34), (17, 25), (9, 16), (0, 8))
 #: Mean length of a phrase in bytes.
 PHRASE = 128
 SPREAD = 4
 #: Bytes of text whose spans are sent together.
 BATCH_BYTES = 16 << 20
+#: Pieces that are sent together, about.
+SENT_PIECES = 20_000
+#: Bytes of text scanned for spans at once, so that the scan's arrays stay in a core's cache; a longer document is scanned alone.
+SCAN_BYTES = 256 << 10
+#: Bytes of pieces in one index, or all pieces of one anchor if they are more.
+INDEX_BYTES = 512 << 10
 #: Different pieces of one anchor that may meet in a task, over all batches.
 ANCHOR_PIECES = 200_000
 NULL_KEY = -(1 << 63)
@@ -84,8 +91,7 @@ class Spans:
     def __init__(self, body: np.ndarray, offsets: np.ndarray):
         n = len(body)
         self.start = self.count = self.home = self.place = np.empty(0, np.int64)
-        self.anchor = self.piece = np.empty(0, np.uint64)
-        self.left = self.right = np.empty(0, np.uint8)
+        self.anchor = self.piece = self.total = self.inverse = np.empty(0, np.uint64)
         if n < WIDTH:
             return
         grams = gram_hashes(body)
@@ -104,13 +110,23 @@ class Spans:
         self.count = np.minimum(np.append(self.start[1:], n), (offsets[:-1] + strings)[self.home]) - self.start
         self.place = place = at[self.start]
         self.anchor = grams[place]
-        total = _running(body)
-        self.piece = _range_hashes(body, self.start, self.start + self.count + WIDTH - 1, total)
-        # A string holds HALF bytes on one side of its anchor at least: 8 bits of each side, 0 where it doesn't fit.
-        fits = place - HALF >= offsets[self.home]
-        self.left = _eight(_range_hashes(body, np.where(fits, place - HALF, 0), np.where(fits, place, 0), total)) * fits
-        fits = place + K + HALF <= offsets[self.home + 1]
-        self.right = _eight(_range_hashes(body, np.where(fits, place + K, 0), np.where(fits, place + K + HALF, 0), total)) * fits
+        self.total, self.inverse = _running(body), _powers(pow(_BASE, -1, 1 << 64), n)
+        self.piece = self.prints(self.start, self.start + self.count + WIDTH - 1)
+
+    def prints(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """64-bit fingerprints of the bytes from low to high; ranges may overlap."""
+        return mix((self.total[high] - self.total[low]) * self.inverse[low] ^ (high - low).astype(np.uint64))
+
+    def sides(self) -> list[np.ndarray]:
+        """For each range 24 bits of what all its strings hold around the anchor; 0 if the span has no string of it."""
+        most = self.place - self.start
+        least, out = most - self.count + 1, []
+        for low, high in RANGES:
+            held = np.flatnonzero((most >= low) & (least <= high))
+            place, side = self.place[held], np.zeros(len(most), np.uint32)
+            side[held] = self.prints(place - low, place + (WIDTH - high)) % np.uint64((1 << 24) - 1) + np.uint64(1)
+            out.append(side)
+        return out
 
     def keys(self) -> np.ndarray:
         """A name of each span, decided by its piece alone."""
@@ -128,16 +144,19 @@ def _running(body: np.ndarray) -> np.ndarray:
     kept = process_cache("suffix values")
     if "values" not in kept:
         kept["values"] = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(kept["values"][body] * powers(_BASE, len(body)))))
-
+    total = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum(kept["values"][body] * _powers(_BASE, len(body)), out=total[1:])
+    return total
 
-def _range_hashes(body: np.ndarray, low: np.ndarray, high: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of body[low : high]; ranges may overlap."""
-    return mix((total[high] - total[low]) * powers(pow(_BASE, -1, 1 << 64), len(body))[low] ^ (high - low).astype(np.uint64))
 
-
-def _eight(x: np.ndarray) -> np.ndarray:
-    return (x % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+def _powers(base: int, n: int) -> np.ndarray:
+    """`powers`, kept for as many as an ordinary scan needs."""
+    if n > SCAN_BYTES:
+        return powers(base, n)
+    kept = process_cache("suffix powers")
+    if len(kept.get(base, ())) < n:
+        kept[base] = powers(base, SCAN_BYTES)
+    return kept[base][:n]
 
 
 _ROW = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
@@ -147,10 +166,15 @@ _REPLY_DDL = "doc long, kind int, body binary"
 WHOLE, ASKED, STRINGS = 0, 1, 2
 #: Spans of ordinary anchors, spans of common anchors, and notices that an anchor is common.
 PLAIN, DEALT, NOTICE = 0, 1, 2
-#: A span to be compared: bit 0 if another has the same bytes left of the anchor, bit 1 for those right of it,
-#: bit 2 if the anchor is common.
+#: A span to be compared: a bit for each range of which another span may have the same strings, or COMMON if the anchor is.
 _ASK = np.dtype([("key", "<u8"), ("sides", "u1")])
-_COLUMNS = ["<u8", "<u8", "u1", "u1", "<i8", "u1"]
+COMMON = 1 << len(RANGES)
+#: The most and the least bytes left of the anchor, by the bits of an ask.
+_MOST = np.array([max([h for k, (_, h) in enumerate(RANGES) if bits >> k & 1], default=0) for bits in range(COMMON)])
+_LEAST = np.array([min([l for k, (l, _) in enumerate(RANGES) if bits >> k & 1], default=0) for bits in range(COMMON)])
+#: Three bytes of a side are sent.
+_SIDE = np.dtype(("u1", 3))
+_COLUMNS = ["<u8", "<u8", *[_SIDE] * len(RANGES), "<i8", "u1"]
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
@@ -162,23 +186,24 @@ def _send(batch: pa.RecordBatch, n_buckets: int, most: int) -> pa.RecordBatch:
     body, offsets = text_buffers(batch["text"])
     docs = batch["doc"].to_numpy(zero_copy_only=False)
     found = []
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, SCAN_BYTES):
         got = Spans(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        found.append((got.anchor, got.piece, got.left, got.right, docs[a:b][got.home]))
+        found.append((got.anchor, got.piece, docs[a:b][got.home], *got.sides()))
     rows: list[tuple] = []
     if found:
-        anchor, piece, left, right, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        anchor, piece, doc, *sides = (np.concatenate(x) for x in zip(*found, strict=True))
         key = span_keys(anchor, piece)
-        order = np.argsort(key, kind="stable") if not np.any(np.diff(doc) < 0) else np.lexsort((doc, key))
-        new = np.append(True, key[order][1:] != key[order][:-1]) if len(key) else np.empty(0, bool)
-        first = order[new]
+        # Spans of one key are equal but for their documents.
+        order = np.argsort(key)
+        sorted_ = key[order]
+        new = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(key) else np.empty(0, np.int64)
         least = np.empty(len(doc), np.int64)
-        least[order] = doc[first][np.cumsum(new) - 1]
+        if len(new):
+            least[order] = np.repeat(np.minimum.reduceat(doc[order], new), np.diff(np.append(new, len(key))))
         later = doc > least
         rows += [(d % n_buckets, d, 0, keys) for d, _, keys in _answers(doc[later], key[later], WHOLE)]
-        first.sort()
-        anchor, piece, doc = anchor[first], piece[first], doc[first]
-        left, right = left[first], right[first]
+        first = np.sort(order[new])
+        anchor, piece, doc, *sides = (x[first] for x in (anchor, piece, least, *sides))
         _, back, uses = np.unique(anchor, return_inverse=True, return_counts=True)
         common = np.flatnonzero(uses[back] > most)
         kind = np.zeros(len(doc), np.uint8)
@@ -187,9 +212,9 @@ def _send(batch: pa.RecordBatch, n_buckets: int, most: int) -> pa.RecordBatch:
         noticed = common[one]
         target = np.where(kind == DEALT, piece, anchor & np.uint64((1 << 24) - 1))
         target = np.append(target, anchor[noticed] & np.uint64((1 << 24) - 1))
-        anchor, piece, left, right, doc = (np.append(x, x[noticed]) for x in (anchor, piece, left, right, doc))
+        anchor, piece, doc, *sides = (np.append(x, x[noticed]) for x in (anchor, piece, doc, *sides))
         kind = np.append(kind, np.full(len(noticed), NOTICE, np.uint8))
-        columns = [anchor, piece, left, right, doc, kind]
+        columns = [anchor, piece, *(x.astype("<u4").view("u1").reshape(-1, 4)[:, :3] for x in sides), doc, kind]
         bucket = (target % np.uint64(n_buckets)).astype(np.int32)
         order = np.lexsort((doc, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -207,7 +232,8 @@ def _unpacked(table: pa.Table) -> list[np.ndarray]:
         for column, t in zip(columns, _COLUMNS, strict=True):
             column.append(np.frombuffer(raw, t, n, at))
             at += n * np.dtype(t).itemsize
-    return [np.concatenate(c) for c in columns]
+    whole = [np.concatenate(c) for c in columns]
+    return [np.pad(c, ((0, 0), (0, 1))).view("<u4").ravel() if c.ndim > 1 else c for c in whole]
 
 
 def _answers(doc: np.ndarray, key: np.ndarray, kind: int) -> list[tuple[int, int, bytes]]:
@@ -223,31 +249,32 @@ def _judge(table: pa.Table) -> pa.Table:
     ready = table.filter(passing)
     rows = [(d, WHOLE, body) for d, body in zip(ready["doc"].to_pylist(), ready["body"].to_pylist(), strict=True)]
     columns = _unpacked(table.filter(pa.compute.invert(passing)))
+    anchor, piece, *sides, doc, kind = columns
     # Spans that were dealt here by their pieces have nothing to do with those that came by their anchors.
-    order = np.lexsort((columns[5] == DEALT, columns[0]))
-    anchor, dealt = columns[0][order], columns[5][order] == DEALT
-    same = (anchor[1:] == anchor[:-1]) & (dealt[1:] == dealt[:-1])
+    order = np.lexsort((kind == DEALT, anchor))
+    inner, dealt = anchor[order], kind[order] == DEALT
+    same = (inner[1:] == inner[:-1]) & (dealt[1:] == dealt[:-1])
     shared = dealt.copy()
     shared[1:] |= same
     shared[:-1] |= same
-    anchor, piece, left, right, doc, kind = (x[order[shared]] for x in columns)
+    anchor, piece, doc, kind, *sides = (x[order[shared]] for x in (anchor, piece, doc, kind, *sides))
     if len(doc):
         dealt = kind == DEALT
         order = np.lexsort((doc, kind, piece, anchor, dealt))
-        anchor, piece, left, right, doc, kind, dealt = (x[order] for x in (anchor, piece, left, right, doc, kind, dealt))
+        anchor, piece, doc, kind, dealt, *sides = (x[order] for x in (anchor, piece, doc, kind, dealt, *sides))
         group = np.append(True, (anchor[1:] != anchor[:-1]) | (dealt[1:] != dealt[:-1]))
         common = np.repeat(np.maximum.reduceat(kind, np.flatnonzero(group)) > PLAIN, np.diff(np.append(np.flatnonzero(group), len(group))))
         there = kind != NOTICE
-        anchor, piece, left, right, doc, dealt, common = (x[there] for x in (anchor, piece, left, right, doc, dealt, common))
+        anchor, piece, doc, dealt, common, *sides = (x[there] for x in (anchor, piece, doc, dealt, common, *sides))
     if len(doc):
         own = np.append(True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]) | (dealt[1:] != dealt[:-1]))
         later = doc > doc[own][np.cumsum(own) - 1]
         rows += _answers(doc[later], span_keys(anchor[later], piece[later]), WHOLE)
         # The least document of each different piece stands for it.
-        anchor, piece, left, right, doc, common = (x[own] for x in (anchor, piece, left, right, doc, common))
+        anchor, piece, doc, common, *sides = (x[own] for x in (anchor, piece, doc, common, *sides))
         wanted = np.zeros(len(doc), np.int64)
-        wanted[common] = 7
-        for which, side in ((1, left), (2, right)):
+        wanted[common] = COMMON
+        for k, side in enumerate(sides):
             there = np.flatnonzero((side > 0) & ~common)
             # Two groups that meet under one name are asked for more than they need, no more.
             group = mix(anchor[there]) + side[there]
@@ -256,7 +283,7 @@ def _judge(table: pa.Table) -> pa.Table:
             new = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(there) else np.empty(0, np.int64)
             if len(new):
                 differ = np.maximum.reduceat(doc[there], new) > np.minimum.reduceat(doc[there], new)
-                wanted[there[np.repeat(differ, np.diff(np.append(new, len(there))))]] |= which
+                wanted[there[np.repeat(differ, np.diff(np.append(new, len(there))))]] |= 1 << k
         asked = np.empty(len(doc), _ASK)
         asked["key"], asked["sides"] = span_keys(anchor, piece), wanted
         rows += _answers(doc[wanted > 0], asked[wanted > 0], ASKED)
@@ -267,13 +294,19 @@ def suffix_order(text: np.ndarray, piece: np.ndarray) -> np.ndarray:
     """Suffixes in order; text holds symbols from 1 to 256, and 0 after each piece. Equal ones stand by position."""
     n = len(text)
     left = np.flatnonzero(text == 0)[piece] - np.arange(n)
-    depth = 3
-    rank = np.zeros(n, np.uint64)
-    for k in range(depth):
-        at = np.minimum(np.arange(n) + k, n - 1)
-        rank = rank << np.uint64(9) | np.where(k < left, text[at], 0).astype(np.uint64)
-    order, rank = _sorted(rank, 9 * depth)
+    # Symbols by their place in the alphabet that occurs, as many in a rank as fit beside a position.
+    used = np.bincount(text, minlength=257) > 0
+    used[0] = True
+    symbol, width = (np.cumsum(used) - 1).astype(np.uint64)[text], int(used.sum() - 1).bit_length()
     bits, longest = int(n).bit_length(), int(left.max(initial=0))
+    depth = max(1, (64 - bits) // max(1, width))
+    padded = np.append(symbol, np.zeros(depth, np.uint64))
+    rank, live = np.zeros(n, np.uint64), left > 0
+    for k in range(depth):
+        # What follows an end mark counts as nothing.
+        rank = rank << np.uint64(width) | padded[k : k + n] * live
+        live &= padded[k : k + n] > 0
+    order, rank = _sorted(rank, width * depth)
     while depth < longest:
         at = np.minimum(np.arange(n) + depth, n - 1)
         second = np.where(depth < left, rank[at] + 1, 0).astype(np.uint64)
@@ -316,7 +349,11 @@ class RunIndex:
         last = np.where(order > 0, text[order - 1], 0)
         last[order == (self.ends - size - 1)[piece[order]]] = 0
         head = np.append(True, last[1:] != last[:-1])
-        self.text = text
+        # The eight bytes from each place as a number, the first lowest, and how many bytes its piece has from there.
+        self.eight = np.append(np.maximum(text - 1, 0).astype(np.uint64), np.zeros(width + 8, np.uint64))
+        for k in (1, 2, 4):
+            self.eight[:-k] |= self.eight[k:] << np.uint64(8 * k)
+        self.left = np.append(self.ends[piece] - 1 - np.arange(n), np.zeros(width + 8, np.int64))
         self.run_start = np.flatnonzero(head)
         self.run_symbol = last[self.run_start]
         run_end = np.append(self.run_start[1:], n) - 1
@@ -330,37 +367,29 @@ class RunIndex:
         self.slot[self.by_symbol] = np.arange(len(self.by_symbol))
         self.n = n
         # Rows of symbol 0 come first in the order of suffixes, as they do among the runs by symbol.
-        left = self.ends[piece] - 1 - np.arange(n)
-        whole = left >= width
-        equal = self._equal_neighbours(order, whole)
+        whole = self.left[:n] >= width
+        equal = self._agree(order[:-1], order[1:], np.full(n - 1, width)) >= width
         self.range_start = np.flatnonzero(np.append(True, ~equal))
         doc = np.where(whole[order], first_doc[piece[order]], np.iinfo(np.int64).max)
         self.range_doc = np.minimum.reduceat(doc, self.range_start)
         # The row of each piece's end mark: among the marks, by position.
         self.end_row = np.arange(len(size))
 
-    def _equal_neighbours(self, order: np.ndarray, whole: np.ndarray) -> np.ndarray:
-        """Whether a row's suffix shares `width` bytes with the one before."""
-        a, b = order[:-1], order[1:]
-        live = np.flatnonzero(whole[a] & whole[b])
-        for k in range(self.width):
-            live = live[self.text[a[live] + k] == self.text[b[live] + k]]
-        out = np.zeros(len(a), bool)
-        out[live] = True
-        return out
-
     def _agree(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Common prefix of suffixes, at most `most` and `width` bytes."""
-        got = np.zeros(len(a), np.int64)
-        live = np.arange(len(a))
-        for k in range(self.width):
-            live = live[k < most[live]]
-            x = np.minimum(a[live] + k, self.n - 1)
-            y = np.minimum(b[live] + k, self.n - 1)
-            live = live[(self.text[x] == self.text[y]) & (self.text[x] != 0)]
+        most = np.minimum(np.minimum(most, self.width), np.minimum(self.left[a], self.left[b]))
+        got, live = most.copy(), np.flatnonzero(most > 0)
+        for k in range(0, self.width, 8):
+            differ = self.eight[a[live] + k] ^ self.eight[b[live] + k]
+            odd = differ != 0
+            if odd.any():
+                # Lowest set bit: the bytes below it are equal.
+                first, off = differ[odd], live[odd]
+                got[off] = np.minimum(most[off], k + (np.bitwise_count((first & -first) - np.uint64(1)) >> 3))
+                live = live[~odd]
+            live = live[most[live] > k + 8]
             if not len(live):
                 break
-            got[live] = k + 1
         return got
 
     def step(self, row: np.ndarray, place: np.ndarray, matched: np.ndarray, symbol: np.ndarray):
@@ -411,7 +440,11 @@ class RunIndex:
 _STRING = np.dtype([("print", "<u8"), ("doc", "<i8"), ("key", "<u8"), ("first", "<u2")])
 #: In place of a piece's shift: strings of common anchors, and marks that are ready.
 PACKED, READY = -1, -2
-_PIECE = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("key", pa.int64()), ("shift", pa.int32()), ("piece", pa.binary())])
+#: `part` is the same for all pieces of an anchor, and seldom for those of two.
+_PIECE = pa.schema(
+    [("bucket", pa.int32()), ("part", pa.int32()), ("doc", pa.int64()), ("key", pa.int64()), ("shift", pa.int32()), ("piece", pa.binary())]
+)
+_PIECE_DDL = "bucket int, part int, doc long, key long, shift int, piece binary"
 
 
 def _later_strings(strings: np.ndarray) -> np.ndarray:
@@ -430,14 +463,14 @@ def _single_marks(strings: np.ndarray) -> list[tuple[int, int, bytes]]:
     return _answers(strings["doc"], mark, STRINGS)
 
 
-def _strings(body: np.ndarray, got: Spans, chosen: np.ndarray, docs: np.ndarray) -> np.ndarray:
+def _strings(got: Spans, chosen: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """The strings of spans with common anchors."""
     size = got.count[chosen]
     of = np.repeat(chosen, size)
     first = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
     strings = np.empty(len(of), _STRING)
     begin = got.start[of] + first
-    strings["print"] = _range_hashes(body, begin, begin + WIDTH, _running(body))
+    strings["print"] = got.prints(begin, begin + WIDTH)
     strings["doc"], strings["key"], strings["first"] = docs[got.home[of]], got.keys()[of], first
     return strings
 
@@ -445,12 +478,12 @@ def _strings(body: np.ndarray, got: Spans, chosen: np.ndarray, docs: np.ndarray)
 def _dealt(strings: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     """A batch's strings by bucket, and marks for those that it has in a smaller document."""
     later = _later_strings(strings)
-    rows = [(doc % n_buckets, doc, 0, READY, mark) for doc, _, mark in _single_marks(strings[later])]
+    rows = [(doc % n_buckets, 0, doc, 0, READY, mark) for doc, _, mark in _single_marks(strings[later])]
     strings = strings[~later]
     bucket = (strings["print"] % np.uint64(n_buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    rows += [(k, None, 0, PACKED, strings[order[cuts[k] : cuts[k + 1]]].tobytes()) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+    rows += [(k, 0, None, 0, PACKED, strings[order[cuts[k] : cuts[k + 1]]].tobytes()) for k in np.flatnonzero(np.diff(cuts)).tolist()]
     return pa.RecordBatch.from_arrays(_rows(rows, _PIECE), schema=_PIECE)
 
 
@@ -469,8 +502,29 @@ def _compare_bucket(table: pa.Table) -> pa.Table:
 
 def _compare(table: pa.Table) -> pa.Table:
     """Strings of a bucket's pieces that an earlier document's piece has: (key, first string, strings)."""
-    key, doc = table["key"].to_numpy().astype(np.int64), table["doc"].to_numpy()
-    pieces = table["piece"].to_pylist()
+    table = table.take(pa.array(np.argsort(table["part"].to_numpy(), kind="stable")))
+    part, doc, shift = (table[c].to_numpy() for c in ("part", "doc", "shift"))
+    key, pieces = table["key"].to_numpy().view(np.uint64), table["piece"].to_pylist()
+    homes, marks = [np.empty(0, np.int64)], [np.empty(0, _MARK)]
+    for low, high in _indexed(part, np.array([len(p) for p in pieces], np.int64)):
+        of, first, count = _repeated(pieces[low:high], doc[low:high])
+        mark = np.empty(len(of), _MARK)
+        mark["key"], mark["first"], mark["count"] = key[low:high][of], first + shift[low:high][of], count
+        homes.append(doc[low:high][of])
+        marks.append(mark)
+    return pa.Table.from_arrays(_rows(_answers(np.concatenate(homes), np.concatenate(marks), STRINGS), _REPLY), schema=_REPLY)
+
+
+def _indexed(part: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of sorted pieces of at most INDEX_BYTES together, or of one part; no part is cut."""
+    new = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+    ends = np.append(0, np.cumsum(size))[new]
+    for a, b in slices(ends, INDEX_BYTES):
+        yield int(new[a]), int(new[b])
+
+
+def _repeated(pieces: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings that an earlier document's piece has: their pieces, first strings and lengths."""
     least: dict[bytes, int] = {}
     for piece, d in zip(pieces, doc.tolist(), strict=True):
         least[piece] = min(d, least.get(piece, d))
@@ -482,11 +536,7 @@ def _compare(table: pa.Table) -> pa.Table:
     new = np.append(True, (np.diff(hit) != 1) | (np.diff(of[hit]) != 0)) if len(hit) else np.empty(0, bool)
     begin = hit[new]
     count = np.diff(np.append(np.flatnonzero(new), len(hit)))
-    mark = np.empty(len(begin), _MARK)
-    mark["key"] = key[of[begin]].view(np.uint64)
-    mark["first"] = begin - (np.cumsum(size) - size)[of[begin]] + table["shift"].to_numpy()[of[begin]]
-    mark["count"] = count
-    return pa.Table.from_arrays(_rows(_answers(doc[of[begin]], mark, STRINGS), _REPLY), schema=_REPLY)
+    return of[begin], begin - (np.cumsum(size) - size)[of[begin]], count
 
 
 _MARK = np.dtype([("key", "<u8"), ("first", "<u2"), ("count", "<u2")])
@@ -506,9 +556,54 @@ SALT = np.uint64(0x9E3779B97F4A7C15)
 
 def _told(bodies: list, kind) -> tuple[np.ndarray, np.ndarray]:
     """What the documents of a slice are told, end to end, and to which document."""
-    told = [np.frombuffer(b"".join(b or []), kind) for b in bodies]
-    home = np.repeat(np.arange(len(told), dtype=np.uint64), [len(x) for x in told])
-    return np.concatenate(told) if told else np.empty(0, kind), home
+    told = [b"".join(b or []) for b in bodies]
+    home = np.repeat(np.arange(len(told), dtype=np.uint64), [len(x) // np.dtype(kind).itemsize for x in told])
+    return np.frombuffer(b"".join(told), kind), home
+
+
+def _cut(batch: pa.RecordBatch, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """The asked pieces of a batch's documents, trimmed to the ranges asked for, and the strings of common anchors."""
+    body, offsets = text_buffers(batch["text"])
+    docs = batch["doc"].to_numpy(zero_copy_only=False)
+    asked_of = batch["asked"].to_pylist()
+    dealt: list[np.ndarray] = []
+    columns: list[tuple] = []
+    for a, b in slices(offsets, SCAN_BYTES):
+        low = int(offsets[a])
+        got = Spans(body[low : offsets[b]], offsets[a : b + 1] - low)
+        name = got.keys() + got.home.astype(np.uint64) * SALT
+        _, once = np.unique(name, return_index=True)
+        asks, home = _told(asked_of[a:b], _ASK)
+        asked, first = np.unique(asks["key"] + home * SALT, return_index=True)
+        at = np.minimum(np.searchsorted(asked, name[once]), max(0, len(asked) - 1))
+        hit = asked[at] == name[once] if len(asked) else np.zeros(len(once), bool)
+        chosen, sides = once[hit], asks["sides"][first][at[hit]]
+        common = chosen[sides >= COMMON]
+        if len(common):
+            dealt.append(_strings(got, common, docs[a:b]))
+        chosen, sides = chosen[sides < COMMON], sides[sides < COMMON]
+        # Strings outside the ranges asked for are in no other piece.
+        most = got.place[chosen] - got.start[chosen]
+        least = np.maximum(most - got.count[chosen] + 1, _LEAST[sides])
+        begin = got.place[chosen] - np.minimum(most, _MOST[sides])
+        anchor = mix(got.anchor[chosen] >> np.uint64(24))
+        columns.append((
+            (anchor % np.uint64(n_buckets)).astype(np.int32), (anchor // np.uint64(n_buckets)).astype(np.int32), docs[a:b][got.home[chosen]],
+            got.keys()[chosen].view(np.int64), (begin - got.start[chosen]).astype(np.int32), begin + low, got.place[chosen] - least + WIDTH + low,
+        ))
+        if sum(len(c[0]) for c in columns) >= SENT_PIECES:
+            yield _pieces(body, columns)
+            columns = []
+    if columns:
+        yield _pieces(body, columns)
+    if dealt:
+        yield _dealt(np.concatenate(dealt), n_buckets)
+
+
+def _pieces(body: np.ndarray, columns: list[tuple]) -> pa.RecordBatch:
+    *named, begin, end = (np.concatenate(c) for c in zip(*columns, strict=True))
+    piece = [body[i:j].tobytes() for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in named), pa.array(piece, pa.binary())], schema=_PIECE)
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
@@ -527,50 +622,19 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
         return _judge(table)
 
     sent = keyed.mapInArrow(send, "bucket int, doc long, n int, body binary")
-    answers = stage_and_free(sent.groupBy("bucket").applyInArrow(judge, _REPLY_DDL))
+    # A bucket takes long for its bytes: tasks aren't put together by their size.
+    answers = stage_and_free(sent.repartition(n_partitions, "bucket").groupBy("bucket").applyInArrow(judge, _REPLY_DDL))
     asked = answers.where(F.col("kind") == ASKED).groupBy("doc").agg(F.collect_list("body").alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body, offsets = text_buffers(batch["text"])
-            dealt: list[np.ndarray] = []
-            for a, b in slices(offsets):
-                low = int(offsets[a])
-                got = Spans(body[low : offsets[b]], offsets[a : b + 1] - low)
-                name = got.keys() + got.home.astype(np.uint64) * SALT
-                _, once = np.unique(name, return_index=True)
-                asks, home = _told(batch["asked"].slice(a, b - a).to_pylist(), _ASK)
-                asked, first = np.unique(asks["key"] + home * SALT, return_index=True)
-                at = np.minimum(np.searchsorted(asked, name[once]), max(0, len(asked) - 1))
-                hit = asked[at] == name[once] if len(asked) else np.zeros(len(once), bool)
-                chosen, sides = once[hit], asks["sides"][first][at[hit]]
-                # Without a partner on the left no string reaches HALF bytes there, and so on the right.
-                begin, end = got.start[chosen], got.start[chosen] + got.count[chosen] + WIDTH - 1
-                common, shown = chosen[sides >= 4], batch["doc"].to_numpy(zero_copy_only=False)[a:b]
-                if len(common):
-                    dealt.append(_strings(body[low : offsets[b]], got, common, shown))
-                plain = sides < 4
-                chosen, sides, begin, end = chosen[plain], sides[plain], begin[plain], end[plain]
-                begin = np.where(sides & 1, begin, np.maximum(begin, got.place[chosen] - HALF + 1))
-                end = np.where(sides & 2, end, np.minimum(end, got.place[chosen] + K + HALF - 1))
-                piece = [body[i:j].tobytes() for i, j in zip((begin + low).tolist(), (end + low).tolist(), strict=True)]
-                bucket = mix(got.anchor[chosen] >> np.uint64(24)) % np.uint64(n_buckets)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket.astype(np.int32)), batch["doc"].take(pa.array(got.home[chosen] + a)),
-                        pa.array(got.keys()[chosen].view(np.int64)), pa.array((begin - got.start[chosen]).astype(np.int32)),
-                        pa.array(piece, pa.binary()),
-                    ],
-                    ["bucket", "doc", "key", "shift", "piece"],
-                )
-            if dealt:
-                yield _dealt(np.concatenate(dealt), n_buckets)
+            yield from _cut(batch, n_buckets)
 
     def compare(table: pa.Table) -> pa.Table:
         return _compare_bucket(table)
 
-    pieces = keyed.join(asked, "doc").select("doc", "text", "asked").mapInArrow(cut, "bucket int, doc long, key long, shift int, piece binary")
-    strings = stage_and_free(pieces.groupBy("bucket").applyInArrow(compare, _REPLY_DDL))
+    pieces = keyed.join(asked, "doc").select("doc", "text", "asked").mapInArrow(cut, _PIECE_DDL)
+    strings = stage_and_free(pieces.repartition(n_partitions, "bucket").groupBy("bucket").applyInArrow(compare, _REPLY_DDL))
     every = answers.where(F.col("kind") == WHOLE).unionByName(strings)
     return every.groupBy("doc").agg(F.collect_list(F.struct("kind", "body")).alias("answers"))
 
@@ -582,15 +646,18 @@ def removed_ranges(body: np.ndarray, offsets: np.ndarray, answers: list) -> tupl
         got = Spans(body, offsets)
         name = got.keys() + got.home.astype(np.uint64) * SALT
         told = [_by_kind([x["kind"] for x in a], [x["body"] for x in a]) if a else {} for a in answers]
+        order = np.argsort(name)
+        name = name[order]
         key, home = _told([[t.get(WHOLE, b"")] for t in told], np.uint64)
-        whole = np.isin(name, key + home * SALT)
-        np.add.at(change, got.start[whole], 1)
-        np.add.at(change, (got.start + got.count)[whole] + WIDTH - 1, -1)
+        if len(key):
+            wanted = np.sort(key + home * SALT)
+            whole = order[wanted[np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)] == name]
+            np.add.at(change, got.start[whole], 1)
+            np.add.at(change, (got.start + got.count)[whole] + WIDTH - 1, -1)
         mark, of = _told([[t.get(STRINGS, b"")] for t in told], _MARK)
         if len(mark):
-            order = np.argsort(name, kind="stable")
             wanted = mark["key"] + of * SALT
-            first, last = np.searchsorted(name[order], wanted), np.searchsorted(name[order], wanted, "right")
+            first, last = np.searchsorted(name, wanted), np.searchsorted(name, wanted, "right")
             # A piece may stand in a document several times.
             for turn in range(int((last - first).max())):
                 here = np.flatnonzero(first + turn < last)
@@ -611,8 +678,8 @@ def removed_ranges(body: np.ndarray, offsets: np.ndarray, answers: list) -> tupl
     return np.sort(np.append(starts, cut)), np.sort(np.append(ends, cut))
 
 
-def remove_strings(docs: DataFrame) -> DataFrame:
-    """`docs` with n_bytes, n_removed, n_spans and kept (the remaining bytes, binary).
+def remove_strings(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """`columns` of `docs`, or all, with n_bytes, n_removed, n_spans and kept (the remaining bytes, binary).
 
     A byte goes if a WIDTH-byte string over it also starts in a document with a smaller doc_id. Null texts are
     empty; a null doc_id counts as smallest; rows with one doc_id are no smaller than each other, so that
@@ -620,14 +687,15 @@ def remove_strings(docs: DataFrame) -> DataFrame:
     """
     added = ("n_bytes", "n_removed", "n_spans", "kept")
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
-    row = F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row")
+    carried = [c for c in base.columns if columns is None or c in columns]
+    row = F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row")
     packed = _keyed(base, [row])
     joined = packed.join(repeated_strings(base), "doc", "left").select("row", "text", "answers")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = text_buffers(batch["text"])
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SCAN_BYTES):
                 low = int(offsets[a])
                 own = offsets[a : b + 1] - low
                 part = body[low : offsets[b]]
@@ -655,5 +723,5 @@ def remove_strings(docs: DataFrame) -> DataFrame:
 @query("op10_suffix_array_dedup")
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes of earlier documents removed from all documents."""
-    done = remove_strings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = remove_strings(read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
