@@ -147,9 +147,12 @@ def encode_segments(segments: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pa.array(file_ids(path, batch["text"].to_pylist()), pa.list_(pa.int64()))
-            named = [batch[c] for c in ("format", "table_id")]
-            yield pa.RecordBatch.from_arrays([*named, batch["seg_no"].cast(pa.int64()), ids], ["format", "table_id", "seg_no", "token_ids"])
+            named, first = batch.select(["format", "table_id", "seg_no"]), 0
+            for ids in file_ids(path, batch["text"]):
+                own = named.slice(first, len(ids))
+                first += len(ids)
+                columns = [own["format"], own["table_id"], own["seg_no"].cast(pa.int64()), ids]
+                yield pa.RecordBatch.from_arrays(columns, ["format", "table_id", "seg_no", "token_ids"])
 
     found = segments.select("format", "table_id", "seg_no", "text").mapInArrow(run, "format string, table_id string, seg_no bigint, token_ids array<bigint>")
     return _sharded(found).where(F.size("token_ids") > 0)
