@@ -243,11 +243,25 @@ def _answers(doc: np.ndarray, key: np.ndarray, kind: int) -> list[tuple[int, int
     return [(int(doc[a]), kind, key[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _replies(doc: np.ndarray, key: np.ndarray, kind: int) -> pa.Table:
+    """`_answers` as a table, without a Python object for each document: whole copies have one in every bucket."""
+    order = np.argsort(doc, kind="stable")
+    doc, key = doc[order], key[order]
+    new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
+    ends = np.append(new, len(doc)) * key.dtype.itemsize
+    raw, batches = key.view(np.uint8), []
+    for a, b in slices(ends, 1 << 30):
+        at = (ends[a : b + 1] - ends[a]).astype(np.int32)
+        body = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at), pa.py_buffer(raw[ends[a] : ends[b]])])
+        batches.append(pa.RecordBatch.from_arrays([pa.array(doc[new[a:b]]), pa.array(np.full(b - a, kind, np.int32)), body], schema=_REPLY))
+    return pa.Table.from_batches(batches, schema=_REPLY)
+
+
 def _judge(table: pa.Table) -> pa.Table:
     """Answers on the spans of a bucket; answers sent along pass."""
     passing = pa.compute.is_valid(table["doc"])
     ready = table.filter(passing)
-    rows = [(d, WHOLE, body) for d, body in zip(ready["doc"].to_pylist(), ready["body"].to_pylist(), strict=True)]
+    replies = [pa.Table.from_arrays([ready["doc"], pa.array(np.full(len(ready), WHOLE, np.int32)), ready["body"]], schema=_REPLY)]
     columns = _unpacked(table.filter(pa.compute.invert(passing)))
     anchor, piece, *sides, doc, kind = columns
     # Spans that were dealt here by their pieces have nothing to do with those that came by their anchors.
@@ -269,7 +283,7 @@ def _judge(table: pa.Table) -> pa.Table:
     if len(doc):
         own = np.append(True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]) | (dealt[1:] != dealt[:-1]))
         later = doc > doc[own][np.cumsum(own) - 1]
-        rows += _answers(doc[later], span_keys(anchor[later], piece[later]), WHOLE)
+        replies.append(_replies(doc[later], span_keys(anchor[later], piece[later]), WHOLE))
         # The least document of each different piece stands for it.
         anchor, piece, doc, common, *sides = (x[own] for x in (anchor, piece, doc, common, *sides))
         wanted = np.zeros(len(doc), np.int64)
@@ -286,8 +300,8 @@ def _judge(table: pa.Table) -> pa.Table:
                 wanted[there[np.repeat(differ, np.diff(np.append(new, len(there))))]] |= 1 << k
         asked = np.empty(len(doc), _ASK)
         asked["key"], asked["sides"] = span_keys(anchor, piece), wanted
-        rows += _answers(doc[wanted > 0], asked[wanted > 0], ASKED)
-    return pa.Table.from_arrays(_rows(rows, _REPLY), schema=_REPLY)
+        replies.append(_replies(doc[wanted > 0], asked[wanted > 0], ASKED))
+    return pa.concat_tables(replies)
 
 
 def suffix_order(text: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -512,7 +526,7 @@ def _compare(table: pa.Table) -> pa.Table:
         mark["key"], mark["first"], mark["count"] = key[low:high][of], first + shift[low:high][of], count
         homes.append(doc[low:high][of])
         marks.append(mark)
-    return pa.Table.from_arrays(_rows(_answers(np.concatenate(homes), np.concatenate(marks), STRINGS), _REPLY), schema=_REPLY)
+    return _replies(np.concatenate(homes), np.concatenate(marks), STRINGS)
 
 
 def _indexed(part: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -546,10 +560,6 @@ def _keyed(docs: DataFrame, extra: list | None = None) -> DataFrame:
     return docs.select(*(extra or []), F.coalesce("doc_id", F.lit(NULL_KEY)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _by_kind(kinds, bodies) -> dict[int, bytes]:
-    return {kind: b"".join(b for k, b in zip(kinds, bodies, strict=True) if k == kind) for kind in set(kinds)}
-
-
 #: Tells equal names in different documents of a slice apart.
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -639,22 +649,35 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     return every.groupBy("doc").agg(F.collect_list(F.struct("kind", "body")).alias("answers"))
 
 
-def removed_ranges(body: np.ndarray, offsets: np.ndarray, answers: list) -> tuple[np.ndarray, np.ndarray]:
+def _answered(answers: pa.ListArray, which: int, kind) -> tuple[np.ndarray, np.ndarray]:
+    """What answers of one kind tell the documents of a slice, end to end, and to which document."""
+    lengths = pa.compute.fill_null(pa.compute.list_value_length(answers), 0).to_numpy()
+    flat, kind = answers.flatten(), np.dtype(kind)
+    chosen = np.flatnonzero(flat.field("kind").to_numpy() == which)
+    bodies = flat.field("body").take(pa.array(chosen)).cast(pa.large_binary())
+    if not len(chosen):
+        return np.empty(0, kind), np.empty(0, np.uint64)
+    _, at, data = bodies.buffers()
+    ends = np.frombuffer(at, np.int64)[bodies.offset : bodies.offset + len(bodies) + 1]
+    home = np.repeat(np.arange(len(answers), dtype=np.uint64), lengths)[chosen]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind), np.repeat(home, np.diff(ends) // kind.itemsize)
+
+
+def removed_ranges(body: np.ndarray, offsets: np.ndarray, answers: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Where removed runs start and end in the bytes of a slice's documents."""
     change = np.zeros(len(body) + 1, np.int32)
-    if any(answers):
+    if len(answers.flatten()):
         got = Spans(body, offsets)
         name = got.keys() + got.home.astype(np.uint64) * SALT
-        told = [_by_kind([x["kind"] for x in a], [x["body"] for x in a]) if a else {} for a in answers]
         order = np.argsort(name)
         name = name[order]
-        key, home = _told([[t.get(WHOLE, b"")] for t in told], np.uint64)
+        key, home = _answered(answers, WHOLE, np.uint64)
         if len(key):
             wanted = np.sort(key + home * SALT)
             whole = order[wanted[np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)] == name]
             np.add.at(change, got.start[whole], 1)
             np.add.at(change, (got.start + got.count)[whole] + WIDTH - 1, -1)
-        mark, of = _told([[t.get(STRINGS, b"")] for t in told], _MARK)
+        mark, of = _answered(answers, STRINGS, _MARK)
         if len(mark):
             wanted = mark["key"] + of * SALT
             first, last = np.searchsorted(name, wanted), np.searchsorted(name, wanted, "right")
@@ -699,7 +722,7 @@ def remove_strings(docs: DataFrame, columns: list[str] | None = None) -> DataFra
                 low = int(offsets[a])
                 own = offsets[a : b + 1] - low
                 part = body[low : offsets[b]]
-                starts, ends = removed_ranges(part, own, batch["answers"].slice(a, b - a).to_pylist())
+                starts, ends = removed_ranges(part, own, batch["answers"].slice(a, b - a))
                 raw, kept = part.tobytes(), []
                 at = np.searchsorted(starts, own)
                 n_removed = np.zeros(b - a, np.int64)
