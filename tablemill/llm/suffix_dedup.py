@@ -170,8 +170,8 @@ PLAIN, DEALT, NOTICE = 0, 1, 2
 _ASK = np.dtype([("key", "<u8"), ("sides", "u1")])
 COMMON = 1 << len(RANGES)
 #: The most and the least bytes left of the anchor, by the bits of an ask.
-_MOST = np.array([max([h for k, (_, h) in enumerate(RANGES) if bits >> k & 1], default=0) for bits in range(COMMON)])
-_LEAST = np.array([min([l for k, (l, _) in enumerate(RANGES) if bits >> k & 1], default=0) for bits in range(COMMON)])
+_MOST = np.array([max([high for k, (_, high) in enumerate(RANGES) if bits >> k & 1], default=0) for bits in range(COMMON)])
+_LEAST = np.array([min([low for k, (low, _) in enumerate(RANGES) if bits >> k & 1], default=0) for bits in range(COMMON)])
 #: Three bytes of a side are sent.
 _SIDE = np.dtype(("u1", 3))
 _COLUMNS = ["<u8", "<u8", *[_SIDE] * len(RANGES), "<i8", "u1"]
